@@ -64,20 +64,20 @@ def is_whole(value: Column) -> Column:
 
 
 def whole_text(bare: Column, number: Column) -> Column:
-    """Canonical digits of a whole number of any length; NULL when not whole.
+    """Canonical digits of a whole number; NULL when not whole.
 
-    ``bare`` is its ``numeric_text`` and ``number`` its double. Whole numbers in float notation
-    keep all digits up to 38 of them; beyond that NULL.
+    ``bare`` is its ``numeric_text`` and ``number`` its double. Plain digits may be of any length;
+    whole numbers in float notation reach to 38 digits, beyond that NULL.
     """
-    digits = F.regexp_replace(bare, r"^\+?(-?)0*([0-9]+)$", "$1$2")
-    size = F.abs(number)
-    return (
-        F.when((number == 0) & bare.rlike("^[^1-9]*(?:[eE].*)?$"), F.lit("0"))
-        .when(bare.rlike(r"^[+-]?[0-9]+$"), digits)
-        .when(~is_whole(number), F.lit(None).cast("string"))
-        .when(size < 9e15, number.try_cast("bigint").cast("string"))
-        .when(size < 1e38, number.try_cast("decimal(38,0)").cast("string"))
+    exact = bare.try_cast("decimal(38,0)").cast("string")
+    longer = F.when(
+        F.length(bare) > 38, F.regexp_extract(bare, r"^\+?(-?)0*([0-9]+)$", 0)
     )
+    return F.when(is_whole(number), F.coalesce(exact, _without_padding(longer)))
+
+
+def _without_padding(digits: Column) -> Column:
+    return F.nullif(F.regexp_replace(digits, r"^\+?(-?)0*(?=[0-9])", "$1"), F.lit(""))
 
 
 def integer_text(text: Column) -> Column:

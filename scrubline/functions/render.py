@@ -22,13 +22,12 @@ def float_text(value: Column) -> Column:
     """
     plain = value.cast("string")
     positional = F.regexp_replace(
-        F.regexp_replace(plain.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0"
+        plain.try_cast("decimal(38,20)").cast("string"), r"^(.*\.[0-9]+?)0*$", "$1"
     )
     scientific = plain
-    for found, put in (
-        (r"\.0E", "E"), ("E([0-9])", "e+$1"), ("E-", "e-"), ("([-+])([0-9])$", "$10$2"),
-    ):
-        scientific = F.regexp_replace(scientific, found, put)
+    for found, put in ((".0E", "E"), ("E", "e+"), ("e+-", "e-")):
+        scientific = F.replace(scientific, F.lit(found), F.lit(put))
+    scientific = F.regexp_replace(scientific, "([-+])([0-9])$", "$10$2")
     size = F.abs(value)
     return (
         F.when((size >= 1e-3) & (size < 1e7) | (size == 0), plain)

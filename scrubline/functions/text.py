@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that mean "no value", compared after stripping and lowercasing.
@@ -40,11 +40,16 @@ def blank_to_null(stripped: Column, tokens: Iterable[str] = ()) -> Column:
     return F.when(~is_missing(stripped, tokens), stripped)
 
 
-def clean_text(c: Column, trim: bool = True, tokens: Iterable[str] = ()) -> Column:
-    """Whitespace normalization, then NULL for missing cells.
+def with_clean_text(
+    df: DataFrame, columns: list[str], trim: bool = True, tokens: Iterable[str] = ()
+) -> DataFrame:
+    """Whitespace normalization of the columns, then NULL for missing cells, as two projections.
 
-    With ``trim`` off the cell is kept as it is and only the test strips.
+    With ``trim`` off a cell is kept as it is and only the test strips.
     """
     if trim:
-        return blank_to_null(normalize_whitespace(c), tokens)
-    return F.when(~is_missing(strip_whitespace(c), tokens), c)
+        spaced = df.withColumns({c: normalize_whitespace(F.col(c)) for c in columns})
+        return spaced.withColumns({c: blank_to_null(F.col(c), tokens) for c in columns})
+    probed = df.withColumns({f"_p_{c}": strip_whitespace(F.col(c)) for c in columns})
+    kept = {c: F.when(~is_missing(F.col(f"_p_{c}"), tokens), F.col(c)) for c in columns}
+    return probed.withColumns(kept).drop(*[f"_p_{c}" for c in columns])

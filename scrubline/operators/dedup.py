@@ -15,6 +15,9 @@ def drop_duplicate_rows(df: DataFrame, ignore: list[str] = ()) -> DataFrame:
     if not ignore:
         return df.dropDuplicates()
     keys = [c for c in df.columns if c not in ignore]
+    if len(ignore) == 1:
+        # a single number keeps this a hash aggregate; a struct would sort every row
+        return df.groupBy(*keys).agg(F.min(ignore[0]).alias(ignore[0])).select(*df.columns)
     first = F.min(F.struct(*ignore)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 

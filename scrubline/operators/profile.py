@@ -20,7 +20,7 @@ from scrubline.functions.parsing import (
     parse_timestamp,
 )
 from scrubline.functions.render import float_text
-from scrubline.functions.text import clean_text
+from scrubline.functions.text import with_clean_text
 from scrubline.operators.lookup import lookup_join
 from scrubline.options import CleanOptions
 
@@ -31,8 +31,9 @@ def cells(
     df: DataFrame, columns: list[str], keep: list[str] = (), tokens: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per cell: kept columns, column name and normalized text, NULL when missing."""
-    long = df.select(*keep, *columns).unpivot(list(keep), list(columns), COLUMN, RAW)
-    return long.withColumn(TEXT, clean_text(F.col(RAW), True, tokens))
+    pairs = [F.struct(F.lit(c).alias(COLUMN), F.col(c).alias(TEXT)) for c in columns]
+    long = df.select(*keep, F.inline(F.array(*pairs)))
+    return with_clean_text(long, [TEXT], True, tokens)
 
 
 def profile_cells(long: DataFrame, by: list[str] = (), dates: bool = True) -> DataFrame:
@@ -136,10 +137,12 @@ def first_modes(df: DataFrame, keys: list[str], value: str, order: list[str]) ->
     """Most frequent value per key; on a tie the one seen first in ``order``.
 
     Counting shuffles on (key, value) after combining in each task, so a hot key or value is
-    one row per task. The second step ranks the distinct values only.
+    one row per task. The second step ranks the distinct values only. A single numeric order
+    column keeps the count a hash aggregate; several columns make it sort.
     """
+    first = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
     counted = df.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first")
+        F.count(F.lit(1)).alias("_n"), first.alias("_first")
     )
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first"), F.col(value).alias("v")))
     return counted.groupBy(*keys).agg(best.alias("_best")).select(
@@ -204,8 +207,13 @@ def key_candidates(
     each task first. ``approximate`` swaps in a sketch, which shuffles nothing but sketches.
     """
     columns = list(columns or df.columns)
-    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    long = text.unpivot([], columns, COLUMN, RAW)
+    pairs = [
+        F.struct(
+            F.lit(c).alias(COLUMN), F.coalesce(F.col(c).cast("string"), F.lit("")).alias(RAW)
+        )
+        for c in columns
+    ]
+    long = df.select(F.inline(F.array(*pairs)))
     if approximate:
         counted = long.groupBy(COLUMN).agg(
             F.approx_count_distinct(RAW, 0.01).alias("distinct_values"),

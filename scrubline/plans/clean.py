@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scrubline.functions.convert import converted_text, typed_value, with_parsed
 from scrubline.functions.names import snake_name, unique_names
 from scrubline.functions.parsing import parse_timestamp
-from scrubline.functions.text import clean_text
+from scrubline.functions.text import with_clean_text
 from scrubline.operators.dedup import drop_duplicate_rows, keep_first
 from scrubline.operators.lookup import lookup_join
 from scrubline.operators.profile import COLUMN, column_profile, infer_types, with_fills
@@ -122,8 +122,8 @@ def prepare(
     columns = unique_names(names or raw)
     new = iter(columns)
     renamed = df.toDF(*[c if c in fixed else next(new) for c in df.columns])
-    cleaned = [clean_text(F.col(c), options.trim, options.na_tokens).alias(c) for c in columns]
-    return renamed.select(*order, *cleaned), columns
+    placed = renamed.select(*order, *columns)
+    return with_clean_text(placed, columns, options.trim, options.na_tokens), columns
 
 
 def column_rules(
@@ -171,12 +171,12 @@ def df_of_rows(like: DataFrame, rows: list) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, like.schema)
 
 
-def _filled_text(c: str, rule: ColumnRule, options: CleanOptions) -> Column:
+def filled_text(c: str, rule: ColumnRule, options: CleanOptions) -> Column:
     value = converted_text(c, rule.kind, options.date_format, options.trim)
     return (value if rule.fill is None else F.coalesce(value, F.lit(rule.fill))).alias(c)
 
 
-def _filled_typed(c: str, rule: ColumnRule, options: CleanOptions) -> Column:
+def filled_typed(c: str, rule: ColumnRule, options: CleanOptions) -> Column:
     kind = rule.sql_type
     value = typed_value(c, kind, options.trim)
     if rule.fill is not None:
@@ -245,7 +245,7 @@ def clean(
     texts, columns = prepare(df, order, options)
     keys = _dedup_keys(texts, dict.fromkeys(columns), options) if options.drop_duplicates else []
     rules = column_rules(texts, columns, options, order)
-    build = _filled_typed if typed else _filled_text
+    build = filled_typed if typed else filled_text
     parsed = with_parsed(texts, {c: rules[c].kind for c in columns}, options.trim)
     filled = parsed.select(*order, *[build(c, rules[c], options) for c in columns])
     frame = filled

@@ -10,7 +10,7 @@ import csv
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.functions.names import default_names, widen_names
@@ -24,8 +24,18 @@ from scrubline.sources.lines import (
 )
 
 # a leading underscore never survives name sanitizing, so these cannot meet a data column
-FILE, BLOCK, ROW = "_file", "_block", "_row"
-ORDER = [BLOCK, ROW]
+FILE, BLOCK, ROW, PLACE = "_file", "_block", "_row", "_place"
+ORDER = [PLACE]
+
+
+def place() -> Column:
+    """Position of a row in its file as one number: split offset, then record within the task.
+
+    One fixed-width number, rather than a struct, lets "first seen" be a plain hash aggregate.
+    """
+    record = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    start = F.col("_metadata.file_block_start").cast("decimal(20,0)")
+    return (start * F.lit(2**33).cast("decimal(10,0)") + record).cast("decimal(30,0)")
 
 
 @dataclass(frozen=True)
@@ -230,7 +240,7 @@ def layout_names(layout: Layout, pad_rows: str) -> list[str]:
 
 
 def read_layout(spark: SparkSession, layout: Layout, pad_rows: str = "pad") -> DataFrame:
-    """All rows of a layout: file, split, row number and one string column ``_c0, ...`` per cell.
+    """All rows of a layout: file, place and one string column ``_c0, ...`` per cell.
 
     Columns keep positional names here, since raw header names may repeat.
     """
@@ -247,7 +257,6 @@ def read_layout(spark: SparkSession, layout: Layout, pad_rows: str = "pad") -> D
         cells = [latin1_to_cp1252(c).alias(f"_c{i}") for i, c in enumerate(cells)]
     return df.select(
         F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_block_start").alias(BLOCK),
-        F.monotonically_increasing_id().alias(ROW),
+        place().alias(PLACE),
         *cells,
     )

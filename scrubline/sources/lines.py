@@ -108,3 +108,18 @@ def undefined_in_1252(line: Column) -> Column:
 def latin1_to_cp1252(c: Column) -> Column:
     """Give text read as Latin-1 the characters code page 1252 has for the same bytes."""
     return F.translate(c, _CONTROLS, _CP1252)
+
+
+def parse_lines(
+    df: DataFrame, line: str, delimiter: Column, width: int, into: str = "fields"
+) -> DataFrame:
+    """Cells of each line as an array, as many as the line has, by Spark's own CSV parser."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = None
+    for d in DELIMITERS:
+        options = {"sep": d, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+        one = F.from_csv(F.col(line), schema, options)
+        parsed = F.when(delimiter == d, one) if parsed is None else parsed.when(delimiter == d, one)
+    cells = F.array(*[F.col("_parsed")[f"c{i}"] for i in range(width)])
+    held = df.withColumn("_parsed", parsed).withColumn("_size", field_count(F.col(line), delimiter))
+    return held.withColumn(into, F.slice(cells, F.lit(1), F.col("_size"))).drop("_parsed", "_size")
