@@ -1,99 +1,57 @@
-"""Cells of a decided type, as text or as typed values.
-
-Conversions run in steps, each a projection over all columns: bare number, double, rest. A step
-names the results of the step before as plain columns, so no expression is repeated inside
-another and the generated code grows with the number of columns only.
-"""
+"""Cells of a decided type, as text or as typed values."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrubline.functions.parsing import (
-    finite,
-    number_of,
-    numeric_text,
-    parse_boolean,
-    parse_timestamp,
-    whole_text,
-)
+from scrubline.functions.binding import let
+from scrubline.functions.parsing import integer_text, numeric_value, parse_boolean, parse_timestamp
 from scrubline.functions.render import float_text, format_timestamp
 from scrubline.functions.text import strip_whitespace
 
-Kind = str | Column
-
-
-def _may_be(kind: Kind, *names: str) -> bool:
-    return not isinstance(kind, str) or kind in names
-
-
-def _only(kind: Kind, value: Column, *names: str) -> Column:
-    return value if isinstance(kind, str) else F.when(kind.isin(*names), value)
-
 
-def with_parsed(df: DataFrame, kinds: dict[str, Kind], stripped: bool) -> DataFrame:
-    """Add the parsed forms each column's type asks for: ``_n`` bare, ``_v`` double, ``_t`` time.
-
-    A type may itself be a column, for many datasets in one frame; then every form is added, but
-    computed only in rows that need it.
-    """
-    number, date = ("integer", "float"), ("date",)
-    first, second, third = {}, {}, {}
-    for c, kind in kinds.items():
-        text = F.col(c) if stripped else strip_whitespace(F.col(c))
-        if _may_be(kind, *number):
-            first[f"_n_{c}"] = _only(kind, numeric_text(text), *number)
-            second[f"_w_{c}"] = number_of(F.col(f"_n_{c}"))
-            third[f"_v_{c}"] = finite(F.col(f"_w_{c}"))
-        if _may_be(kind, *date):
-            if not stripped:
-                first[f"_s_{c}"] = text
-                second[f"_t_{c}"] = _only(kind, parse_timestamp(F.col(f"_s_{c}")), *date)
-            else:
-                first[f"_t_{c}"] = _only(kind, parse_timestamp(text), *date)
-    for step in (first, second, third):
-        if step:
-            df = df.withColumns(step)
-    return df
-
-
-def canonical_text(c: str, kind: str, date_format: str, stripped: bool) -> Column:
-    """Canonical text of a cell of one type, from its parsed forms; NULL when not conforming."""
+def canonical_text(text: Column, kind: str, date_format: str) -> Column:
+    """Canonical text of a stripped cell of one type; NULL when the cell does not conform."""
     if kind == "integer":
-        return whole_text(F.col(f"_n_{c}"), F.col(f"_w_{c}"))
+        return integer_text(text)
     if kind == "float":
-        return float_text(F.col(f"_v_{c}"))
+        return float_text(numeric_value(text))
     if kind == "boolean":
-        text = F.col(c) if stripped else strip_whitespace(F.col(c))
         return parse_boolean(text).cast("string")
     if kind == "date":
-        return format_timestamp(F.col(f"_t_{c}"), date_format)
-    return F.col(c)
+        return let(parse_timestamp(text), lambda ts: format_timestamp(ts, date_format))
+    return text
+
 
+def converted_text(
+    cell: Column, kind: str | Column, date_format: str, stripped: bool
+) -> Column:
+    """Canonical text, or the cell as it is where it does not conform.
 
-def converted_text(c: str, kind: Kind, date_format: str, stripped: bool) -> Column:
-    """Canonical text, or the cell as it is where it does not conform."""
-    text = F.col(c)
+    The type may itself be a column, for many datasets in one frame; each row then runs only the
+    conversion of its own type.
+    """
+    text = cell if stripped else strip_whitespace(cell)
     if isinstance(kind, str):
         if kind == "string":
-            return text
-        return F.coalesce(canonical_text(c, kind, date_format, stripped), text)
-    chosen = None
+            return cell
+        return F.coalesce(canonical_text(text, kind, date_format), cell)
+    chosen = F.when(kind == "string", cell)
     for name in ("integer", "float", "boolean", "date"):
-        value = canonical_text(c, name, date_format, stripped)
-        chosen = F.when(kind == name, value) if chosen is None else chosen.when(kind == name, value)
-    return F.coalesce(chosen, text)
+        chosen = chosen.when(kind == name, canonical_text(text, name, date_format))
+    return F.coalesce(chosen, cell)
 
 
-def typed_value(c: str, sql_type: str, stripped: bool) -> Column:
-    """Value of a cell in a Spark type, from its parsed forms; NULL when not conforming."""
+def typed_value(cell: Column, sql_type: str, stripped: bool) -> Column:
+    """Value of a cell in a Spark type; NULL when the cell does not conform."""
+    text = cell if stripped else strip_whitespace(cell)
     if sql_type in ("bigint", "decimal(38,0)"):
-        return whole_text(F.col(f"_n_{c}"), F.col(f"_w_{c}")).try_cast(sql_type)
+        return integer_text(text).try_cast(sql_type)
     if sql_type == "double":
-        return F.col(f"_v_{c}")
+        return numeric_value(text)
     if sql_type == "boolean":
-        return parse_boolean(F.col(c) if stripped else strip_whitespace(F.col(c)))
+        return parse_boolean(text)
     if sql_type == "timestamp_ntz":
-        return F.col(f"_t_{c}")
-    return F.col(c)
+        return parse_timestamp(text)
+    return cell

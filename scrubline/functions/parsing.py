@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrubline.functions.binding import let
+
 # Accepted spellings of booleans, any case.
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
@@ -16,6 +18,9 @@ FALSE_WORDS = ("false", "f", "no", "n", "0")
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = rf"^([+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)%?$"
 
+# What the last character of a decorated number can be.
+_LAST_OF_NUMBER = tuple("0123456789.%),")
+
 _CLOCK = r"[0-9]{1,2}:[0-9]{1,2}:[0-5]?[0-9]"
 _YEAR = r"(?!0000)[0-9]{4}"
 _YEAR_FIRST = rf"^{_YEAR}([-/.])[0-9]{{1,2}}\1 ?[0-9]{{1,2}}$"
@@ -27,6 +32,8 @@ _ISO = (
     r"(?s:.)([0-9]{2})(?:(:?)([0-9]{2})(?:\6([0-5][0-9])(?:[.,]([0-9]+))?)?)?"
     r"(?:Z|[+-](?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:\.[0-9]+)?)?)?)?$"
 )
+# What every date starts with: digits and a separator, or eight digits.
+_DATE_START = "^[0-9]{1,4}[-/.][0-9]|^[0-9]{8}"
 _BASIC_DATE = rf"^({_YEAR})([0-9]{{2}})([0-9]{{2}})$"
 
 
@@ -38,16 +45,21 @@ def parse_boolean(text: Column) -> Column:
 def numeric_text(text: Column) -> Column:
     """The bare number inside a decorated one: ``(1,200)`` -> ``-1200``, ``25%`` -> ``25``.
 
-    Empty when the cell is not a number. One chain that names the cell once, so it stays small
-    in generated code however deep the cell's own expression is.
+    Empty or NULL when the cell is not a number. Cells that cannot end a number are turned away by their
+    last character, without a pattern match. ``text`` should be a plain column.
     """
-    signed = F.regexp_replace(text, r"(?s)^\((.*)\)$", "-$1")
-    return F.translate(F.regexp_extract(F.translate(signed, ", ", ""), _NUMBER, 1), "_", "")
+    signed = F.when(
+        text.startswith("("), F.regexp_replace(text, r"(?s)^\((.*)\)$", "-$1")
+    ).otherwise(text)
+    body = F.replace(F.replace(signed, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
+    bare = F.replace(F.regexp_extract(body, _NUMBER, 1), F.lit("_"), F.lit(""))
+    possible = F.substring(text, -1, 1).isin(*_LAST_OF_NUMBER)
+    return F.when(possible, bare)
 
 
 def number_of(bare: Column) -> Column:
     """Double of a bare number, possibly infinite; a negative zero becomes zero."""
-    return bare.try_cast("double") + F.lit(0.0)
+    return F.when(bare != "", bare.try_cast("double") + F.lit(0.0))
 
 
 def finite(number: Column) -> Column:
@@ -56,7 +68,7 @@ def finite(number: Column) -> Column:
 
 def numeric_value(text: Column) -> Column:
     """The finite number in a cell as a double."""
-    return finite(number_of(numeric_text(text)))
+    return let(text, lambda t: let(number_of(numeric_text(t)), finite))
 
 
 def is_whole(value: Column) -> Column:
@@ -81,14 +93,24 @@ def _without_padding(digits: Column) -> Column:
 
 
 def integer_text(text: Column) -> Column:
-    bare = numeric_text(text)
-    return whole_text(bare, number_of(bare))
+    """Canonical digits of the whole number in a cell."""
+
+    def of_bare(bare: Column) -> Column:
+        return let(number_of(bare), lambda number: whole_text(bare, number))
+
+    return let(text, lambda t: let(numeric_text(t), of_bare))
 
 
 def _stamp(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def _dashed(text: Column) -> Column:
+    for mark, put in (("/", "-"), (".", "-"), (" ", "")):
+        text = F.replace(text, F.lit(mark), F.lit(put))
+    return text
+
+
 def _iso_stamp(text: Column) -> Column:
     spread = F.regexp_replace(text, _ISO, "$1-$3-$4 $5:$7:$8.$9")
     return _stamp(F.regexp_replace(F.regexp_replace(spread, ":(?=[:.])", ":00"), r"\.$", ""))
@@ -99,14 +121,20 @@ def parse_timestamp(text: Column) -> Column:
 
     Each branch is guarded by the cell's shape, so at most two casts run per cell. Ambiguous
     day and month are day-first in plain dates and month-first in date-times.
+
+    The chain of patterns runs as a function over the cell (``let``). Inlined into the stage's
+    generated loop it would push that loop past the size the JVM compiles.
     """
+    return let(text, _timestamp_of)
+
 
+def _timestamp_of(text: Column) -> Column:
     def turned(pattern: str, form: str) -> Column:
         return _stamp(F.regexp_replace(text, pattern, form))
 
     return (
-        F.when(~text.rlike("^[0-9]"), F.lit(None).cast("timestamp_ntz"))
-        .when(text.rlike(_YEAR_FIRST), _stamp(F.translate(text, "/. ", "--")))
+        F.when((F.length(text) < 8) | ~text.rlike(_DATE_START), F.lit(None).cast("timestamp_ntz"))
+        .when(text.rlike(_YEAR_FIRST), _stamp(_dashed(text)))
         .when(
             text.rlike(_YEAR_LAST),
             F.coalesce(turned(_YEAR_LAST, "$4-$3-$1"), turned(_YEAR_LAST, "$4-$1-$3")),

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scrubline.functions.binding import let
+
 # English names used by %b, %B, %a and %A.
 MONTHS = (
     "January", "February", "March", "April", "May", "June",
@@ -16,11 +18,11 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 
 def float_text(value: Column) -> Column:
-    """Shortest text of a double: positional from 1e-4 up to 1e16, else ``1e+16`` style.
+    """Shortest text of a double: positional from 1e-4 up to 1e16, else ``1e+16`` style."""
+    return let(value, lambda v: let(v.cast("string"), lambda plain: _float_text(v, plain)))
 
-    ``value`` should be a plain column, since it is named several times.
-    """
-    plain = value.cast("string")
+
+def _float_text(value: Column, plain: Column) -> Column:
     positional = F.regexp_replace(
         plain.try_cast("decimal(38,20)").cast("string"), r"^(.*\.[0-9]+?)0*$", "$1"
     )
@@ -75,7 +77,10 @@ def _directives() -> dict[str, Callable[[Column], Column]]:
 
 
 def format_timestamp(ts: Column, pattern: str) -> Column:
-    """Render a zone-free timestamp with a strftime pattern, field by field, so no zone applies."""
+    """Render a zone-free timestamp with a strftime pattern, field by field, so no zone applies.
+
+    ``ts`` should be a plain column or a bound value, since it is named once per field.
+    """
     if pattern == "%Y-%m-%d":
         return ts.cast("date").cast("string")
     known = _directives()

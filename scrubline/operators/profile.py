@@ -23,6 +23,7 @@ from scrubline.functions.render import float_text
 from scrubline.functions.text import with_clean_text
 from scrubline.operators.lookup import lookup_join
 from scrubline.options import CleanOptions
+from scrubline.session import cut_lineage
 
 COLUMN, POSITION, RAW, TEXT = "column_name", "position", "raw_value", "cell"
 
@@ -48,8 +49,8 @@ def profile_cells(long: DataFrame, by: list[str] = (), dates: bool = True) -> Da
             parse_boolean(text).isNotNull().alias("is_bool"),
             (parse_timestamp(text).isNotNull() if dates else F.lit(False)).alias("is_date"),
         )
-        .withColumn("any_num", number_of(F.col("bare")))
-        .withColumn("num", finite(F.col("any_num")))
+        .withColumn("number", number_of(F.col("bare")))
+        .withColumn("num", finite(F.col("number")))
     )
     num, whole = F.col("num"), is_whole(F.col("num"))
     return parsed.groupBy(*by, COLUMN).agg(
@@ -163,8 +164,12 @@ def exact_medians(
     margin = 3.0 / accuracy
     bracket = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy)
     sketched = df.groupBy(*keys).agg(F.count(value).alias("_n"), bracket.alias("_b"))
-    ranked = _ranked_middle(lookup_join(df, sketched, keys, F.col(value)), keys, value)
+    ranked = cut_lineage(
+        _ranked_middle(lookup_join(df, sketched, keys, F.col(value)), keys, value)
+    )
     missed = ranked.filter("_missed").select(*keys)
+    if missed.isEmpty():
+        return ranked.select(*keys, "median")
     exact = ranked.filter("NOT _missed").select(*keys, "median")
     again = df.join(missed, keys, "left_semi")
     everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))

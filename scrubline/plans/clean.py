@@ -11,15 +11,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.functions.convert import converted_text, typed_value, with_parsed
+from scrubline.functions.convert import converted_text, typed_value
 from scrubline.functions.names import snake_name, unique_names
 from scrubline.functions.parsing import parse_timestamp
-from scrubline.functions.text import with_clean_text
+from scrubline.functions.text import is_missing_cell, with_clean_text
 from scrubline.operators.dedup import drop_duplicate_rows, keep_first
 from scrubline.operators.lookup import lookup_join
 from scrubline.operators.profile import COLUMN, column_profile, infer_types, with_fills
-from scrubline.operators.shape import drop_empty_rows, filled_columns, is_empty_row
+from scrubline.operators.shape import filled_columns, is_empty_row
 from scrubline.options import CleanOptions
+from scrubline.session import cut_lineage, spread_small
 
 #: whole numbers up to here are exact in the profile's range counters
 _SAFE_LONG = 9e15
@@ -67,7 +68,6 @@ class Cleaned:
     rules: dict[str, ColumnRule]
     options: CleanOptions
     texts: DataFrame = field(repr=False)
-    filled: DataFrame = field(repr=False)
 
     @property
     def types(self) -> dict[str, str]:
@@ -76,27 +76,32 @@ class Cleaned:
     def rejects(self) -> DataFrame:
         """Cells that hold a value but do not conform to their column's type."""
         kinds = {c: r.kind for c, r in self.rules.items() if r.kind != "string"}
-        parsed = with_parsed(self.texts, kinds, self.options.trim)
         none = F.lit(None).cast("string")
 
         def reject(c: str | None) -> Column:
             if c is None:
                 return _reject(none, none, none, F.lit(False))
-            value = typed_value(c, _plain_type(self.rules[c]), self.options.trim)
+            value = typed_value(F.col(c), _plain_type(self.rules[c]), self.options.trim)
             return _reject(F.lit(c), F.col(c), F.lit(kinds[c]), value.isNull())
 
         found = F.filter(
             F.array(*[reject(c) for c in (list(kinds) or [None])]),
             lambda b: b["bad"] & b["raw_value"].isNotNull(),
         )
-        return parsed.select(*self.order, F.inline(found)).drop("bad")
+        return self.texts.select(*self.order, F.inline(found)).drop("bad")
 
     def audit(self) -> DataFrame:
         """One row of counters; the header counts as a row read."""
-        return audit_counts(
-            self.filled, list(self.rules), self.options, _dedup_keys(self.filled, self.rules,
-                                                                      self.options)
+        columns = list(self.rules)
+        never = any(r.fill for r in self.rules.values())
+        flagged = self.texts.withColumn(
+            "_empty", F.lit(False) if never else is_empty_row(columns)
+        )
+        filled = flagged.select(
+            "_empty", *[filled_text(c, self.rules[c], self.options) for c in columns]
         )
+        keys = _dedup_keys(filled, self.rules, self.options)
+        return audit_counts(filled, columns, self.options, keys)
 
 
 def _reject(column: Column, raw: Column, wanted: Column, bad: Column) -> Column:
@@ -110,20 +115,31 @@ def _plain_type(rule: ColumnRule) -> str:
     return ColumnRule(kind=rule.kind, low=rule.low, high=rule.high).sql_type
 
 
-def prepare(
-    df: DataFrame, order: list[str], options: CleanOptions, names: list[str] | None = None
+def name_columns(
+    df: DataFrame, order: list[str], names: list[str] | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Sanitized names, normalized text, NULL for missing cells. Gives the frame and its columns.
+    """The frame under sanitized names, order columns first, and the data columns.
 
     ``names`` are the raw names of the data columns where the frame itself holds positional ones.
     """
     fixed = set(order)
-    raw = [c for c in df.columns if c not in fixed]
-    columns = unique_names(names or raw)
+    columns = unique_names(names or [c for c in df.columns if c not in fixed])
     new = iter(columns)
     renamed = df.toDF(*[c if c in fixed else next(new) for c in df.columns])
-    placed = renamed.select(*order, *columns)
-    return with_clean_text(placed, columns, options.trim, options.na_tokens), columns
+    return renamed.select(*order, *columns), columns
+
+
+def prepare(df: DataFrame, columns: list[str], options: CleanOptions) -> DataFrame:
+    """Normalized text in the data columns, NULL for missing cells."""
+    return with_clean_text(df, columns, options.trim, options.na_tokens)
+
+
+def is_blank_row(columns: list[str], options: CleanOptions) -> Column:
+    """Whether all raw cells of a row are missing; stops at the first one that is not."""
+    blank = is_missing_cell(F.col(columns[0]), options.trim, options.na_tokens)
+    for c in columns[1:]:
+        blank = blank & is_missing_cell(F.col(c), options.trim, options.na_tokens)
+    return blank
 
 
 def column_rules(
@@ -172,13 +188,13 @@ def df_of_rows(like: DataFrame, rows: list) -> DataFrame:
 
 
 def filled_text(c: str, rule: ColumnRule, options: CleanOptions) -> Column:
-    value = converted_text(c, rule.kind, options.date_format, options.trim)
+    value = converted_text(F.col(c), rule.kind, options.date_format, options.trim)
     return (value if rule.fill is None else F.coalesce(value, F.lit(rule.fill))).alias(c)
 
 
 def filled_typed(c: str, rule: ColumnRule, options: CleanOptions) -> Column:
     kind = rule.sql_type
-    value = typed_value(c, kind, options.trim)
+    value = typed_value(F.col(c), kind, options.trim)
     if rule.fill is not None:
         fill = F.lit(rule.fill)
         if kind == "timestamp_ntz":
@@ -242,26 +258,24 @@ def clean(
         order = ["row_id"]
         df = df.withColumn("row_id", F.monotonically_increasing_id())
     header_in = [c for c in df.columns if c not in order]
-    texts, columns = prepare(df, order, options)
+    raw, columns = name_columns(spread_small(df, order), order)
+    texts = prepare(raw, columns, options)
     keys = _dedup_keys(texts, dict.fromkeys(columns), options) if options.drop_duplicates else []
     rules = column_rules(texts, columns, options, order)
     build = filled_typed if typed else filled_text
-    parsed = with_parsed(texts, {c: rules[c].kind for c in columns}, options.trim)
-    filled = parsed.select(*order, *[build(c, rules[c], options) for c in columns])
-    frame = filled
-    if options.drop_empty_rows:
-        frame = (
-            frame.filter(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
-            if typed
-            else drop_empty_rows(frame, columns)
-        )
+    filtered = texts
+    if options.drop_empty_rows and not any(r.fill for r in rules.values()):
+        # a row is empty when all its cells are missing and nothing fills them, so the test needs
+        # no conversion and can sit next to the scan
+        filtered = prepare(raw.filter(~is_blank_row(columns, options)), columns, options)
+    frame = filtered.select(*order, *[build(c, rules[c], options) for c in columns])
     if options.drop_duplicates:
         frame = remove_duplicates(frame, rules, options, order, keys, typed)
     kept = columns
     if options.remove_empty_columns:
         kept = _kept_columns(frame, columns, rules, options, bool(keys), typed)
         frame = frame.select(*order, *kept)
-    return Cleaned(frame, kept, order, header_in, rules, options, texts, filled)
+    return Cleaned(frame, kept, order, header_in, rules, options, texts)
 
 
 def _kept_columns(frame, columns, rules, options, by_keys: bool, typed: bool) -> list[str]:
@@ -291,9 +305,12 @@ def audit_counts(
     """Rows in and out, empty rows and duplicates, per dataset, from one pass over filled rows.
 
     Duplicates are counted by grouping on the compared columns, so copies are combined inside
-    each task; the second grouping has one row per dataset and task.
+    each task; the second grouping has one row per dataset and task. ``filled`` may carry the
+    flag ``_empty`` already.
     """
-    empty = is_empty_row(columns) if options.drop_empty_rows else F.lit(False)
+    empty = F.col("_empty") if "_empty" in filled.columns else is_empty_row(columns)
+    if not options.drop_empty_rows:
+        empty = F.lit(False)
     if options.drop_duplicates:
         compared = [
             F.when(~F.col("_empty"), F.col(c)).alias(f"_k{i}")
@@ -336,6 +353,13 @@ class CleanedMany:
     def audit(self) -> DataFrame:
         return audit_counts(self.filled, self.columns, self.options, self.keys, [self.dataset])
 
+    def rows_read(self) -> DataFrame:
+        """Rows and empty rows per dataset; reads the flag only, so no cell is converted."""
+        empty = F.col("_empty") if self.options.drop_empty_rows else F.lit(False)
+        return self.filled.groupBy(self.dataset).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(empty).alias("empty_rows")
+        )
+
     def column_types(self) -> DataFrame:
         """One row per dataset with the map from column to type."""
         pair = F.struct(F.col(COLUMN), F.col("type"))
@@ -357,24 +381,30 @@ def clean_many(
     (see ``lookup_join``), so that the number of datasets and a very large one do not matter.
     """
     carried = [dataset, *order]
-    texts, columns = prepare(df, carried, options, names)
+    raw, columns = name_columns(spread_small(df, carried), carried, names)
+    texts = prepare(raw.withColumn("_empty", is_blank_row(columns, options)), columns, options)
     keys = _dedup_keys(texts, dict.fromkeys(columns), options) if options.drop_duplicates else []
     if options.needs_profile:
         profile = infer_types(
             column_profile(texts, columns, [dataset], options.parse_dates, options.na_tokens),
             options,
         )
-        decisions = with_fills(texts, profile, columns, options, [dataset], list(order))
+        decisions = cut_lineage(
+            with_fills(texts, profile, columns, options, [dataset], list(order))
+        )
         entry = F.struct(F.col(COLUMN), F.struct("type", "fill"))
         rules = decisions.groupBy(dataset).agg(
-            F.map_from_entries(F.collect_list(entry)).alias("_rules")
+            F.map_from_entries(F.collect_list(entry)).alias("_rules"),
+            F.some(F.coalesce(F.col("fill"), F.lit("")) != "").alias("_fills"),
         )
         ruled = lookup_join(texts, rules, [dataset], F.struct(*order))
         kinds = {c: F.col(f"_k_{c}") for c in columns}
-        ruled = ruled.withColumns({f"_k_{c}": F.col("_rules")[c]["type"] for c in columns})
-        parsed = with_parsed(ruled, kinds, options.trim)
-        filled = parsed.select(
-            *carried, *[_filled_by_rule(c, kinds[c], options) for c in columns], "_rules"
+        ruled = ruled.withColumn("_empty", F.col("_empty") & ~F.col("_fills")).withColumns(
+            {f"_k_{c}": F.col("_rules")[c]["type"] for c in columns}
+        )
+        filled = ruled.select(
+            *carried, "_empty", "_rules",
+            *[_filled_by_rule(c, kinds[c], options) for c in columns],
         )
     else:
         decisions = (
@@ -384,9 +414,8 @@ def clean_many(
             .withColumn("type", F.lit("string"))
         )
         filled = texts.withColumn("_rules", F.lit(None))
-    frame = filled
-    if options.drop_empty_rows:
-        frame = drop_empty_rows(frame, columns)
+    frame = filled.filter(~F.col("_empty")) if options.drop_empty_rows else filled
+    frame = frame.drop("_empty")
     if options.drop_duplicates:
         if keys or options.fill_missing == "zero":
             chosen = [
@@ -400,10 +429,10 @@ def clean_many(
             frame = drop_duplicate_rows(frame.drop("_rules"), ignore=list(order))
     return CleanedMany(
         frame.select(*carried, *columns), columns, dataset, list(order), options, decisions,
-        filled.select(*carried, *columns), keys,
+        filled.select(*carried, "_empty", *columns), keys,
     )
 
 
 def _filled_by_rule(c: str, kind: Column, options: CleanOptions) -> Column:
-    value = converted_text(c, kind, options.date_format, options.trim)
+    value = converted_text(F.col(c), kind, options.date_format, options.trim)
     return F.coalesce(value, F.col("_rules")[c]["fill"]).alias(c)

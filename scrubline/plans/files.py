@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.names import unique_names
 from scrubline.operators.lookup import lookup_join
-from scrubline.operators.shape import is_empty_row
 from scrubline.options import CleanOptions
 from scrubline.plans.clean import clean_many
 from scrubline.session import cut_lineage, shared_dir
@@ -55,9 +54,9 @@ def clean_layout(spark: SparkSession, layout: Layout, options: CleanOptions) ->
     folder = stage_path(spark, shared_dir(spark))
     cleaned.frame.write.parquet(folder)
     rows = spark.read.parquet(folder)
-    empty = F.count_if(is_empty_row(cleaned.columns)) if options.drop_empty_rows else F.lit(0)
-    read = cleaned.filled.groupBy(FILE).agg(
-        (F.count(F.lit(1)) + 1).alias("rows_in"), empty.cast("bigint").alias("empty_rows_dropped")
+    read = cleaned.rows_read().select(
+        FILE, (F.col("rows") + 1).alias("rows_in"),
+        F.col("empty_rows").alias("empty_rows_dropped"),
     )
     has = [F.count(F.nullif(F.col(c), F.lit(""))).alias(c) for c in cleaned.columns]
     written = rows.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows_out"), *has)

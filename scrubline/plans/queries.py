@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.functions.names import name_rows
-from scrubline.functions.parsing import (
-    finite,
-    is_whole,
-    number_of,
-    numeric_text,
-    parse_boolean,
-    parse_timestamp,
-)
+from scrubline.functions.parsing import is_whole, numeric_value, parse_boolean, parse_timestamp
 from scrubline.functions.render import format_timestamp
 from scrubline.functions.text import blank_to_null, normalize_whitespace
 from scrubline.operators import defects, html, profile, shape
@@ -24,7 +17,7 @@ from scrubline.operators.lookup import lookup_join
 from scrubline.operators.spelling import fix_spelling, merge_parts
 from scrubline.options import CleanOptions
 from scrubline.plans import reports, views
-from scrubline.plans.clean import audit_counts, clean, clean_many, prepare
+from scrubline.plans.clean import audit_counts, clean, clean_many, name_columns, prepare
 from scrubline.sources.lines import (
     DELIMITERS,
     field_count,
@@ -97,12 +90,10 @@ def parse_numeric_cells(spark, folder):
     dirty = views.dirty_customer(spark, folder)
     value = F.col("value")
     kind = F.when(is_whole(value), F.lit("int")).when(value.isNotNull(), F.lit("float"))
-    return (
-        dirty.select("c_custkey", normalize_whitespace(F.col("bal_raw")).alias("text"))
-        .withColumn("number", number_of(numeric_text(F.col("text"))))
-        .withColumn("value", finite(F.col("number")))
-        .select("c_custkey", "value", kind.alias("kind"))
+    parsed = dirty.select(
+        "c_custkey", numeric_value(normalize_whitespace(F.col("bal_raw"))).alias("value")
     )
+    return parsed.select("c_custkey", "value", kind.alias("kind"))
 
 
 @query
@@ -242,6 +233,7 @@ def key_candidates(spark, folder):
 
 @query
 def drop_empty_rows(spark, folder):
+    """Empty rows out, nothing converted."""
     return clean(views.dirty_lineitem(spark, folder), CleanOptions(), KEY).frame
 
 
@@ -392,10 +384,11 @@ def ragged_error_report(spark, folder):
 @query
 def cleaning_audit(spark, folder):
     options = CleanOptions(drop_duplicates=True)
-    lines, columns = prepare(
-        views.dirty_lineitem(spark, folder).withColumn("dataset", F.year("l_shipdate").cast("string"))
-        .drop(*KEY), ["dataset"], options,
+    dirty = views.dirty_lineitem(spark, folder).withColumn(
+        "dataset", F.year("l_shipdate").cast("string")
     )
+    raw, columns = name_columns(dirty.drop(*KEY), ["dataset"])
+    lines = prepare(raw, columns, options)
     events = views.dup_events(table(spark, folder, "events")).select(
         F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("user_id"),
         F.col("ts").cast("string").alias("ts"), F.col("value").cast("string").alias("value"),

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def build_session(app: str = "scrubline", **conf: str) -> SparkSession:
     """A session with the settings the library expects; the cluster's own settings win elsewhere."""
@@ -42,3 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Divide a small input that arrives in few splits over all cores.
+
+    Cleaning is bound by parsing, so a file of one split would keep one core busy. Only inputs of
+    far fewer splits than cores are touched; large ones are never shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < SPLIT_BYTES * cores / 4 else df

@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.functions.convert import with_parsed
-from scrubline.operators.shape import drop_empty_rows
 from scrubline.options import CleanOptions
-from scrubline.plans.clean import ColumnRule, clean, filled_text, prepare
+from scrubline.plans.clean import (
+    ColumnRule,
+    clean,
+    filled_text,
+    is_blank_row,
+    name_columns,
+    prepare,
+)
 from scrubline.plans.views import dirty_customer, dup_events
 from scrubline.session import shared_dir
 
@@ -23,11 +28,12 @@ def clean_stream(
 
     Stateless: each micro-batch is trimmed, normalized, converted, filled and rid of empty rows.
     """
-    texts, columns = prepare(stream, order, options)
+    raw, columns = name_columns(stream, order)
     known = {c: rules.get(c, ColumnRule()) for c in columns}
-    parsed = with_parsed(texts, {c: r.kind for c, r in known.items()}, options.trim)
-    out = parsed.select(*order, *[filled_text(c, known[c], options) for c in columns])
-    return drop_empty_rows(out, columns) if options.drop_empty_rows else out
+    if options.drop_empty_rows and not any(r.fill for r in known.values()):
+        raw = raw.filter(~is_blank_row(columns, options))
+    texts = prepare(raw, columns, options)
+    return texts.select(*order, *[filled_text(c, known[c], options) for c in columns])
 
 
 def distinct_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
