@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrubline.session import cut_lineage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
+SALTS = 32
 
 
 def measured_bytes(df: DataFrame) -> int:

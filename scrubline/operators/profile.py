@@ -152,30 +152,33 @@ def first_modes(df: DataFrame, keys: list[str], value: str, order: list[str]) ->
 
 
 def exact_medians(
-    df: DataFrame, keys: list[str], value: str, accuracy: int = 100_000
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    accuracy: int = 100_000,
+    margin: float | None = None,
 ) -> DataFrame:
     """Exact median per key (mean of the middle two) without gathering a group's values.
 
     A sketch brackets the middle ranks first. Values outside the bracket collapse into one
     counter per side inside each task, so only the few distinct values between the brackets are
-    shuffled and ranked. A group whose bracket misses the middle is ranked over all its distinct
-    values instead, which keeps the result exact whatever the sketch's error.
+    shuffled and ranked. The counters prove whether the bracket holds the middle; groups where it
+    does not are done again with a ten times wider one, so the sketch's error never matters.
     """
-    margin = 3.0 / accuracy
+    margin = 3.0 / accuracy if margin is None else min(margin, 0.5)
     bracket = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy)
+    if margin >= 0.5:
+        bracket = F.array(F.min(value), F.max(value))
     sketched = df.groupBy(*keys).agg(F.count(value).alias("_n"), bracket.alias("_b"))
     ranked = cut_lineage(
         _ranked_middle(lookup_join(df, sketched, keys, F.col(value)), keys, value)
     )
+    found = ranked.filter("NOT _missed").select(*keys, "median")
     missed = ranked.filter("_missed").select(*keys)
-    if missed.isEmpty():
-        return ranked.select(*keys, "median")
-    exact = ranked.filter("NOT _missed").select(*keys, "median")
+    if margin >= 0.5 or missed.isEmpty():
+        return found
     again = df.join(missed, keys, "left_semi")
-    everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))
-    sizes = again.groupBy(*keys).agg(F.count(value).alias("_n")).withColumn("_b", everything)
-    retried = _ranked_middle(again.join(sizes, keys), keys, value)
-    return exact.unionByName(retried.select(*keys, "median"))
+    return found.unionByName(exact_medians(again, keys, value, accuracy, margin * 10))
 
 
 def _ranked_middle(df: DataFrame, keys: list[str], value: str) -> DataFrame:
