@@ -29,12 +29,19 @@ COLUMN, POSITION, RAW, TEXT = "column_name", "position", "raw_value", "cell"
 
 
 def cells(
-    df: DataFrame, columns: list[str], keep: list[str] = (), tokens: tuple[str, ...] = ()
+    df: DataFrame,
+    columns: list[str],
+    keep: list[str] = (),
+    tokens: tuple[str, ...] = (),
+    cleaned: bool = False,
 ) -> DataFrame:
-    """One row per cell: kept columns, column name and normalized text, NULL when missing."""
+    """One row per cell: kept columns, column name and normalized text, NULL when missing.
+
+    ``cleaned`` says that the columns hold normalized text already.
+    """
     pairs = [F.struct(F.lit(c).alias(COLUMN), F.col(c).alias(TEXT)) for c in columns]
     long = df.select(*keep, F.inline(F.array(*pairs)))
-    return with_clean_text(long, [TEXT], True, tokens)
+    return long if cleaned else with_clean_text(long, [TEXT], True, tokens)
 
 
 def profile_cells(long: DataFrame, by: list[str] = (), dates: bool = True) -> DataFrame:
@@ -73,8 +80,9 @@ def column_profile(
     by: list[str] = (),
     dates: bool = True,
     tokens: tuple[str, ...] = (),
+    cleaned: bool = False,
 ) -> DataFrame:
-    return profile_cells(cells(df, columns, by, tokens), by, dates)
+    return profile_cells(cells(df, columns, by, tokens, cleaned), by, dates)
 
 
 def decided_type(options: CleanOptions) -> Column:
@@ -109,7 +117,10 @@ def with_fills(
     by: list[str] = (),
     order: list[str] = (),
 ) -> DataFrame:
-    """Add ``fill``, the text put into missing cells, to a typed profile; NULL means no fill."""
+    """Add ``fill``, the text put into missing cells, to a typed profile; NULL means no fill.
+
+    ``df`` is a prepared frame: with trimming on its cells are normalized already.
+    """
     how = options.fill_missing
     number = F.col("type").isin("integer", "float")
     if how in ("none", "empty"):
@@ -123,11 +134,13 @@ def with_fills(
             "fill", F.when(number, _number_fill(F.col("mean"), F.col("type")))
         )
     keys = [*by, COLUMN]
-    long = cells(df, columns, [*by, *order], options.na_tokens).filter(F.col(TEXT).isNotNull())
+    # Missing cells are left in and never counted: a filter would be pushed below the cleaning
+    # and run it twice.
+    long = cells(df, columns, [*by, *order], options.na_tokens, cleaned=options.trim)
     if how == "mode":
         found = first_modes(long, keys, TEXT, order).withColumnRenamed("mode", "fill")
         return profile.join(found, keys, "left")
-    values = long.select(*keys, numeric_value(F.col(TEXT)).alias("num")).filter("num IS NOT NULL")
+    values = long.select(*keys, numeric_value(F.col(TEXT)).alias("num"))
     found = exact_medians(values, keys, "num")
     return profile.join(found, keys, "left").withColumn(
         "fill", F.when(number, _number_fill(F.col("median"), F.col("type")))
@@ -143,7 +156,7 @@ def first_modes(df: DataFrame, keys: list[str], value: str, order: list[str]) ->
     """
     first = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
     counted = df.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n"), first.alias("_first")
+        F.count(value).alias("_n"), first.alias("_first")
     )
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first"), F.col(value).alias("v")))
     return counted.groupBy(*keys).agg(best.alias("_best")).select(
@@ -173,7 +186,7 @@ def exact_medians(
     ranked = cut_lineage(
         _ranked_middle(lookup_join(df, sketched, keys, F.col(value)), keys, value)
     )
-    found = ranked.filter("NOT _missed").select(*keys, "median")
+    found = ranked.filter("NOT coalesce(_missed, false)").select(*keys, "median")
     missed = ranked.filter("_missed").select(*keys)
     if margin >= 0.5 or missed.isEmpty():
         return found
@@ -187,7 +200,7 @@ def _ranked_middle(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     slot = (
         F.when(v < low, F.lit(float("-inf"))).when(v > high, F.lit(float("inf"))).otherwise(v)
     )
-    counted = df.groupBy(*keys, "_n", slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = df.groupBy(*keys, "_n", slot.alias("_slot")).agg(F.count(value).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_slot"))
     n = F.col("_n")
     reached = counted.withColumn("_upto", upto).groupBy(*keys).agg(

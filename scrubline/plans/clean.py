@@ -149,7 +149,10 @@ def column_rules(
     if not options.needs_profile:
         return {c: ColumnRule() for c in columns}
     profile = infer_types(
-        column_profile(texts, columns, dates=options.parse_dates, tokens=options.na_tokens),
+        column_profile(
+            texts, columns, dates=options.parse_dates, tokens=options.na_tokens,
+            cleaned=options.trim,
+        ),
         options,
     )
     if options.fill_missing in ("mode", "median"):
@@ -386,7 +389,10 @@ def clean_many(
     keys = _dedup_keys(texts, dict.fromkeys(columns), options) if options.drop_duplicates else []
     if options.needs_profile:
         profile = infer_types(
-            column_profile(texts, columns, [dataset], options.parse_dates, options.na_tokens),
+            column_profile(
+                texts, columns, [dataset], options.parse_dates, options.na_tokens,
+                cleaned=options.trim,
+            ),
             options,
         )
         decisions = cut_lineage(

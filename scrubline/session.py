@@ -27,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 
     A folder of our own is made only in local mode, where driver and executors are one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.sparkContext.getCheckpointDir()
+    )
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
