@@ -12,11 +12,19 @@ SALTS = 32
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of a table's size: text lengths plus a fixed charge per cell."""
-    cell = F.lit(0)
-    for name in df.columns:
-        cell = cell + F.lit(16) + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
-    return df.agg(F.sum(cell.cast("bigint")).alias("b")).first()["b"] or 0
+    """Upper estimate of a table's size: a fixed charge per cell plus the length of its texts."""
+    size = F.lit(16 * len(df.columns)).cast("bigint")
+    for field in df.schema:
+        if field.dataType.typeName() == "string":
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif field.dataType.typeName() in ("array", "map", "struct"):
+            text = F.to_json(F.struct(field.name))
+            size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    return df.agg(F.sum(size).alias("b")).first()["b"] or 0
+
+
+def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    return measured_bytes(df) <= limit_bytes
 
 
 def lookup_join(

@@ -1,7 +1,7 @@
 """Business summaries: totals, pivots, top-k and series.
 
-Joins come after pre-aggregation on the join key: the fact table shuffles one partial row per key
-and task, a hot key is combined away first, and the join reuses the aggregate's partitioning.
+A join side that was measured to be small is broadcast. Otherwise joins come after pre-aggregation on
+the join key: the fact table shuffles one partial row per key and task and a hot key is combined away.
 Money is summed as exact decimals, so results do not depend on the order of addition.
 """
 
@@ -12,6 +12,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.operators.lookup import fits_broadcast
+
 
 def money(c: Column) -> Column:
     return F.round(c, 2).cast("double")
@@ -52,15 +54,25 @@ def iso_month(ts: str) -> Column:
     return F.substring(iso_day(ts), 1, 7)
 
 
-def sales_per_part(lineitem: DataFrame, extra: list[Column] = ()) -> DataFrame:
-    return lineitem.groupBy("l_partkey", *extra).agg(
-        F.sum("l_quantity").alias("quantity"), F.sum(exact_profit()).alias("profit")
-    )
-
+def sums_by_model(
+    lineitem: DataFrame, part: DataFrame, amount: Column, groups: dict[str, Column] | None = None
+) -> DataFrame:
+    """Sums of an amount per model and further groups, as column ``amount``.
 
-def with_model(sales: DataFrame, part: DataFrame) -> DataFrame:
+    Where the part keys were measured to be small they are broadcast and one aggregation is left.
+    Otherwise sales are first combined per part, so that a hot part is combined away before the
+    join and the join reuses the aggregation's partitioning.
+    """
+    groups = groups or {}
     models = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("model"))
-    return sales.join(models, "l_partkey")
+    named = [c.alias(n) for n, c in groups.items()]
+    sales = lineitem.select("l_partkey", *named, amount.alias("amount"))
+    if fits_broadcast(models):
+        joined = sales.join(F.broadcast(models), "l_partkey")
+    else:
+        per_part = sales.groupBy("l_partkey", *groups).agg(F.sum("amount").alias("amount"))
+        joined = per_part.join(models, "l_partkey")
+    return joined.groupBy(*groups, "model").agg(F.sum("amount").alias("amount"))
 
 
 def quantity_by_dealer(lineitem: DataFrame) -> DataFrame:
@@ -70,10 +82,8 @@ def quantity_by_dealer(lineitem: DataFrame) -> DataFrame:
 
 
 def quantity_by_model(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    per_part = lineitem.groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"))
-    return with_model(per_part, part).groupBy("model").agg(
-        F.sum("quantity").alias("quantity_sold")
-    )
+    sums = sums_by_model(lineitem, part, F.col("l_quantity"))
+    return sums.withColumnRenamed("amount", "quantity_sold")
 
 
 def profit_by_dealer(lineitem: DataFrame) -> DataFrame:
@@ -83,12 +93,8 @@ def profit_by_dealer(lineitem: DataFrame) -> DataFrame:
 
 
 def profit_by_date_model(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    daily = lineitem.groupBy("l_partkey", iso_day("l_shipdate").alias("sale_date")).agg(
-        F.sum(exact_profit()).alias("profit")
-    )
-    return with_model(daily, part).groupBy("sale_date", "model").agg(
-        money(F.sum("profit")).alias("profit")
-    )
+    sums = sums_by_model(lineitem, part, exact_profit(), {"sale_date": iso_day("l_shipdate")})
+    return sums.select("sale_date", "model", money(F.col("amount")).alias("profit"))
 
 
 def profit_by_year_dealer(lineitem: DataFrame) -> DataFrame:
@@ -98,13 +104,20 @@ def profit_by_year_dealer(lineitem: DataFrame) -> DataFrame:
 
 
 def profit_one_model_by_dealer(lineitem: DataFrame, part: DataFrame, model: str) -> DataFrame:
-    """The model filter reaches the part scan; sales are combined per part and dealer first."""
+    """Profit of one model per dealer; the model filter reaches the part scan.
+
+    A small set of part keys is broadcast and filters the sales at the scan. A large one is met by
+    sales combined per part and dealer, so that a hot part cannot fill a partition.
+    """
     chosen = part.filter(F.col("p_brand") == model).select(F.col("p_partkey").alias("l_partkey"))
-    sales = lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum(exact_profit()).alias("profit"))
-    return (
-        sales.join(chosen, "l_partkey", "left_semi")
-        .groupBy(F.col("l_suppkey").alias("dealer_id"))
-        .agg(money(F.sum("profit")).alias("profit"))
+    sales = lineitem.select("l_partkey", "l_suppkey", exact_profit().alias("profit"))
+    if fits_broadcast(chosen):
+        sales = sales.join(F.broadcast(chosen), "l_partkey", "left_semi")
+    else:
+        combined = sales.groupBy("l_partkey", "l_suppkey").agg(F.sum("profit").alias("profit"))
+        sales = combined.join(chosen, "l_partkey", "left_semi")
+    return sales.groupBy(F.col("l_suppkey").alias("dealer_id")).agg(
+        money(F.sum("profit")).alias("profit")
     )
 
 

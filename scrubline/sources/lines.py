@@ -27,16 +27,14 @@ def unquoted(line: Column) -> Column:
     return F.regexp_replace(line, r'"[^"]*"', "")
 
 
-def delimiter_count(line: Column, delimiter: str) -> Column:
-    bare = unquoted(line)
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
+def occurrences(text: Column, mark: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, mark, F.lit("")))
 
 
 def field_count(line: Column, delimiter: Column) -> Column:
     """Cells in a line; a blank line has none."""
-    bare = unquoted(line)
-    gone = F.length(bare) - F.length(F.replace(bare, delimiter, F.lit("")))
-    return F.when(F.trim(line) == "", F.lit(0)).otherwise(gone + 1)
+    cells = occurrences(unquoted(line), delimiter) + 1
+    return F.when(F.trim(line) == "", F.lit(0)).otherwise(cells)
 
 
 def line_shapes(
@@ -44,10 +42,12 @@ def line_shapes(
 ) -> DataFrame:
     """Lines grouped by their delimiter counts (``n0``, ``n1``, ...), of which there are few."""
     text = F.col(line)
-    counts = {f"n{i}": delimiter_count(text, d) for i, d in enumerate(delimiters)}
-    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    bare = F.col("_bare")
+    counts = {f"n{i}": occurrences(bare, F.lit(d)) for i, d in enumerate(delimiters)}
+    quotes = occurrences(text, F.lit('"'))
     return (
-        lines.withColumns(counts)
+        lines.withColumn("_bare", unquoted(text))
+        .withColumns(counts)
         .withColumn("blank", F.trim(text) == "")
         .groupBy(*file, "blank", *counts)
         .agg(

@@ -281,3 +281,16 @@ def test_small_result_as_one_csv_file(spark, tmp_path):
     parts = list((tmp_path / "top").glob("part-*"))
     assert len(parts) == 1
     assert parts[0].read_text().splitlines()[:2] == ["id,t", '0," a ""b"""']
+
+
+def test_reports_are_the_same_without_a_broadcast(spark, monkeypatch):
+    lineitem = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    part = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    asked = [
+        lambda: reports.quantity_by_model(lineitem, part),
+        lambda: reports.profit_by_date_model(lineitem, part),
+        lambda: reports.profit_one_model_by_dealer(lineitem, part, "Brand#12"),
+    ]
+    near = [rows_of(fn(), *fn().columns) for fn in asked]
+    monkeypatch.setattr(reports, "fits_broadcast", lambda df: False)
+    assert near == [rows_of(fn(), *fn().columns) for fn in asked]
