@@ -27,6 +27,7 @@ from scrubline.sources.sinks import (
     remove_folder,
     stage_path,
     swap_in,
+    write_delimited,
     write_staged,
 )
 
@@ -66,10 +67,12 @@ def clean_layout(spark: SparkSession, layout: Layout, options: CleanOptions) ->
         kept = F.array_compact(
             F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in cleaned.columns])
         )
+    files = spark.createDataFrame([(f,) for f in layout.files], f"{FILE} string")
     audit = (
-        read.join(written.select(FILE, "rows_out", kept.alias("header_out")), FILE, "left")
+        files.join(read, FILE, "left")
+        .join(written.select(FILE, "rows_out", kept.alias("header_out")), FILE, "left")
         .join(cleaned.column_types(), FILE, "left")
-        .withColumn("rows_out", F.coalesce("rows_out", F.lit(0)))
+        .fillna({"rows_in": 1, "empty_rows_dropped": 0, "rows_out": 0})
         .withColumn("header_out", F.coalesce("header_out", everything))
         .withColumn(
             "duplicate_rows_dropped",
@@ -91,8 +94,7 @@ def audit_table(
     counts = results[0].audit
     for r in results[1:]:
         counts = counts.unionByName(r.audit)
-    facts = scanned.select(FILE, "delimiter", "encoding", "blank_lines")
-    nothing = F.array().cast("array<string>")
+    facts = scanned.select(FILE, "delimiter", "encoding", "blank_lines", "width")
     # without a header record the first blank line stands for it
     blanks = F.greatest(
         F.col("blank_lines") - F.when(F.col("_headed"), 0).otherwise(1), F.lit(0)
@@ -103,12 +105,14 @@ def audit_table(
         .select(
             "input_path",
             "output_path",
-            (F.coalesce("rows_in", F.lit(1)) + blanks).alias("rows_in"),
-            F.coalesce("rows_out", F.lit(0)).alias("rows_out"),
-            (F.coalesce("empty_rows_dropped", F.lit(0)) + blanks).alias("empty_rows_dropped"),
-            F.coalesce("duplicate_rows_dropped", F.lit(0)).alias("duplicate_rows_dropped"),
-            F.coalesce("header_in", nothing).alias("header_in"),
-            F.coalesce("header_out", nothing).alias("header_out"),
+            F.when((F.col("width") == 0) & (F.col("blank_lines") == 0), F.lit(0))
+            .otherwise(F.col("rows_in") + blanks)
+            .alias("rows_in"),
+            "rows_out",
+            (F.col("empty_rows_dropped") + blanks).alias("empty_rows_dropped"),
+            "duplicate_rows_dropped",
+            "header_in",
+            "header_out",
             "delimiter",
             F.col("encoding").alias("encoding_read"),
             F.lit(options.pad_rows).alias("pad_mode"),
@@ -190,5 +194,7 @@ def _write_layout(spark: SparkSession, result: LayoutResult, outputs: DataFrame)
             placed.filter(same), "dataset_id", list(columns), ORDER, staging,
             result.layout.delimiter,
         )
-        swap_in(spark, staging, finals, overwrite=True)
+        for final in swap_in(spark, staging, finals, overwrite=True):
+            nothing = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+            write_delimited(nothing, final, result.layout.delimiter, "overwrite")
     targets.unpersist()

@@ -17,6 +17,7 @@ from scrubline.functions.names import default_names, widen_names
 from scrubline.session import cut_lineage
 from scrubline.sources.lines import (
     DELIMITERS,
+    FALLBACK,
     encoding_of,
     latin1_to_cp1252,
     line_shapes,
@@ -190,6 +191,7 @@ def find_layouts(
         return [], None
     delimiter = delimiter_alias(delimiter)
     scanned = cut_lineage(scan_files(read_lines(spark, paths), delimiter))
+    scanned = _with_empty_files(spark, scanned, paths, delimiter)
     rows = scanned.orderBy(FILE).collect()
     spans: dict[str, tuple[int, int]] = {}
     for enc, sep in sorted({(r["encoding"], r["delimiter"]) for r in rows if r["multiline"]}):
@@ -217,6 +219,15 @@ def find_layouts(
     return [Layout(*key, tuple(files)) for key, files in groups.items()], scanned
 
 
+def _with_empty_files(
+    spark: SparkSession, scanned: DataFrame, paths: list[str], delimiter: str | None
+) -> DataFrame:
+    """The scan with a row for each file that holds no line at all."""
+    seen = {path_of(r[FILE]) for r in scanned.select(FILE).collect()}
+    empty = [(p, 0, "utf-8", False, delimiter or FALLBACK, "", 0, 0) for p in paths if p not in seen]
+    return scanned.unionByName(spark.createDataFrame(empty, scanned.schema)) if empty else scanned
+
+
 def _spanning_header(spark: SparkSession, row) -> list[str]:
     """Header record that itself holds a newline inside quotes."""
     first = (

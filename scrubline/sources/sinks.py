@@ -63,11 +63,15 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def swap_in(spark: SparkSession, staging: str, finals: dict[str, str], overwrite: bool) -> None:
+def swap_in(
+    spark: SparkSession, staging: str, finals: dict[str, str], overwrite: bool
+) -> list[str]:
     """Move each staged folder ``dataset=<id>`` to its final path, then drop the staging folder.
 
     An earlier output is renamed aside first and removed only after its successor is in place.
+    Gives the final paths of datasets without rows, for which nothing was staged.
     """
+    rowless = []
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
@@ -76,6 +80,7 @@ def swap_in(spark: SparkSession, staging: str, finals: dict[str, str], overwrite
     for dataset, final in finals.items():
         source, target = path(staging, f"dataset={dataset}"), path(final)
         if not fs.exists(source):
+            rowless.append(final)
             continue
         aside = None
         if fs.exists(target):
@@ -91,3 +96,4 @@ def swap_in(spark: SparkSession, staging: str, finals: dict[str, str], overwrite
         if aside is not None:
             fs.delete(aside, True)
     fs.delete(root, True)
+    return rowless

@@ -267,3 +267,18 @@ def test_forced_delimiter_alias(spark, folder):
         f.write("a,b\tc\n1,2\t3\n")
     layouts, _ = find_layouts(spark, [path], "tab")
     assert layouts[0].header == ("a,b", "c")
+
+
+def test_files_without_rows(spark, folder):
+    for name, text in (("nothing.csv", ""), ("head.csv", "A,b c\n"), ("some.csv", "A,b c\n1,2\n")):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+    audit = clean_files(spark, [folder], CleanOptions(infer_types=True), os.path.join(folder, "out"))
+    rows = {os.path.basename(r["input_path"]): r for r in audit.collect()}
+    counts = {k: (r["rows_in"], r["rows_out"], r["header_out"]) for k, r in rows.items()}
+    assert counts == {
+        "nothing.csv": (0, 0, ["column_1"]), "head.csv": (1, 0, ["a", "b_c"]),
+        "some.csv": (2, 1, ["a", "b_c"]),
+    }
+    part = glob.glob(os.path.join(folder, "out", "head_cleaned.csv", "part-*"))
+    assert open(part[0]).read().strip() == "a,b_c"
