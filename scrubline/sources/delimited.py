@@ -187,6 +187,7 @@ def find_layouts(
 
     The driver receives one short row per file, as it already holds the list of files.
     """
+    paths = resolve_inputs(spark, paths)
     if not paths:
         return [], None
     delimiter = delimiter_alias(delimiter)
