@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 * 1024 * 1024
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "scrubline", **conf: str) -> SparkSession:
@@ -48,6 +51,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever the driver was started from.
+
+    Workers load functions of a module by its name. The source goes out once per application, the
+    way ``--py-files`` sends it.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="scrubline-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def spread_small(df: DataFrame, keys: list[str]) -> DataFrame:
     """Divide a small input that arrives in few splits over all cores.
 
