@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.shared import held, text_bytes, texts_of
+from scrubline.llm.shared import held, map_batches, text_bytes, texts_of
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -229,7 +229,7 @@ def find_leaks(
         def search(batches, shipped=shipped):
             return _search(batches, shipped.value, window)
 
-        state = (held(state, "leaks") if k else state).mapInArrow(search, schema)
+        state = map_batches(held(state, "leaks") if k else state, search, schema)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return state.select("doc_id", "n_words", "n_hit", "matches", ids.alias("items"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.shared import texts_of
+from scrubline.llm.shared import map_batches, texts_of
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -122,7 +122,7 @@ def train_prototypes(
                 ["lang", "vector"],
             )
 
-    partial = chosen.mapInArrow(sums, "lang string, vector array<double>")
+    partial = map_batches(chosen, sums, "lang string, vector array<double>")
     each = partial.select("lang", F.posexplode("vector").alias("place", "value"))
     summed = each.groupBy("lang", "place").agg(F.sum("value").alias("value"))
     vectors = {}
@@ -180,4 +180,4 @@ def identify_language(
     narrow = texts_of(docs, key, text)
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double, cosines array<double>"
-    return narrow.mapInArrow(predict, schema)
+    return map_batches(narrow, predict, schema)

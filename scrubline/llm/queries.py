@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import decontaminate, exact_dedup, language
+from scrubline.llm import decontaminate, exact_dedup, language, packing, sharding
 from scrubline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,29 @@ def remainder(by: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_sharding(spark, folder):
+    placed = sharding.shard_documents(table(spark, folder, "documents"), 8)
+    return placed.select(
+        "*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op2_packing(spark, folder):
+    packed = packing.pack_documents(
+        table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json")
+    )
+    return packed.drop("ids")
+
+
 @query
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
