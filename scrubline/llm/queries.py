@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import decontaminate, exact_dedup, language, packing, sharding
+from scrubline.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    main_text,
+    packing,
+    sharding,
+    token_counts,
+    toxicity,
+)
 from scrubline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +60,30 @@ def op2_packing(spark, folder):
     return packed.drop("ids")
 
 
+@query
+def op3_token_counts(spark, folder):
+    import public_tokenizers
+
+    return token_counts.count_tokens(
+        table(spark, folder, "documents"),
+        tokenizer_path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+@query
+def op5_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    known = table(spark, folder, "labels").where(remainder(3) != 1)
+    scored = toxicity.score_documents(docs, toxicity.train(docs, known))
+    return scored.select(
+        "doc_id",
+        (remainder(3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
@@ -71,6 +104,11 @@ def op8_benchmark_decontamination(spark, folder):
     )
 
 
+@query
+def op9_html_extraction(spark, folder):
+    return main_text.extract_main_text(table(spark, folder, "pages")).drop("n_blocks")
+
+
 @query
 def op10_language_id(spark, folder):
     docs = table(spark, folder, "documents")
