@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.llm import (
     decontaminate,
     exact_dedup,
+    jaccard_join,
     language,
     main_text,
     packing,
@@ -84,6 +85,11 @@ def op5_toxicity(spark, folder):
     )
 
 
+@query
+def op6_ngram_jaccard_join(spark, folder):
+    return jaccard_join.linked_components(table(spark, folder, "documents"), 4, 85)
+
+
 @query
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
