@@ -15,6 +15,7 @@ from scrubline.llm import (
     main_text,
     packing,
     sharding,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
@@ -72,6 +73,14 @@ def op3_token_counts(spark, folder):
     )
 
 
+@query
+def op4_suffix_array_dedup(spark, folder):
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op5_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
