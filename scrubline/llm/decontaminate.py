@@ -71,7 +71,7 @@ class TestItems:
             starts = np.arange(len(ids) - size + 1)
             rows = np.zeros((len(starts), window), dtype=">u4")
             rows[:, :size] = ids[starts[:, None] + np.arange(size)]
-            low.append(_keys(rows))
+            low.append(_keys(rows.copy()))
             rows[:, size:] = 0xFFFFFFFF
             high.append(_keys(rows))
             self.of.append(np.full(len(starts), k))
