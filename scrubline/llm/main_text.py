@@ -11,6 +11,7 @@ a surge takes as much text as boilerplate lines seldom have together.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -50,6 +51,7 @@ SILENT_NAMES = frozenset(
     "login".split()
 )
 COMMENT_NAMES = frozenset("comment comments respond disqus".split())
+UNFINISHED = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 WHOLE = frozenset(("html", "body", "main"))
 
 
@@ -188,7 +190,7 @@ def kept_lines(weights: list[int], surge: int, window: int = WINDOW) -> list[tup
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The blocks of the main text, in page order."""
     reader = LineReader()
-    reader.feed(html or "")
+    reader.feed(UNFINISHED.sub("", html or ""))
     reader.close()
     marked = any(line.article and line.text for line in reader.lines)
     lines = [line for line in reader.lines if line.article] if marked else reader.lines

@@ -14,19 +14,19 @@ hardly differ, since toxic texts are mostly ordinary words.
 Only the model (a few kilobytes) and counts of a bounded sample of labelled rows reach the driver.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.shared import held, map_batches, texts_of
+from scrubline.session import ship_package
 
 WORD = re.compile(r"[^\W\d_]+")
 CODE = 12
@@ -301,15 +301,11 @@ def probability(gains: np.ndarray, model: ToxicityModel) -> float:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows scored at or above ``threshold``; all columns kept, no shuffle."""
-    import pandas as pd
-
-    from scrubline.session import ship_package
-
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def score(batches: pd.Series) -> pd.Series:
+    def score_all(texts: pd.Series) -> pd.Series:
         gauge = Gauge(model.common, model.toxic)
-        return pd.Series([probability(gauge.gains(t), model) for t in batches], dtype=float)
+        return pd.Series([probability(gauge.gains(t), model) for t in texts], dtype=float)
 
+    score = F.pandas_udf(score_all, "double")
     return docs.where(score(F.col("text").cast("string")) < threshold)
