@@ -36,7 +36,7 @@ def full_clean(spark, folder):
         infer_types=True, parse_dates=True, fill_missing="mean", drop_duplicates=True,
         dedup_keys=("l_orderkey", "l_partkey"),
     )
-    return clean(raw, options, ["row_place"]).frame
+    return clean(raw, options, ["row_place"], spread=True).frame
 
 
 def wide_profile(spark, folder):

@@ -61,15 +61,33 @@ def snake_name_column(c: Column) -> Column:
 
 
 def name_rows(df: DataFrame, dataset: str, position: str, raw: str) -> DataFrame:
-    """Sanitize header names stored one per row and number the repeats within a dataset.
+    """Sanitize header names stored one per row; a repeated one gets the next free suffix.
 
-    A dataset's header is one record, so the window holds no more rows than the file has columns.
+    The rule is that of ``unique_names``. A dataset's header is one record, so the window's arrays
+    hold no more names than the file has columns.
     """
     based = df.withColumn("base_name", snake_name_column(F.col(raw)))
-    seen = F.row_number().over(Window.partitionBy(dataset, "base_name").orderBy(position))
-    return based.withColumn(
-        "name",
-        F.when(seen == 1, F.col("base_name")).otherwise(
-            F.concat_ws("_", F.col("base_name"), seen.cast("string"))
-        ),
+    header = Window.partitionBy(dataset)
+    pair = F.struct(F.col(position).alias("p"), F.col("base_name").alias("b"))
+    bases = F.transform(F.array_sort(F.collect_list(pair).over(header)), lambda x: x["b"])
+    place = F.row_number().over(header.orderBy(position, "base_name"))
+    numbered = based.withColumns({"_bases": bases, "_place": place})
+    return numbered.withColumn("name", F.get(_suffixed("_bases"), F.col("_place") - 1)).drop(
+        "_bases", "_place"
     )
+
+
+def _suffixed(bases: str) -> Column:
+    """Names in order, the second and later of a base with the least suffix that is free."""
+    every = F.col(bases)
+
+    def add(done: Column, base: Column) -> Column:
+        numbers = F.sequence(F.lit(2), 2 * F.size(every) + 2)
+        tried = F.transform(numbers, lambda n: F.concat_ws("_", base, n.cast("string")))
+        free = F.filter(
+            tried, lambda t: ~F.array_contains(every, t) & ~F.array_contains(done, t)
+        )
+        chosen = F.when(F.array_contains(done, base), F.get(free, F.lit(0))).otherwise(base)
+        return F.array_append(done, chosen)
+
+    return F.aggregate(every, F.array().cast("array<string>"), add)

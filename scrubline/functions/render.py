@@ -101,7 +101,3 @@ def format_timestamp(ts: Column, pattern: str) -> Column:
     if literal or not parts:
         parts.append(F.lit(literal))
     return F.when(ts.isNotNull(), F.concat(*parts))
-
-
-def boolean_text(value: Column) -> Column:
-    return value.cast("string")

@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.session import ship_package
+
+# Spans, and references other than those ``plain_text`` resolves.
+_UNTIDY = r"(?is)\b(?:row|col)span\s*=|&(?!(?:nbsp|lt|gt|quot|amp|#39);)#?\w+"
+#: rows of a page handed over at once by the tolerant parser
+ROWS_AT_ONCE = 5000
 _TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t([dh])\b[^>]*>(.*?)</t[dh]\s*>"
@@ -28,11 +34,18 @@ def plain_text(fragment: Column) -> Column:
 
 
 def extract_tables(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """Rows ``(page, table_no, row_no, is_header, cells)`` of tidy, unnested tables.
+    """Rows ``(page, table_no, row_no, is_header, cells)`` of well-formed, unnested tables.
 
-    Pages never meet: each is taken apart inside its own task. Nested or unclosed markup goes
-    through ``extract_untidy_tables``.
+    Pages never meet: each is taken apart inside its own task. Pages whose tables span cells or hold
+    rare character references go through ``extract_untidy_tables``, the others stay in the JVM. For
+    nested or unclosed markup call that one.
     """
+    untidy = F.coalesce(F.col(html).rlike(_UNTIDY), F.lit(False))
+    tidy = _tidy_tables(pages.filter(~untidy), page, html)
+    return tidy.unionByName(extract_untidy_tables(pages.filter(untidy), page, html))
+
+
+def _tidy_tables(pages: DataFrame, page: str, html: str) -> DataFrame:
     tables = pages.select(
         page, F.posexplode(F.regexp_extract_all(html, F.lit(_TABLE), F.lit(1)))
     ).toDF(page, "table_no", "_table")
@@ -51,12 +64,12 @@ def extract_tables(pages: DataFrame, page: str = "page_id", html: str = "html")
 
 
 class _TableReader(HTMLParser):
-    """Collects the rows of every table, nested ones included."""
+    """Collects the rows of every table, nested ones included: (is header, parts, spans)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[tuple[bool, str]]]] = []
-        self._open: list[list[list[tuple[bool, list[str]]]]] = []
+        self.tables: list[list[list[tuple[bool, list[str], int, int]]]] = []
+        self._open: list[list[list[tuple[bool, list[str], int, int]]]] = []
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag == "table":
@@ -68,7 +81,10 @@ class _TableReader(HTMLParser):
         elif self._open and tag in ("td", "th"):
             if not self._open[-1]:
                 self._open[-1].append([])
-            self._open[-1][-1].append((tag == "th", []))
+            given = dict(attrs)
+            self._open[-1][-1].append(
+                (tag == "th", [], _span(given.get("rowspan")), _span(given.get("colspan")))
+            )
 
     def handle_endtag(self, tag) -> None:
         if tag == "table" and self._open:
@@ -79,10 +95,48 @@ class _TableReader(HTMLParser):
             self._open[-1][-1][-1][1].append(data)
 
 
+def _span(value: str | None) -> int:
+    """A span attribute; 1 where it is no number. Bounded as in the HTML standard."""
+    digits = (value or "").strip()
+    return min(max(int(digits), 1), 1000) if digits.isdecimal() else 1
+
+
+def _grid(table) -> Iterator[tuple[bool, list[str]]]:
+    """Rows with spanned cells repeated wherever they reach, so that positions hold."""
+    open_cells: dict[int, tuple[int, str]] = {}  # column -> rows left, text
+    for row in table:
+        texts: list[str] = []
+
+        def fill(texts=texts) -> None:
+            while len(texts) in open_cells:
+                left, text = open_cells.pop(len(texts))
+                if left > 1:
+                    below[len(texts)] = (left - 1, text)
+                texts.append(text)
+
+        below: dict[int, tuple[int, str]] = {}
+        for _, parts, rows, columns in row:
+            fill()
+            text = " ".join("".join(parts).split())
+            for _ in range(columns):
+                if rows > 1:
+                    below[len(texts)] = (rows - 1, text)
+                texts.append(text)
+        fill()
+        for column, (left, text) in open_cells.items():
+            if left > 1:
+                below[column] = (left - 1, text)
+        open_cells = below
+        yield all(cell[0] for cell in row), texts
+
+
 def extract_untidy_tables(
     pages: DataFrame, page: str = "page_id", html: str = "html"
 ) -> DataFrame:
-    """As ``extract_tables`` for nested or unclosed markup, by a tolerant parser per page."""
+    """As ``extract_tables`` for nested or unclosed markup, by a tolerant parser per page.
+
+    Cells that span columns or rows appear at every place they cover.
+    """
     page_type = pages.schema[page].dataType.simpleString()
     schema = f"{page} {page_type}, table_no int, row_no int, is_header boolean, cells array<string>"
 
@@ -94,11 +148,15 @@ def extract_untidy_tables(
                 reader.feed(text or "")
                 reader.close()
                 for t, table in enumerate(reader.tables):
-                    for r, row in enumerate(table):
-                        texts = [" ".join("".join(parts).split()) for _, parts in row]
-                        out.append((key, t, r, all(h for h, _ in row), texts))
-            yield pd.DataFrame(out, columns=[page, "table_no", "row_no", "is_header", "cells"])
-
+                    for r, (header, texts) in enumerate(_grid(table)):
+                        out.append((key, t, r, header, texts))
+                        if len(out) >= ROWS_AT_ONCE:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+            yield pd.DataFrame(out, columns=names)
+
+    names = [page, "table_no", "row_no", "is_header", "cells"]
+    ship_package(pages.sparkSession)
     return pages.select(page, html).mapInPandas(read, schema)
 
 

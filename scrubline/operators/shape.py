@@ -16,22 +16,19 @@ def truncated(fields: Column, names: list[str]) -> list[Column]:
     return padded(F.slice(fields, F.lit(1), F.lit(len(names))), names)
 
 
-def uneven_rows(df: DataFrame, fields: str, width: Column) -> DataFrame:
-    """Rows whose cell count differs from ``width``, with the reason."""
-    size = F.size(fields)
+def uneven_rows(df: DataFrame, cells: Column, width: Column) -> DataFrame:
+    """Rows whose cell count differs from ``width``, with the reason; a count needs no parse."""
     return (
-        df.withColumn("cells", size)
+        df.withColumn("cells", cells)
         .withColumn("wanted", width)
-        .filter(size != width)
-        .withColumn("problem", F.when(size < width, F.lit("short")).otherwise(F.lit("long")))
+        .filter(F.col("cells") != F.col("wanted"))
+        .withColumn(
+            "problem",
+            F.when(F.col("cells") < F.col("wanted"), F.lit("short")).otherwise(F.lit("long")),
+        )
     )
 
 
-def drop_empty_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Keep rows with at least one non-empty cell among ``columns``."""
-    return df.filter(~is_empty_row(columns))
-
-
 def is_empty_row(columns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns]).isNull()
 

@@ -249,19 +249,20 @@ def clean(
     options: CleanOptions = CleanOptions(),
     order: list[str] | None = None,
     typed: bool = False,
+    spread: bool = False,
 ) -> Cleaned:
     """Clean one dataset.
 
     ``order`` names the columns that identify a row and say which comes first; they are carried
     through unchanged. Without them the rows are numbered as read. In text mode every column is a
     string and a cell that does not conform keeps its text; with ``typed`` it becomes NULL and
-    shows up in ``rejects()``.
+    shows up in ``rejects()``. ``spread`` shuffles an input of a few splits over all cores first.
     """
     if order is None:
         order = ["row_id"]
         df = df.withColumn("row_id", F.monotonically_increasing_id())
     header_in = [c for c in df.columns if c not in order]
-    raw, columns = name_columns(spread_small(df, order), order)
+    raw, columns = name_columns(spread_small(df, order) if spread else df, order)
     texts = prepare(raw, columns, options)
     keys = _dedup_keys(texts, dict.fromkeys(columns), options) if options.drop_duplicates else []
     rules = column_rules(texts, columns, options, order)
@@ -377,6 +378,7 @@ def clean_many(
     options: CleanOptions = CleanOptions(),
     order: list[str] = ("row_id",),
     names: list[str] | None = None,
+    spread: bool = False,
 ) -> CleanedMany:
     """Clean every dataset named by the ``dataset`` column with its own types and fills.
 
@@ -384,7 +386,8 @@ def clean_many(
     (see ``lookup_join``), so that the number of datasets and a very large one do not matter.
     """
     carried = [dataset, *order]
-    raw, columns = name_columns(spread_small(df, carried), carried, names)
+    spread_out = spread_small(df, carried) if spread else df
+    raw, columns = name_columns(spread_out, carried, names)
     texts = prepare(raw.withColumn("_empty", is_blank_row(columns, options)), columns, options)
     keys = _dedup_keys(texts, dict.fromkeys(columns), options) if options.drop_duplicates else []
     if options.needs_profile:

@@ -32,6 +32,11 @@ from scrubline.sources.sinks import (
 )
 
 
+def keeps_blank_lines(options: CleanOptions) -> bool:
+    """Whether a row without values can be part of the output."""
+    return not options.drop_empty_rows or options.fill_missing != "none"
+
+
 @dataclass
 class LayoutResult:
     """Cleaned rows of one layout, held in the shared folder, and its audit counters per file."""
@@ -50,7 +55,8 @@ def clean_layout(spark: SparkSession, layout: Layout, options: CleanOptions) ->
     """
     names = layout_names(layout, options.pad_rows)
     cleaned = clean_many(
-        read_layout(spark, layout, options.pad_rows), FILE, options, ORDER, names
+        read_layout(spark, layout, options.pad_rows, keeps_blank_lines(options)),
+        FILE, options, ORDER, names,
     )
     folder = stage_path(spark, shared_dir(spark))
     cleaned.frame.write.parquet(folder)
@@ -89,7 +95,8 @@ def audit_table(
 ) -> DataFrame:
     """One row per file: paths, counters, headers, delimiter, encoding, options, column types.
 
-    Blank lines never reach the reader; they count as rows read and as empty rows dropped.
+    Where empty rows are dropped and nothing fills them, blank lines are not read as rows; they
+    count as rows read and as empty rows dropped.
     """
     counts = results[0].audit
     for r in results[1:]:
@@ -99,6 +106,8 @@ def audit_table(
     blanks = F.greatest(
         F.col("blank_lines") - F.when(F.col("_headed"), 0).otherwise(1), F.lit(0)
     )
+    if keeps_blank_lines(options):  # they are rows like any other
+        blanks = F.lit(0)
     return (
         facts.join(counts, FILE, "left")
         .join(outputs, FILE, "left")
@@ -128,14 +137,6 @@ def audit_table(
     )
 
 
-def format_log(record) -> str:
-    """Text of one audit record."""
-    lines = ["Cleaning log", "-" * 60]
-    for key, value in record.asDict().items():
-        lines.append(f"{key}: {', '.join(value) if isinstance(value, list) else value}")
-    return "\n".join(lines) + "\n"
-
-
 def clean_files(
     spark: SparkSession,
     inputs: list[str],
@@ -157,7 +158,24 @@ def clean_files(
     if len(set(finals.values())) < len(finals):
         raise ValueError("two inputs would get the same output path; use separate folders")
     layouts, scanned = find_layouts(spark, paths, options.delimiter)
-    results = [clean_layout(spark, layout, options) for layout in layouts]
+    results: list[LayoutResult] = []
+    try:
+        return _clean_layouts(spark, layouts, scanned, results, finals, options, audit_path)
+    finally:  # also after an error
+        for r in results:
+            remove_folder(spark, r.folder)
+
+
+def _clean_layouts(
+    spark: SparkSession,
+    layouts: list[Layout],
+    scanned: DataFrame,
+    results: list[LayoutResult],
+    finals: dict[str, str],
+    options: CleanOptions,
+    audit_path: str | None,
+) -> DataFrame:
+    results += [clean_layout(spark, layout, options) for layout in layouts]
     files = [f for layout in layouts for f in layout.files]
     outputs = spark.createDataFrame(
         [(f, str(i), path_of(f), finals[path_of(f)]) for i, f in enumerate(files)],
@@ -169,7 +187,6 @@ def clean_files(
     targets = outputs.join(audit.select("input_path", "header_out"), "input_path")
     for r in results:
         _write_layout(spark, r, targets)
-        remove_folder(spark, r.folder)
     if audit_path:
         audit.write.mode("append").parquet(audit_path)
     return audit

@@ -260,7 +260,7 @@ _DEFECTS = f"""WITH e AS (SELECT event_id,
     CASE WHEN event_id % 50 = 4 THEN NULL ELSE props END AS props FROM events)
   SELECT * FROM e UNION ALL SELECT * FROM e WHERE event_id % 50 = 0"""
 
-_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+_EVENT_TYPES = ["click", "purchase", "signup", "view"]
 
 
 def all_oracles() -> dict[str, str]:
@@ -380,10 +380,12 @@ def all_oracles() -> dict[str, str]:
         "GROUP BY 1 ORDER BY total DESC, 1",
         "pivot_two_way": "SELECT l_returnflag, "
         "sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS \"F\", "
-        "sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS \"O\" "
+        "sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS \"O\", "
+        "sum(CASE WHEN l_linestatus IN ('F', 'O') THEN 0 ELSE l_quantity END) AS other "
         "FROM lineitem GROUP BY 1",
         "heatmap_matrix": "SELECT strftime(ts, '%Y-%m-%d') AS day, "
         + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in _EVENT_TYPES)
+        + f", count(*) FILTER (event_type IS NULL OR event_type NOT IN {tuple(_EVENT_TYPES)}) AS other"
         + " FROM events GROUP BY 1",
         "quantity_by_dealer": "SELECT l_suppkey AS dealer_id, sum(l_quantity) AS quantity_sold "
         "FROM lineitem GROUP BY 1",

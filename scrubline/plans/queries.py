@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.functions.names import name_rows
+from scrubline.functions.names import name_rows, widen_names
 from scrubline.functions.parsing import is_whole, numeric_value, parse_boolean, parse_timestamp
 from scrubline.functions.render import format_timestamp
 from scrubline.functions.text import blank_to_null, normalize_whitespace
@@ -16,14 +17,18 @@ from scrubline.operators.dedup import drop_duplicate_rows, keep_first
 from scrubline.operators.lookup import lookup_join
 from scrubline.operators.spelling import fix_spelling, merge_parts
 from scrubline.options import CleanOptions
+from scrubline.session import cut_lineage
 from scrubline.plans import reports, views
-from scrubline.plans.clean import audit_counts, clean, clean_many, name_columns, prepare
+from scrubline.plans.clean import audit_counts, name_columns, prepare
+from scrubline.plans.clean import clean as clean_one
+from scrubline.plans.clean import clean_many as clean_all
 from scrubline.sources.lines import (
-    DELIMITERS,
     field_count,
     line_shapes,
+    own_count,
     parse_lines,
     vote_delimiter,
+    widest,
 )
 from scrubline.sources.tables import table
 from scrubline.streaming.streams import clean_table_stream, distinct_table_stream
@@ -33,9 +38,12 @@ _registered: dict[str, Query] = {}
 
 INFER = CleanOptions(infer_types=True)
 KEY = views.LINEITEM_KEY
-# Event types of the data, listed so that a pivot needs no extra job.
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+# Event types that get a column; the others share one.
+EVENT_TYPES = ["click", "purchase", "signup", "view"]
 MODEL = "Brand#12"
+HEADER = ["id", "priority", "status", "price"]
+# The tables may arrive as one file of one split.
+clean, clean_many = partial(clean_one, spread=True), partial(clean_all, spread=True)
 
 
 def query(fn: Query) -> Query:
@@ -194,8 +202,7 @@ def fill_constant(spark, folder):
 
 @query
 def fill_per_file(spark, folder):
-    lines = _parsed_lines(spark, folder)
-    names = ["id", "priority", "status", "price", "extra_1"]
+    lines, names = _parsed_lines(spark, folder)
     rows = lines.select("file_id", "o_orderkey", *shape.padded(F.col("fields"), names))
     options = CleanOptions(infer_types=True, fill_missing="mean")
     many = clean_many(rows, "file_id", options, ["o_orderkey"])
@@ -322,14 +329,25 @@ def _voted(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shapes, vote_delimiter(shapes, ["file_id"])
 
 
-def _parsed_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines with their cells; the vote, one row per file, is joined by ``lookup_join``."""
+def _tagged_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Lines with their file's delimiter, and the most cells a line has.
+
+    The vote, one row per file, is joined by ``lookup_join``.
+    """
     lines = views.csv_lines(spark, folder)
-    _, votes = _voted(lines)
+    shapes, votes = _voted(lines)
+    shapes = cut_lineage(shapes)
+    votes = vote_delimiter(shapes, ["file_id"])
     tagged = lookup_join(
         lines, votes.select("file_id", "delimiter"), ["file_id"], F.col("o_orderkey")
     )
-    return parse_lines(tagged, "line", F.col("delimiter"), 5)
+    return tagged, widest(shapes, votes, ["file_id"])
+
+
+def _parsed_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """Lines with their cells, and names for the widest of them."""
+    tagged, width = _tagged_lines(spark, folder)
+    return parse_lines(tagged, "line", F.col("delimiter"), width), widen_names(HEADER, width)
 
 
 @query
@@ -341,9 +359,7 @@ def delimiter_vote(spark, folder):
 @query
 def file_width(spark, folder):
     shapes, votes = _voted(views.csv_lines(spark, folder))
-    own = F.lit(None).cast("int")
-    for i, d in enumerate(DELIMITERS):
-        own = F.when(F.col("delimiter") == d, F.col(f"n{i}") + 1).otherwise(own)
+    own = own_count(F.col("delimiter"))
     return (
         shapes.join(votes.select("file_id", "delimiter"), "file_id")
         .groupBy("file_id")
@@ -353,31 +369,29 @@ def file_width(spark, folder):
 
 @query
 def clean_csv_lines(spark, folder):
-    names = ["id", "priority", "status", "price", "extra_1"]
-    rows = _parsed_lines(spark, folder).select(
-        "file_id", "o_orderkey", *shape.padded(F.col("fields"), names)
-    )
+    lines, names = _parsed_lines(spark, folder)
+    rows = lines.select("file_id", "o_orderkey", *shape.padded(F.col("fields"), names))
     return clean(rows, CleanOptions(), ["file_id", "o_orderkey"]).frame
 
 
-HEADER = ["id", "priority", "status", "price"]
-
-
 @query
 def ragged_pad(spark, folder):
-    cells = shape.padded(F.col("fields"), [*HEADER, "extra_1"])
-    return _parsed_lines(spark, folder).select("file_id", "o_orderkey", *cells)
+    lines, names = _parsed_lines(spark, folder)
+    return lines.select("file_id", "o_orderkey", *shape.padded(F.col("fields"), names))
 
 
 @query
 def ragged_truncate(spark, folder):
     cells = shape.truncated(F.col("fields"), HEADER)
-    return _parsed_lines(spark, folder).select("file_id", "o_orderkey", *cells)
+    lines, _ = _parsed_lines(spark, folder)
+    return lines.select("file_id", "o_orderkey", *cells)
 
 
 @query
 def ragged_error_report(spark, folder):
-    bad = shape.uneven_rows(_parsed_lines(spark, folder), "fields", F.lit(len(HEADER)))
+    lines, _ = _tagged_lines(spark, folder)
+    cells = field_count(F.col("line"), F.col("delimiter"))
+    bad = shape.uneven_rows(lines, cells, F.lit(len(HEADER)))
     return bad.select("file_id", "o_orderkey", "cells", "wanted", "problem")
 
 

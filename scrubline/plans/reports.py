@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from scrubline.operators.lookup import fits_broadcast
 
+OTHER = "other"
+
 
 def money(c: Column) -> Column:
     return F.round(c, 2).cast("double")
@@ -42,8 +44,13 @@ def total_by_group(df: DataFrame, group: str, amount: str, name: str = "total")
 
 
 def two_way(df: DataFrame, row: str, column: str, values: list[str], cell: Column) -> DataFrame:
-    """Pivot with listed column values, so that no extra job looks for them; empty cells are 0."""
-    return df.groupBy(row).pivot(column, values).agg(cell).fillna(0)
+    """Pivot with listed column values, so that no extra job looks for them; empty cells are 0.
+
+    Whatever is not listed, NULL included, is counted in a column ``other``, so totals stay whole.
+    """
+    listed = F.when(F.col(column).isin(values), F.col(column)).otherwise(F.lit(OTHER))
+    shown = df.withColumn("_listed", listed)
+    return shown.groupBy(row).pivot("_listed", [*values, OTHER]).agg(cell).fillna(0)
 
 
 def iso_day(ts: str) -> Column:

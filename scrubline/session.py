@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 * 1024 * 1024
+MOST_SPLITS = 4
 _shipped: set[str] = set()
 
 
@@ -70,12 +71,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread_small(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Divide a small input that arrives in few splits over all cores.
+    """Divide an input of few splits over all cores.
 
-    Cleaning is bound by parsing, so a file of one split would keep one core busy. Only inputs of
-    far fewer splits than cores are touched; large ones are never shuffled here.
+    Cleaning is bound by parsing, so a file of one split would keep one core busy. An input with
+    more than ``MOST_SPLITS`` files or splits is left as it is, whatever the number of cores.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < SPLIT_BYTES * cores / 4 else df
+    if size > SPLIT_BYTES * MOST_SPLITS or len(df.inputFiles()) > MOST_SPLITS:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys)

@@ -7,6 +7,7 @@ agree on all of these form one layout and are read by one ``spark.read.csv`` ove
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -19,6 +20,7 @@ from scrubline.sources.lines import (
     DELIMITERS,
     FALLBACK,
     encoding_of,
+    is_blank_line,
     latin1_to_cp1252,
     line_shapes,
     vote_delimiter,
@@ -76,7 +78,9 @@ def delimiter_alias(given: str | None) -> str | None:
 def resolve_inputs(spark: SparkSession, patterns: list[str]) -> list[str]:
     """Paths for files, folders (their ``*.csv`` only, not below) and globs; missing ones dropped.
 
-    The order of the arguments is kept and a file named twice is taken once.
+    A name is a pattern only where nothing of that very name exists. The order of the arguments is
+    kept and a file named twice is taken once. Spark's readers pass over names that start with an
+    underscore or a dot, so those are an error rather than an empty result.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -84,17 +88,26 @@ def resolve_inputs(spark: SparkSession, patterns: list[str]) -> list[str]:
     for pattern in patterns:
         path = jvm.org.apache.hadoop.fs.Path(pattern)
         fs = path.getFileSystem(conf)
-        hits = fs.globStatus(path) or []
+        hits = [fs.getFileStatus(path)] if fs.exists(path) else fs.globStatus(path) or []
         if len(hits) == 1 and hits[0].isDirectory():
-            hits = fs.globStatus(jvm.org.apache.hadoop.fs.Path(hits[0].getPath(), "*.csv")) or []
+            inside = fs.listStatus(hits[0].getPath())
+            hits = [h for h in inside if h.getPath().getName().endswith(".csv")]
         for hit in sorted((h for h in hits if h.isFile()), key=lambda h: h.getPath().toString()):
             found[hit.getPath().toString()] = None
+    hidden = [p for p in found if p.rsplit("/", 1)[-1].startswith(("_", "."))]
+    if hidden:
+        raise ValueError(f"names that Spark does not read; rename them: {hidden[:5]}")
     return list(found)
 
 
+def literal(path: str) -> str:
+    """A path for ``spark.read`` in which no character is a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Raw lines with their file and place: ``_file, _block, _row, value``."""
-    return spark.read.text(list(paths)).select(
+    return spark.read.text([literal(p) for p in paths]).select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(ROW),
@@ -117,7 +130,10 @@ def scan_files(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
         n = F.when(real, F.col(f"n{i}") + 1)
         widths += [F.max(n).alias(f"max{i}"), F.min(n).alias(f"min{i}")]
     facts = shapes.groupBy(FILE).agg(
-        F.sum(F.when(~real, F.col("lines")).otherwise(0)).alias("blank_lines"),
+        # inside a quoted cell a blank line is part of a record, so such files have none
+        F.when(F.some("open_quote"), F.lit(0).cast("bigint"))
+        .otherwise(F.sum(F.when(~real, F.col("lines")).otherwise(0)))
+        .alias("blank_lines"),
         encoding_of(F.every("all_utf8"), F.some("undefined_1252")).alias("encoding"),
         F.some("open_quote").alias("multiline"),
         *widths,
@@ -154,7 +170,9 @@ def _spark_encoding(encoding: str) -> str:
     return "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
 
 
-def _csv_options(delimiter: str, encoding: str, multiline: bool) -> dict[str, str]:
+def _csv_options(
+    delimiter: str, encoding: str, multiline: bool, width: int = 0
+) -> dict[str, str]:
     return {
         "sep": delimiter,
         "quote": '"',
@@ -162,6 +180,7 @@ def _csv_options(delimiter: str, encoding: str, multiline: bool) -> dict[str, st
         "encoding": _spark_encoding(encoding),
         "multiLine": str(multiline).lower(),
         "maxCharsPerColumn": "-1",
+        "maxColumns": str(max(20480, width + 1)),
         "mode": "PERMISSIVE",
     }
 
@@ -170,7 +189,7 @@ def _record_widths(spark: SparkSession, paths: list[str], delimiter: str, encodi
     """Header width and cell counts per file whose records may span lines."""
     records = spark.read.options(**_csv_options(delimiter, encoding, True)).option(
         "singleVariantColumn", "record"
-    ).csv([path_of(p) for p in paths])
+    ).csv([literal(path_of(p)) for p in paths])
     cells = F.map_keys(F.col("record").cast("map<string,string>"))
     return (
         records.select(F.col("_metadata.file_path").alias(FILE), F.size(cells).alias("n"))
@@ -233,7 +252,7 @@ def _spanning_header(spark: SparkSession, row) -> list[str]:
     """Header record that itself holds a newline inside quotes."""
     first = (
         spark.read.options(**_csv_options(row["delimiter"], row["encoding"], True))
-        .csv(path_of(row[FILE]))
+        .csv(literal(path_of(row[FILE])))
         .limit(1)
         .collect()
     )
@@ -251,24 +270,45 @@ def layout_names(layout: Layout, pad_rows: str) -> list[str]:
     return widen_names(layout.names, layout.width)
 
 
-def read_layout(spark: SparkSession, layout: Layout, pad_rows: str = "pad") -> DataFrame:
+def read_layout(
+    spark: SparkSession, layout: Layout, pad_rows: str = "pad", keep_blank: bool = False
+) -> DataFrame:
     """All rows of a layout: file, place and one string column ``_c0, ...`` per cell.
 
-    Columns keep positional names here, since raw header names may repeat.
+    Columns keep positional names here, since raw header names may repeat. Spark's reader passes
+    over blank lines; with ``keep_blank`` each is a row without values, after the other rows of its
+    split.
     """
     wanted = len(layout_names(layout, pad_rows))
     schema = ", ".join(f"_c{i} string" for i in range(max(layout.width, wanted)))
     df = (
         spark.read.schema(schema)
-        .options(**_csv_options(layout.delimiter, layout.encoding, layout.multiline))
+        .options(
+            **_csv_options(layout.delimiter, layout.encoding, layout.multiline, layout.width)
+        )
         .option("header", str(layout.has_header).lower())
-        .csv(layout.paths)
+        .csv([literal(p) for p in layout.paths])
     )
     cells = [F.col(f"_c{i}") for i in range(wanted)]
     if layout.encoding == "cp1252":
         cells = [latin1_to_cp1252(c).alias(f"_c{i}") for i, c in enumerate(cells)]
-    return df.select(
-        F.col("_metadata.file_path").alias(FILE),
-        place().alias(PLACE),
-        *cells,
+    rows = df.select(F.col("_metadata.file_path").alias(FILE), place().alias(PLACE), *cells)
+    return rows.unionByName(_blank_rows(spark, layout, wanted)) if keep_blank else rows
+
+
+def _blank_rows(spark: SparkSession, layout: Layout, width: int) -> DataFrame:
+    """A row of NULL cells for every blank line; in files with quoted newlines there are none.
+
+    Without a header record the first blank line of a file stands for it.
+    """
+    late = place() + F.lit(2**32).cast("decimal(11,0)")
+    lines = spark.read.text([literal(p) for p in layout.paths]).select(
+        F.col("_metadata.file_path").alias(FILE), late.cast("decimal(30,0)").alias(PLACE), "value"
     )
+    blank = lines.filter(is_blank_line(F.col("value")) & F.lit(not layout.multiline)).drop("value")
+    if not layout.has_header:
+        header = blank.groupBy(FILE).agg(F.min(PLACE).alias("_first"))
+        match = (blank[FILE] == header[FILE]) & (blank[PLACE] == header["_first"])
+        blank = blank.join(header, match, "left_anti")
+    cells = [F.lit(None).cast("string").alias(f"_c{i}") for i in range(width)]
+    return blank.select(FILE, PLACE, *cells)

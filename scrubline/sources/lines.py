@@ -34,7 +34,12 @@ def occurrences(text: Column, mark: Column) -> Column:
 def field_count(line: Column, delimiter: Column) -> Column:
     """Cells in a line; a blank line has none."""
     cells = occurrences(unquoted(line), delimiter) + 1
-    return F.when(F.trim(line) == "", F.lit(0)).otherwise(cells)
+    return F.when(is_blank_line(line), F.lit(0)).otherwise(cells)
+
+
+def is_blank_line(line: Column) -> Column:
+    """Whether Spark's reader passes over the line: nothing in it but characters up to a space."""
+    return line.rlike(r"^[\x00-\x20]*$")
 
 
 def line_shapes(
@@ -48,7 +53,7 @@ def line_shapes(
     return (
         lines.withColumn("_bare", unquoted(text))
         .withColumns(counts)
-        .withColumn("blank", F.trim(text) == "")
+        .withColumn("blank", is_blank_line(text))
         .groupBy(*file, "blank", *counts)
         .agg(
             F.count(F.lit(1)).alias("lines"),
@@ -110,10 +115,30 @@ def latin1_to_cp1252(c: Column) -> Column:
     return F.translate(c, _CONTROLS, _CP1252)
 
 
+def own_count(delimiter: Column, delimiters: tuple[str, ...] = DELIMITERS) -> Column:
+    """Of ``line_shapes``: cells by the file's own delimiter."""
+    own = F.lit(None).cast("int")
+    for i, d in enumerate(delimiters):
+        own = F.when(delimiter == d, F.col(f"n{i}") + 1).otherwise(own)
+    return own
+
+
+def widest(shapes: DataFrame, votes: DataFrame, file: list[str]) -> int:
+    """The most cells that a line of any file has; one number."""
+    cells = shapes.join(votes.select(*file, "delimiter"), file).agg(
+        F.max(F.when(~F.col("blank"), own_count(F.col("delimiter"))))
+    )
+    return cells.first()[0] or 1
+
+
 def parse_lines(
     df: DataFrame, line: str, delimiter: Column, width: int, into: str = "fields"
 ) -> DataFrame:
-    """Cells of each line as an array, as many as the line has, by Spark's own CSV parser."""
+    """Cells of each line as an array, as many as the line has, by Spark's own CSV parser.
+
+    ``width`` is the most cells any line has (see ``widest``). The parsed record goes through a
+    generator: a filter over the cells then stays above it, and each line is parsed once.
+    """
     schema = ", ".join(f"c{i} string" for i in range(width))
     parsed = None
     for d in DELIMITERS:
@@ -121,5 +146,7 @@ def parse_lines(
         one = F.from_csv(F.col(line), schema, options)
         parsed = F.when(delimiter == d, one) if parsed is None else parsed.when(delimiter == d, one)
     cells = F.array(*[F.col("_parsed")[f"c{i}"] for i in range(width)])
-    held = df.withColumn("_parsed", parsed).withColumn("_size", field_count(F.col(line), delimiter))
+    held = df.withColumn("_size", field_count(F.col(line), delimiter)).select(
+        "*", F.explode(F.array(parsed)).alias("_parsed")
+    )
     return held.withColumn(into, F.slice(cells, F.lit(1), F.col("_size"))).drop("_parsed", "_size")

@@ -108,3 +108,83 @@ def test_names():
     assert unique_names(["a", "a", "a"]) == ["a", "a_2", "a_3"]
     assert unique_names(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
     assert widen_names(["id", "extra_1"], 4) == ["id", "extra_1", "extra_2", "extra_3"]
+
+
+def test_names_in_rows_follow_the_list_rule(spark):
+    from scrubline.functions.names import name_rows
+
+    headers = [["a", "a", "a_2"], ["a", "A ", "a", "a_3", "b"], ["", "", "x"], ["a_2", "a", "a"]]
+    rows = [(f, p, n) for f, header in enumerate(headers) for p, n in enumerate(header)]
+    named = name_rows(spark.createDataFrame(rows, "f int, p int, n string"), "f", "p", "n")
+    got = {(r.f, r.p): r.name for r in named.collect()}
+    for f, header in enumerate(headers):
+        assert [got[f, p] for p in range(len(header))] == unique_names(header)
+
+
+def test_lines_of_any_width_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from scrubline.operators.shape import uneven_rows
+    from scrubline.sources.lines import field_count, line_shapes, parse_lines, vote_delimiter, widest
+
+    lines = ["a,b,c", "1,2,3,4,5,6,7", '"x, y",2', " \t", "", "1,2,3"]
+    df = spark.createDataFrame([(1, x) for x in lines], "f int, line string")
+    shapes = line_shapes(df, ["f"], "line")
+    width = widest(shapes, vote_delimiter(shapes, ["f"]), ["f"])
+    assert width == 7
+    parsed = parse_lines(df, "line", F.lit(","), width)
+    cells = {r.line: list(r.fields) for r in parsed.collect()}
+    assert cells[lines[1]] == list("1234567") and cells[lines[2]] == ["x, y", "2"] and cells[""] == []
+    plan = parsed.filter(F.size("fields") != 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv") <= 4
+    bad = uneven_rows(df, field_count(F.col("line"), F.lit(",")), F.lit(3)).collect()
+    assert {r.line: r.cells for r in bad} == {lines[1]: 7, lines[2]: 2, "": 0, " \t": 0}
+
+
+def test_pivot_keeps_values_that_are_not_listed(spark):
+    from pyspark.sql import functions as F
+
+    from scrubline.plans.reports import two_way
+
+    df = spark.createDataFrame([(1, "a"), (1, "z"), (1, None), (2, "y")], "k int, v string")
+    rows = {tuple(r) for r in two_way(df, "k", "v", ["a", "b"], F.count(F.lit(1))).collect()}
+    assert rows == {(1, 1, 0, 2), (2, 0, 0, 1)}
+
+
+def test_cleaning_is_the_same_for_narrow_and_wide_tables(spark):
+    from scrubline.functions.text import INLINE_COLUMNS, with_clean_text
+
+    cells = ["  a  b ", "N/A", None, "", "x\ty", " "]
+    for count in (INLINE_COLUMNS, INLINE_COLUMNS + 1):
+        names = [f"c{i}" for i in range(count)]
+        df = spark.createDataFrame([(x,) * count for x in cells], ", ".join(f"{n} string" for n in names))
+        got = [tuple(r) for r in with_clean_text(df, names, True, ("n/a",)).collect()]
+        assert got == [(x,) * count for x in ("a b", None, None, None, "x y", None)]
+
+
+def test_large_inputs_are_not_spread(spark, tmp_path):
+    from scrubline import clean
+
+    spark.range(100).selectExpr("id", "string(id) as c").repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for spread in (False, True):
+        frame = clean(df, order=["id"], spread=spread).frame
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spanned_cells_and_references(spark):
+    from scrubline.operators.html import extract_tables, extract_untidy_tables
+
+    spans = (
+        "<table><tr><th rowspan=2>C</th><th colspan='2'>IMF</th></tr><tr><th>est</th><th>yr</th></tr>"
+        "<tr><td>C&ocirc;te &#8212; x<td rowspan=x>1<td>2</table><p><table><tr><td>t2</td></tr></table>"
+    )
+    tidy = "<table><tr><td>a &amp; b</td></tr></table>"
+    pages = spark.createDataFrame([(1, spans), (2, tidy), (3, None)], "page_id int, html string")
+    for extract in (extract_tables, extract_untidy_tables):
+        rows = {(r.page_id, r.table_no, r.row_no): (r.is_header, list(r.cells)) for r in extract(pages).collect()}
+        assert rows == {
+            (1, 0, 0): (True, ["C", "IMF", "IMF"]), (1, 0, 1): (True, ["C", "est", "yr"]),
+            (1, 0, 2): (False, ["Côte — x", "1", "2"]), (1, 1, 0): (False, ["t2"]),
+            (2, 0, 0): (False, ["a & b"]),
+        }

@@ -282,3 +282,47 @@ def test_files_without_rows(spark, folder):
     }
     part = glob.glob(os.path.join(folder, "out", "head_cleaned.csv", "part-*"))
     assert open(part[0]).read().strip() == "a,b_c"
+
+
+BLANKS = "a,b\n1,2\n\n3,4\n"
+
+
+def test_blank_lines_are_rows_where_something_fills_them(spark, folder):
+    header, rows, audit = run(
+        spark, folder, "blank.csv", BLANKS, fill_missing="constant", fill_constant="X", infer_types=True
+    )
+    assert header == ["a", "b"] and sorted(rows) == [["1", "2"], ["3", "4"], ["X", "X"]]
+    assert (audit["rows_in"], audit["rows_out"], audit["empty_rows_dropped"]) == (4, 3, 0)
+
+
+def test_blank_lines_stay_if_empty_rows_do(spark, folder):
+    header, rows, audit = run(spark, folder, "blank.csv", BLANKS, drop_empty_rows=False)
+    assert len(rows) == 3 and (audit["rows_in"], audit["rows_out"]) == (4, 3)
+    assert audit["empty_rows_dropped"] == 0
+
+
+def test_rows_of_delimiters_alone_are_counted(spark, folder):
+    _, rows, audit = run(spark, folder, "tabs.tsv", "a\tb\tc\n1\t2\t3\n\t\t\n   \n4\t5\t6\n")
+    assert rows == [["1", "2", "3"], ["4", "5", "6"]]
+    assert (audit["rows_in"], audit["empty_rows_dropped"]) == (5, 2)
+
+
+def test_blank_line_inside_a_quoted_cell_is_no_record(spark, folder):
+    _, rows, audit = run(spark, folder, "quoted.csv", 'a,b\n1,"x\n\ny"\n2,z\n')
+    assert len(rows) == 2 and (audit["rows_in"], audit["empty_rows_dropped"]) == (3, 0)
+
+
+def test_names_with_pattern_characters(spark, folder):
+    for name in ("b[1].csv", "c{x}.csv", "d*.csv", "b1.csv"):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(f"a,b\n{name},2\n")
+    audit = clean_files(spark, [folder], CleanOptions(), os.path.join(folder, "out")).collect()
+    assert sorted(r.rows_out for r in audit) == [1, 1, 1, 1]
+    assert len({r.input_path for r in audit}) == 4
+
+
+def test_names_that_spark_hides_are_an_error(spark, folder):
+    with open(os.path.join(folder, "_u.csv"), "w") as f:
+        f.write("a\n1\n")
+    with pytest.raises(ValueError, match="_u.csv"):
+        clean_files(spark, [folder], CleanOptions(), os.path.join(folder, "out"))
