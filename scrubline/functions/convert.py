@@ -24,13 +24,20 @@ def canonical_text(text: Column, kind: str, date_format: str) -> Column:
     return text
 
 
+KINDS = ("integer", "float", "boolean", "date")
+
+
 def converted_text(
-    cell: Column, kind: str | Column, date_format: str, stripped: bool
+    cell: Column,
+    kind: str | Column,
+    date_format: str,
+    stripped: bool,
+    kinds: tuple[str, ...] = KINDS,
 ) -> Column:
     """Canonical text, or the cell as it is where it does not conform.
 
     The type may itself be a column, for many datasets in one frame; each row then runs only the
-    conversion of its own type.
+    conversion of its own type, of which ``kinds`` are possible.
     """
     text = cell if stripped else strip_whitespace(cell)
     if isinstance(kind, str):
@@ -38,7 +45,7 @@ def converted_text(
             return cell
         return F.coalesce(canonical_text(text, kind, date_format), cell)
     chosen = F.when(kind == "string", cell)
-    for name in ("integer", "float", "boolean", "date"):
+    for name in kinds:
         chosen = chosen.when(kind == name, canonical_text(text, name, date_format))
     return F.coalesce(chosen, cell)
 

@@ -406,14 +406,18 @@ def clean_many(
             F.map_from_entries(F.collect_list(entry)).alias("_rules"),
             F.some(F.coalesce(F.col("fill"), F.lit("")) != "").alias("_fills"),
         )
-        ruled = lookup_join(texts, rules, [dataset], F.struct(*order))
-        kinds = {c: F.col(f"_k_{c}") for c in columns}
-        ruled = ruled.withColumn("_empty", F.col("_empty") & ~F.col("_fills")).withColumns(
-            {f"_k_{c}": F.col("_rules")[c]["type"] for c in columns}
+        # names are looked up once per dataset; rows find their rule by the column's position
+        rules = rules.select(
+            dataset,
+            "_fills",
+            F.array(*[F.col("_rules")[c]["type"] for c in columns]).alias("_kinds"),
+            F.array(*[F.col("_rules")[c]["fill"] for c in columns]).alias("_filling"),
         )
+        ruled = lookup_join(texts, rules, [dataset], F.struct(*order))
+        ruled = ruled.withColumn("_empty", F.col("_empty") & ~F.col("_fills"))
         filled = ruled.select(
-            *carried, "_empty", "_rules",
-            *[_filled_by_rule(c, kinds[c], options) for c in columns],
+            *carried, "_empty", "_kinds",
+            *[_filled_by_rule(c, i, options) for i, c in enumerate(columns)],
         )
     else:
         decisions = (
@@ -422,26 +426,29 @@ def clean_many(
             .select(dataset, F.explode(F.array(*[F.lit(c) for c in columns])).alias(COLUMN))
             .withColumn("type", F.lit("string"))
         )
-        filled = texts.withColumn("_rules", F.lit(None))
+        filled = texts.withColumn("_kinds", F.lit(None).cast("array<string>"))
     frame = filled.filter(~F.col("_empty")) if options.drop_empty_rows else filled
     frame = frame.drop("_empty")
     if options.drop_duplicates:
         if keys or options.fill_missing == "zero":
             chosen = [
-                comparable(k, F.col("_rules")[k]["type"], options)
+                comparable(k, F.get("_kinds", F.lit(columns.index(k))), options)
                 if options.fill_missing == "zero"
                 else F.col(k)
                 for k in (keys or columns)
             ]
             frame = keep_first(frame, [dataset, *chosen], list(order))
         else:
-            frame = drop_duplicate_rows(frame.drop("_rules"), ignore=list(order))
+            frame = drop_duplicate_rows(frame.drop("_kinds"), ignore=list(order))
     return CleanedMany(
         frame.select(*carried, *columns), columns, dataset, list(order), options, decisions,
         filled.select(*carried, "_empty", *columns), keys,
     )
 
 
-def _filled_by_rule(c: str, kind: Column, options: CleanOptions) -> Column:
-    value = converted_text(F.col(c), kind, options.date_format, options.trim)
-    return F.coalesce(value, F.col("_rules")[c]["fill"]).alias(c)
+def _filled_by_rule(c: str, position: int, options: CleanOptions) -> Column:
+    kinds = ("integer", "float", "boolean") if options.infer_types else ()
+    kinds += ("date",) if options.parse_dates else ()
+    kind = F.get("_kinds", F.lit(position))
+    value = converted_text(F.col(c), kind, options.date_format, options.trim, kinds)
+    return F.coalesce(value, F.get("_filling", F.lit(position))).alias(c)

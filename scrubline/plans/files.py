@@ -73,13 +73,18 @@ def clean_layout(spark: SparkSession, layout: Layout, options: CleanOptions) ->
         kept = F.array_compact(
             F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in cleaned.columns])
         )
-    files = spark.createDataFrame([(f,) for f in layout.files], f"{FILE} string")
+    files = spark.createDataFrame(
+        [(f, layout.own_width(i)) for i, f in enumerate(layout.files)], f"{FILE} string, _own int"
+    )
+    # a file's output ends where its own widest row does
+    own = F.slice(everything, F.lit(1), F.col("_own"))
     audit = (
         files.join(read, FILE, "left")
         .join(written.select(FILE, "rows_out", kept.alias("header_out")), FILE, "left")
         .join(cleaned.column_types(), FILE, "left")
         .fillna({"rows_in": 1, "empty_rows_dropped": 0, "rows_out": 0})
-        .withColumn("header_out", F.coalesce("header_out", everything))
+        .withColumn("header_out", F.array_intersect(own, F.coalesce("header_out", everything)))
+        .drop("_own")
         .withColumn(
             "duplicate_rows_dropped",
             F.col("rows_in") - 1 - F.col("empty_rows_dropped") - F.col("rows_out"),

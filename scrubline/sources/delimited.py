@@ -43,17 +43,25 @@ def place() -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """What a set of files has in common; ``files`` are their keys as rows carry them."""
+    """What a set of files has in common; ``files`` are their keys as rows carry them.
+
+    ``spans`` are the least and most cells of each file's rows.
+    """
 
     delimiter: str
     encoding: str
     header: tuple[str, ...]
-    width: int
-    header_width: int
-    min_width: int
     multiline: bool
     has_header: bool
     files: tuple[str, ...]
+    spans: tuple[tuple[int, int], ...]
+
+    @property
+    def width(self) -> int:
+        return max(self.own_width(i) for i in range(len(self.files)))
+
+    def own_width(self, file: int) -> int:
+        return max(self.spans[file][1], len(self.header))
 
     @property
     def names(self) -> list[str]:
@@ -221,7 +229,7 @@ def find_layouts(
         ]
         for r in _record_widths(spark, chosen, sep, enc):
             spans[r[FILE]] = (r["width"], r["min_width"])
-    groups: dict[tuple, list[str]] = {}
+    groups: dict[tuple, list[tuple[str, tuple[int, int]]]] = {}
     for r in rows:
         width, least = spans.get(r[FILE], (r["width"], r["min_width"]))
         text = r["header_line"] or ""
@@ -231,12 +239,9 @@ def find_layouts(
         else:
             cells = next(csv.reader([text], delimiter=r["delimiter"]), []) if has_header else []
         header = tuple(cells) or tuple(default_names(width))
-        key = (
-            r["delimiter"], r["encoding"], header, max(width, len(header)), len(header),
-            least, r["multiline"], has_header,
-        )
-        groups.setdefault(key, []).append(r[FILE])
-    return [Layout(*key, tuple(files)) for key, files in groups.items()], scanned
+        key = (r["delimiter"], r["encoding"], header, r["multiline"], has_header)
+        groups.setdefault(key, []).append((r[FILE], (least, width)))
+    return [Layout(*key, *zip(*members)) for key, members in groups.items()], scanned
 
 
 def _with_empty_files(
@@ -263,10 +268,12 @@ def layout_names(layout: Layout, pad_rows: str) -> list[str]:
     """Raw names of the columns read: the header, widened unless rows are truncated to it."""
     if pad_rows == "truncate":
         return layout.names
-    if pad_rows == "error" and layout.min_width != layout.width:
-        raise ValueError(
-            f"uneven rows: {layout.min_width} to {layout.width} cells in one of {layout.paths[:3]}"
-        )
+    if pad_rows == "error":
+        for i, (least, _) in enumerate(layout.spans):
+            if least != layout.own_width(i):
+                raise ValueError(
+                    f"uneven rows: {least} to {layout.own_width(i)} cells in {layout.paths[i]}"
+                )
     return widen_names(layout.names, layout.width)
 
 

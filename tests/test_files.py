@@ -326,3 +326,20 @@ def test_names_that_spark_hides_are_an_error(spark, folder):
         f.write("a\n1\n")
     with pytest.raises(ValueError, match="_u.csv"):
         clean_files(spark, [folder], CleanOptions(), os.path.join(folder, "out"))
+
+
+def test_ragged_files_of_one_header_are_one_layout(spark, folder):
+    bodies = ["1\n", "1,2\n", "1,2,3,4\n5\n", "1,2,3\n"]
+    for k, body in enumerate(bodies):
+        with open(os.path.join(folder, f"f{k}.csv"), "w") as f:
+            f.write("a,b\n" + body)
+    layouts, _ = find_layouts(spark, [folder])
+    assert len(layouts) == 1 and layouts[0].width == 4
+    audit = clean_files(spark, [folder], CleanOptions(), os.path.join(folder, "out"))
+    headers = {os.path.basename(r.input_path): list(r.header_out) for r in audit.collect()}
+    assert headers == {
+        "f0.csv": ["a", "b"], "f1.csv": ["a", "b"],
+        "f2.csv": ["a", "b", "extra_1", "extra_2"], "f3.csv": ["a", "b", "extra_1"],
+    }
+    with pytest.raises(ValueError, match="f0.csv|f2.csv"):
+        clean_files(spark, [folder], CleanOptions(pad_rows="error"), os.path.join(folder, "out"))
