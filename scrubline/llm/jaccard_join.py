@@ -10,7 +10,7 @@ the search runs on inverted lists: short ones merged, long ones probed (DivideSk
 Rarity comes from a fixed-size table of counters, summed over all documents; it decides only which
 lists count as short, so its size affects speed and never the result.
 
-A group beyond ``BLOCK_MEMBERS`` is divided. Each block links its members (near copies all to one
+A group of more than ``BLOCK_SHINGLES`` is divided. Each block links its members (near copies all to one
 another's leader); only members outside the group's main component then visit the other blocks.
 Pairs inside a component are never listed. What is shuffled grows with the documents, not with the
 squares of groups.
@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.components import connected
-from scrubline.llm.shared import held, map_batches, partitions, text_bytes, texts_of
+from scrubline.llm.shared import held, map_batches, partitions, portions, text_bytes, texts_of
 from scrubline.llm.shingles import fingerprint, shingle_sets
 from scrubline.llm.t_occurrence import group_links, required
 
 COUNTERS = 1 << 20
 SLICES = 16
-BLOCK_MEMBERS = 8000
-BROADCAST_IDS = 1_000_000
+BLOCK_SHINGLES = 1 << 20
+HOT_LIST = 20_000
+SALTS = 32
+BROADCAST_ROWS = 1_000_000
 
 
 def linked_components(
@@ -40,7 +42,7 @@ def linked_components(
     percent: int = 85,
     key: str = "doc_id",
     text: str = "text",
-    block_members: int = BLOCK_MEMBERS,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``.
 
@@ -60,7 +62,7 @@ def linked_components(
         "classes",
     )
     members = _members(_short_lists(narrow, _counters(scanned), width, percent))
-    links = _links(members, _sets(narrow, classes, members, width), percent, block_members)
+    links = _links(members.join(classes, "class"), narrow, width, percent, block_shingles)
     roots = connected(links)
     labelled = classes.join(roots, classes["class"] == roots["node"], "left").select(
         "class", "first_id", F.coalesce("root", "class").alias("root")
@@ -84,7 +86,7 @@ def _scan(narrow: DataFrame, width: int) -> DataFrame:
         nonlocal id_type
         table = np.zeros(COUNTERS, dtype=np.uint32)
         names = ["doc_id", "n_shingles", "class", "slice", "counters"]
-        for batch in batches:
+        for batch in portions(batches, "body"):
             id_type = batch.column("doc_id").type
             sets = shingle_sets(batch.column("body").to_pylist(), width)
             if sets:
@@ -145,13 +147,17 @@ def _counters(scanned: DataFrame) -> np.ndarray:
 
 
 def _short_lists(narrow: DataFrame, counters: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``(token, class)`` of the rarest shingles of each class, those that several classes have."""
+    """Short lists: ``(class, leader)`` for the rarest shingles that several classes have.
+
+    Lists that the counters show to be long are dealt out in ``SALTS`` parts; ``hot`` names them.
+    """
+    hot = max(HOT_LIST, 4 * float(counters.mean()))
     shipped = narrow.sparkSession.sparkContext.broadcast(counters)
 
     def rarest(batches):
         table = shipped.value
-        for batch in batches:
-            tokens, owners, seen = [], [], set()
+        for batch in portions(batches, "body"):
+            tokens, owners, salts, sizes, seen = [], [], [], [], set()
             for shingles in shingle_sets(batch.column("body").to_pylist(), width):
                 if not len(shingles) or (name := fingerprint(shingles)) in seen:
                     continue
@@ -161,78 +167,153 @@ def _short_lists(narrow: DataFrame, counters: np.ndarray, width: int, percent: i
                 order = np.argsort(rarity, kind="stable")[:take]  # ties by the shingle itself
                 tokens.append(shingles[order])
                 owners.append(np.full(take, name, dtype=np.int64))
+                sizes.append(np.full(take, len(shingles), dtype=np.int32))
+                salts.append(np.where(rarity[order] < hot, -1, name % SALTS).astype(np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
+                        pa.array(np.concatenate(salts)),
+                        pa.array(np.concatenate(sizes)),
                         pa.array(np.concatenate(owners)),
                     ],
-                    ["token", "class"],
+                    ["token", "salt", "n", "class"],
                 )
 
-    rows = held(map_batches(narrow.select("body"), rarest, "token bigint, class bigint"), "short")
-    ends = rows.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"))
-    shared = ends.where("leader < last").select(F.col("token").alias("shared"), "leader")
-    return rows.join(shared, rows["token"] == shared["shared"]).select("class", "leader")
+    schema = "token bigint, salt int, n int, class bigint"
+    rows = map_batches(narrow.select("body"), rarest, schema)
+    parts = partitions(narrow.sparkSession)
+    ordered = rows.repartition(parts, "token", "salt").sortWithinPartitions(
+        "token", "salt", "n", "class"
+    )
 
+    def led(batches):
+        return _led(batches, percent)
 
-def _members(lists: DataFrame) -> DataFrame:
-    """Each class with the groups it belongs to."""
-    return held(lists.distinct(), "members")
+    return map_batches(ordered, led, "class bigint, leader bigint, hot bigint")
 
 
-def _sets(narrow: DataFrame, classes: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``(class, shingles)`` of the classes that are in any group."""
-    wanted = held(
-        classes.join(members.select("class").distinct(), "class", "left_semi").select(
-            F.col("first_id").alias("wanted")
-        ),
-        "wanted",
-    )
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    chosen = narrow.join(wanted, narrow["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
+def _led(batches, percent: int):
+    """Rows sorted by list and set size: each class with the first class of its run.
 
-    def read(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column("body").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([fingerprint(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["class", "shingles"],
-            )
-
-    return held(map_batches(chosen.select("body"), read, "class bigint, shingles binary"), "sets")
+    A list is cut where the next set is too large to be similar to the one before it, and so to all
+    before. Runs of one class go. A run may go over several batches. Its first row is the leader, so
+    nothing is gathered; a first row waits until a second class of the run shows.
+    """
+    current = leader = None
+    size = 0
+    waiting = False
+    for batch in batches:
+        token, salt, n, name = (
+            batch.column(c).to_numpy().astype(np.int64) for c in ("token", "salt", "n", "class")
+        )
+        if not len(token):
+            continue
+        new = np.ones(len(token), dtype=bool)
+        gap = 100 * np.append(size, n[:-1]) < percent * n
+        gap &= salt < 0  # the parts of a long list stay whole, so that they can be joined
+        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = (int(token[0]), int(salt[0])) != current
+        new |= gap
+        size = int(n[-1])
+        starts = np.flatnonzero(new)
+        heads = np.full(len(token), leader if leader is not None else 0, dtype=np.int64)
+        if len(starts):
+            sizes = np.diff(np.append(starts, len(token)))
+            heads[starts[0] :] = np.repeat(name[starts], sizes)
+        follows = name != heads
+        salted = salt >= 0  # the leader of a salted list has yet to meet those of its other parts
+        keep = follows | salted
+        # leaders of lists that have a second class in this batch
+        led = np.unique(heads[follows & (np.cumsum(new) > 0)])
+        keep |= new & np.isin(name, led)
+        extra = []
+        first_stop = int(starts[0]) if len(starts) else len(token)
+        if waiting and follows[:first_stop].any():
+            extra, waiting = [leader], False
+        if len(starts):
+            last = int(starts[-1])
+            leader, current = int(name[last]), (int(token[-1]), int(salt[-1]))
+            waiting = not follows[last:].any() and salt[-1] < 0
+        hot = np.where(salted, token, 0)[keep]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([name[keep], np.array(extra, dtype=np.int64)])),
+                pa.array(np.concatenate([heads[keep], np.array(extra, dtype=np.int64)])),
+                pa.array(
+                    np.concatenate([hot, np.zeros(len(extra), dtype=np.int64)]),
+                    mask=np.concatenate([~salted[keep], np.ones(len(extra), dtype=bool)]),
+                ),
+            ],
+            ["class", "leader", "hot"],
+        )
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, block_members: int) -> DataFrame:
-    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / block_members).cast("int")
-    dealt = members.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn(
-        "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+def _members(led: DataFrame) -> DataFrame:
+    """Each class with the groups it belongs to; the parts of a salted list share its least leader."""
+    rows = held(led.distinct(), "members")
+    tops = rows.where("hot is not null").groupBy("hot").agg(
+        F.min("leader").alias("top"), F.max("class").alias("last")
     )
+    tops = tops.where("top < last").withColumnRenamed("hot", "list")
+    salted = rows.where("hot is not null")
+    salted = salted.join(tops, salted["hot"] == tops["list"]).select("class", F.col("top").alias("leader"))
+    return rows.where("hot is null").select("class", "leader").union(salted).distinct()
+
+
+def _links(
+    members: DataFrame, narrow: DataFrame, width: int, percent: int, block_shingles: int
+) -> DataFrame:
+    sizes = members.groupBy("leader").agg(F.sum("n_shingles").alias("n"))
+    blocks = F.ceil(F.col("n") / block_shingles).cast("int")
+    dealt = members.join(sizes.select("leader", blocks.alias("blocks")), "leader").select(
+        "class", "leader", "blocks", "first_id",
+        F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"),
+    )
     dealt = held(dealt, "dealt")
-    filled = dealt.join(sets, "class")
-    first = held(_search(filled.withColumn("asks", F.lit(False)), percent, False), "links")
+    filled = _with_sets(dealt.withColumn("asks", F.lit(False)), narrow, width)
+    first = held(_search(filled, percent, False), "links")
     divided = dealt.where("blocks > 1")
     if divided.isEmpty():
         return first
     roots = connected(first)
     rooted = divided.join(roots, divided["class"] == roots["node"], "left").select(
-        "class", "leader", "blocks", "block", F.coalesce("root", "class").alias("root")
+        *divided.columns, F.coalesce("root", "class").alias("root")
     )
     tallied = rooted.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
     main = tallied.groupBy("leader").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     outside = rooted.join(main, "leader").where("root <> main")
     visits = outside.select(
-        "class", "leader", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"),
-        F.lit(True).alias("asks"),
-    )
-    at_home = divided.select("class", "leader", "block", F.lit(False).alias("asks"))
-    both = visits.unionByName(at_home).join(sets, "class")
-    return first.unionByName(held(_search(both, percent, True), "links"))
+        "class", "leader", "first_id",
+        F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("asks"),
+    )
+    at_home = divided.select("class", "leader", "first_id", "block", F.lit(False).alias("asks"))
+    both = held(visits.unionByName(at_home), "visits")
+    return first.unionByName(held(_search(_with_sets(both, narrow, width), percent, True), "links"))
+
+
+def _with_sets(dealt: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
+    """The dealt classes with their shingles, read from the text of each class's first document."""
+    rows = dealt.select("class", "leader", "block", "asks", F.col("first_id").alias("reader"))
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    texts = narrow.join(rows, narrow["doc_id"].eqNullSafe(rows["reader"]))
+
+    def read(batches):
+        for batch in portions(batches, "body"):
+            sets = shingle_sets(batch.column("body").to_pylist(), width)
+            # an id that stands for several texts is read once for each
+            right = pa.array(
+                [fingerprint(s) == c for s, c in zip(sets, batch.column("class").to_pylist())],
+                pa.bool_(),
+            )
+            blobs = pa.array([s.tobytes() for s in sets], pa.binary())
+            columns = [batch.column(c) for c in ("leader", "block", "class", "asks")]
+            names = ["leader", "block", "class", "asks", "shingles"]
+            yield pa.RecordBatch.from_arrays([*columns, blobs], names).filter(right)
+
+    schema = "leader bigint, block int, class bigint, asks boolean, shingles binary"
+    return map_batches(texts.select("body", "leader", "block", "class", "asks"), read, schema)
 
 
 def _search(filled: DataFrame, percent: int, asked: bool) -> DataFrame:
@@ -251,7 +332,7 @@ def _search(filled: DataFrame, percent: int, asked: bool) -> DataFrame:
             queries = np.array([i for i, c in enumerate(names) if by_class[c][0]]) if asked else None
             return [(names[a], names[b]) for a, b in group_links(sets, percent, queries)]
 
-        for batch in batches:
+        for batch in portions(batches, "shingles"):
             columns = (batch.column(c).to_pylist() for c in ("leader", "block", "class", "asks", "shingles"))
             out = []
             for leader, block, name, asks, blob in zip(*columns):

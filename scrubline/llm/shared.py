@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,5 +38,22 @@ def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def portions(batches, column: str, most: int = 4 << 20):
+    """The batches cut into runs of rows with about ``most`` bytes in a column of texts or blobs.
+
+    What a worker holds then depends neither on the batch size set nor on how long the texts are.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, begin = 0, 0
+        for row, size in enumerate(sizes.tolist()):
+            if total and total + size > most:
+                yield batch.slice(begin, row - begin)
+                total, begin = 0, row
+            total += size + 64
+        if batch.num_rows:
+            yield batch.slice(begin)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -39,11 +39,11 @@ def components(sets, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("width,percent,block", [(4, 85, 8000), (5, 80, 8000), (4, 85, 2), (2, 50, 3)])
+@pytest.mark.parametrize("width,percent,block", [(4, 85, 1 << 20), (5, 80, 1 << 20), (4, 85, 90), (2, 50, 300)])
 def test_components(odd_docs, odd_rows, width, percent, block):
     sets = sets_of(odd_rows, width)
     expected = components(sets, percent)
-    got = linked_components(odd_docs, width, percent, block_members=block).collect()
+    got = linked_components(odd_docs, width, percent, block_shingles=block).collect()
     assert Counter(tuple(r) for r in got) == Counter((i, len(sets[i]), expected[i]) for i, _ in odd_rows)
 
 
@@ -62,8 +62,8 @@ def test_chains_and_hubs(spark):
         rows.append((100 + k, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     expected = components(sets_of(rows, 4), 85)
-    for block in (8000, 20):
-        got = linked_components(docs, block_members=block).collect()
+    for block in (1 << 20, 1500):
+        got = linked_components(docs, block_shingles=block).collect()
         assert {r.doc_id: r.component_id for r in got} == expected
     kept = keep_one_per_component(docs, 4, 85)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
