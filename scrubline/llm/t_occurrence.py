@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 
+HEAP_MOST = 2000
 
 def required(size: int, percent: int) -> int:
     """The least overlap with any set of Jaccard similarity of at least ``percent`` / 100."""
@@ -28,11 +29,16 @@ class InvertedLists:
         self.keys, self.begin = np.unique(flat[order], return_index=True)
         self.end = np.append(self.begin[1:], len(flat))
 
-    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+    def lists(self, query: np.ndarray, least: int = 1) -> list[np.ndarray]:
+        """The query's lists; none if fewer than ``least`` of them can hold any other set."""
+        if not len(self.keys):
+            return []
         at = np.searchsorted(self.keys, query)
         at[at == len(self.keys)] = 0
-        hit = self.keys[at] == query if len(self.keys) else np.zeros(len(query), bool)
-        return [self.owners[self.begin[i] : self.end[i]] for i in at[hit]]
+        at = at[self.keys[at] == query]
+        if len(at) < least:
+            return []
+        return [self.owners[self.begin[i] : self.end[i]] for i in at.tolist()]
 
     def search(self, query: np.ndarray, least: int, skip) -> list[tuple[int, int]]:
         """``(set, overlap)`` of every set that shares at least ``least`` shingles with ``query``.
@@ -41,39 +47,39 @@ class InvertedLists:
         through a heap, and only sets met there are probed in the long lists by binary search.
         ``skip(set)`` leaves out sets that need no answer.
         """
-        lists = sorted(self.lists(query), key=len)
+        lists = sorted(self.lists(query, least), key=len)
         if len(lists) < least:
             return []
         divide = len(lists) - (least - 1)
         short, long = lists[:divide], lists[divide:]
-        found = []
-        for number, count in _merged(short):
-            if skip(number):
-                continue
-            left = len(long)
-            for one in reversed(long):
-                if count + left < least:
-                    break
-                slot = int(np.searchsorted(one, number))
-                count += slot < len(one) and one[slot] == number
-                left -= 1
-            if count >= least:
-                found.append((number, int(count)))
-        return found
-
-
-def _merged(lists: list[np.ndarray]):
-    """Numbers of the heap-merged lists with how many lists hold them."""
-    current, count = None, 0
+        numbers, counts = _merged(short)
+        wanted = np.array([not skip(x) for x in numbers.tolist()], dtype=bool)
+        numbers, counts = numbers[wanted], counts[wanted]
+        for left, one in zip(range(len(long), 0, -1), reversed(long)):
+            possible = counts + left >= least
+            if not possible.all():
+                numbers, counts = numbers[possible], counts[possible]
+            if not len(numbers):
+                return []
+            slot = np.minimum(np.searchsorted(one, numbers), len(one) - 1)
+            counts = counts + (one[slot] == numbers)
+        enough = counts >= least
+        return list(zip(numbers[enough].tolist(), counts[enough].tolist()))
+
+
+def _merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the merged lists with how many lists hold them; long merges are sorted at once."""
+    if sum(map(len, lists)) > HEAP_MOST:
+        return np.unique(np.concatenate(lists), return_counts=True)
+    numbers: list[int] = []
+    counts: list[int] = []
     for number in heapq.merge(*(one.tolist() for one in lists)):
-        if number == current:
-            count += 1
-            continue
-        if current is not None:
-            yield current, count
-        current, count = number, 1
-    if current is not None:
-        yield current, count
+        if numbers and numbers[-1] == number:
+            counts[-1] += 1
+        else:
+            numbers.append(number)
+            counts.append(1)
+    return np.array(numbers, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 class Forest:
@@ -123,8 +129,9 @@ def group_links(
     and each of those is searched. With ``queries`` only these sets are searched, against all.
     """
     forest = Forest(len(sets))
+    able = _able(sets, percent)
     if queries is None:
-        free = np.arange(len(sets))
+        free = able
         while len(free) > 1:
             linked = star(sets, free[1:], int(free[0]), percent)
             for m in linked.tolist():
@@ -135,18 +142,39 @@ def group_links(
             free = free[~settled]
             if not worthwhile:
                 break
-        roots = np.array([forest.root(i) for i in range(len(sets))])
+        if not len(able):
+            return []
+        roots = np.array([forest.root(i) for i in able.tolist()])
         kinds, counts = np.unique(roots, return_counts=True)
-        queries = np.flatnonzero(roots != kinds[np.argmax(counts)])
+        queries = able[roots != kinds[np.argmax(counts)]]
+    else:
+        queries = queries[np.isin(queries, able)]
     if not len(queries):
         return forest.links
-    index = InvertedLists(sets)
+    index = InvertedLists([sets[i] for i in able.tolist()])
     for q in queries.tolist():
         size = len(sets[q])
-        if not size:
-            continue
-        own = lambda s: s == q or forest.root(s) == forest.root(q)  # noqa: B023, E731
+        own = lambda s: able[s] == q or forest.root(int(able[s])) == forest.root(q)  # noqa: B023, E731
         for s, inter in index.search(sets[q], required(size, percent), own):
-            if similar(inter, size, len(sets[s]), percent):
-                forest.join(q, s)
+            if similar(inter, size, len(sets[able[s]]), percent):
+                forest.join(q, int(able[s]))
     return forest.links
+
+
+def _able(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The sets that can be similar to another one: enough of their shingles are in several sets.
+
+    Leaving a set out may take another one's partners away, so this is repeated until nothing goes.
+    """
+    able = np.flatnonzero([len(s) > 0 for s in sets])
+    while len(able):
+        sizes = np.array([len(sets[i]) for i in able.tolist()])
+        flat = np.concatenate([sets[i] for i in able.tolist()])
+        _, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = np.concatenate([[0], np.cumsum(counts[back] > 1)])
+        ends = np.cumsum(sizes)
+        enough = shared[ends] - shared[ends - sizes] >= -(-percent * sizes // 100)
+        if enough.all():
+            break
+        able = able[enough]
+    return able
