@@ -11,9 +11,11 @@ Rarity comes from a fixed-size table of counters, summed over all documents; it
 lists count as short, so its size affects speed and never the result.
 
 A group of more than ``BLOCK_SHINGLES`` is divided. Each block links its members (near copies all to one
-another's leader); only members outside the group's main component then visit the other blocks.
-Pairs inside a component are never listed. What is shuffled grows with the documents, not with the
-squares of groups.
+another's leader). Then a few heads, the most linked member of some blocks, visit all blocks, so that a
+family that was dealt over the blocks joins. Only members still outside the group's main component
+visit the other blocks after that. They are dealt in parts of the size of a block, and a task has one
+part and one block at a time. Pairs inside a component are never listed; what is shuffled grows with
+the square of a group only as far as its members are similar to nothing in the main component.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from scrubline.llm.t_occurrence import group_links, required
 COUNTERS = 1 << 20
 SLICES = 16
 BLOCK_SHINGLES = 1 << 20
+HEADS = 16
 HOT_LIST = 20_000
 SALTS = 32
 BROADCAST_ROWS = 1_000_000
@@ -266,38 +269,96 @@ def _links(
 ) -> DataFrame:
     sizes = members.groupBy("leader").agg(F.sum("n_shingles").alias("n"))
     blocks = F.ceil(F.col("n") / block_shingles).cast("int")
+    # dealt by the leader too: groups that share members divide them differently
     dealt = members.join(sizes.select("leader", blocks.alias("blocks")), "leader").select(
-        "class", "leader", "blocks", "first_id",
-        F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"),
+        "class", "leader", "blocks", "first_id", "n_shingles",
+        F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int").alias("block"),
     )
     dealt = held(dealt, "dealt")
-    filled = _with_sets(dealt.withColumn("asks", F.lit(False)), narrow, width)
-    first = held(_search(filled, percent, False), "links")
+    alone = dealt.select("class", "leader", "first_id", *_jobs(F.array("block")), F.lit(False).alias("asks"))
+    found = held(_search(_with_sets(alone, narrow, width), percent, False), "links")
     divided = dealt.where("blocks > 1")
     if divided.isEmpty():
-        return first
-    roots = connected(first)
+        return found
+    outside = _outside(divided, found)
+    if outside.isEmpty():
+        return found
+    open_groups = divided.join(outside.select("leader").distinct(), "leader", "left_semi")
+    visits = _visits(_heads(open_groups, found), open_groups, 1 << 62)
+    found = found.unionByName(held(_search(_with_sets(visits, narrow, width), percent, True), "links"))
+    outside = _outside(divided, found)
+    if outside.isEmpty():
+        return found
+    visits = _visits(outside, divided, block_shingles)
+    return found.unionByName(held(_search(_with_sets(visits, narrow, width), percent, True), "links"))
+
+
+def _outside(divided: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of divided groups that the links found leave outside the group's main component."""
+    roots = connected(found)
     rooted = divided.join(roots, divided["class"] == roots["node"], "left").select(
         *divided.columns, F.coalesce("root", "class").alias("root")
     )
     tallied = rooted.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
     main = tallied.groupBy("leader").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    outside = rooted.join(main, "leader").where("root <> main")
-    visits = outside.select(
+    return held(rooted.join(main, "leader").where("root <> main").select(*divided.columns), "outside")
+
+
+def _heads(divided: DataFrame, found: DataFrame) -> DataFrame:
+    """The most linked member of a block, for ``HEADS`` blocks of each group."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("end"))
+    degrees = ends.groupBy("end").agg(F.count(F.lit(1)).alias("degree"))
+    linked = divided.join(degrees, divided["class"] == degrees["end"])
+    first = F.max(F.struct("degree", "class", "first_id", "n_shingles", "blocks")).alias("head")
+    spread = linked.where(F.col("block") < HEADS).groupBy("leader", "block").agg(first)
+    return held(
+        spread.select(
+            "head.class", "leader", "head.blocks", "head.first_id", "head.n_shingles", "block"
+        ),
+        "heads",
+    )
+
+
+def _jobs(blocks, parts=None) -> list:
+    """The columns ``to_blocks`` and ``to_parts``: a row goes to every pair of the two."""
+    return [
+        blocks.cast("array<int>").alias("to_blocks"),
+        (F.array(F.lit(0)) if parts is None else parts).cast("array<int>").alias("to_parts"),
+    ]
+
+
+def _visits(asking: DataFrame, divided: DataFrame, part_shingles: int) -> DataFrame:
+    """The asking members, dealt in parts, to all blocks but their own, whose members they have met.
+
+    Every block meets every part, so each asking member meets each member of its group, and no task
+    has more at once than a block and a part.
+    """
+    counted = asking.groupBy("leader").agg(
+        F.ceil(F.sum("n_shingles") / part_shingles).cast("int").alias("parts")
+    )
+    part = F.pmod(F.xxhash64("leader", "class"), F.col("parts"))
+    every = F.expr("sequence(0, blocks - 1)")
+    going = asking.join(counted, "leader").select(
+        "class", "leader", "first_id", *_jobs(F.array_remove(every, F.col("block")), F.array(part)),
+        F.lit(True).alias("asks"),
+    )
+    at_home = divided.join(counted, "leader").select(
         "class", "leader", "first_id",
-        F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("asks"),
+        *_jobs(F.array("block"), F.expr("sequence(0, parts - 1)")), F.lit(False).alias("asks"),
     )
-    at_home = divided.select("class", "leader", "first_id", "block", F.lit(False).alias("asks"))
-    both = held(visits.unionByName(at_home), "visits")
-    return first.unionByName(held(_search(_with_sets(both, narrow, width), percent, True), "links"))
+    return held(going.unionByName(at_home), "visits")
 
 
 def _with_sets(dealt: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
     """The dealt classes with their shingles, read from the text of each class's first document."""
-    rows = dealt.select("class", "leader", "block", "asks", F.col("first_id").alias("reader"))
-    if rows.count() <= BROADCAST_ROWS:
+    rows = dealt.select(
+        "class", "leader", "to_blocks", "to_parts", "asks", F.col("first_id").alias("reader")
+    )
+    jobs = rows.agg(F.sum(F.size("to_blocks") + F.size("to_parts") - 1)).first()[0] or 0
+    if jobs <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
     texts = narrow.join(rows, narrow["doc_id"].eqNullSafe(rows["reader"]))
+    carried = ["leader", "to_blocks", "to_parts", "class", "asks"]
 
     def read(batches):
         for batch in portions(batches, "body"):
@@ -308,16 +369,24 @@ def _with_sets(dealt: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
                 pa.bool_(),
             )
             blobs = pa.array([s.tobytes() for s in sets], pa.binary())
-            columns = [batch.column(c) for c in ("leader", "block", "class", "asks")]
-            names = ["leader", "block", "class", "asks", "shingles"]
-            yield pa.RecordBatch.from_arrays([*columns, blobs], names).filter(right)
+            columns = [batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([*columns, blobs], [*carried, "shingles"]).filter(right)
 
-    schema = "leader bigint, block int, class bigint, asks boolean, shingles binary"
-    return map_batches(texts.select("body", "leader", "block", "class", "asks"), read, schema)
+    schema = (
+        "leader bigint, to_blocks array<int>, to_parts array<int>, class bigint, asks boolean, "
+        "shingles binary"
+    )
+    filled = map_batches(texts.select("body", *carried), read, schema)
+    return filled.withColumn("block", F.explode("to_blocks")).select(
+        "leader", "block", F.explode("to_parts").alias("part"), "class", "asks", "shingles"
+    )
 
 
 def _search(filled: DataFrame, percent: int, asked: bool) -> DataFrame:
-    """Links inside each block of each group; with ``asked`` those of the asking members alone."""
+    """Links inside each job of each group (a block and a part of those that ask).
+
+    With ``asked`` only the links of the asking members.
+    """
 
     def links(batches):
         pending: list[tuple] = []
@@ -333,22 +402,22 @@ def _search(filled: DataFrame, percent: int, asked: bool) -> DataFrame:
             return [(names[a], names[b]) for a, b in group_links(sets, percent, queries)]
 
         for batch in portions(batches, "shingles"):
-            columns = (batch.column(c).to_pylist() for c in ("leader", "block", "class", "asks", "shingles"))
+            columns = (batch.column(c).to_pylist() for c in ("leader", "block", "part", "class", "asks", "shingles"))
             out = []
-            for leader, block, name, asks, blob in zip(*columns):
-                if (leader, block) != current:
+            for *job, name, asks, blob in zip(*columns):
+                if job != current:
                     if len(pending) > 1:
                         out += solve()
-                    pending, current = [], (leader, block)
+                    pending, current = [], job
                 pending.append((name, asks, blob))
             yield _pairs(out)
         if len(pending) > 1:
             yield _pairs(solve())
 
     parts = partitions(filled.sparkSession)
-    ordered = filled.select("leader", "block", "class", "asks", "shingles").repartition(
-        parts, "leader", "block"
-    ).sortWithinPartitions("leader", "block")
+    ordered = filled.select("leader", "block", "part", "class", "asks", "shingles").repartition(
+        parts, "leader", "block", "part"
+    ).sortWithinPartitions("leader", "block", "part")
     return map_batches(ordered, links, "a bigint, b bigint")
 
 

@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from scrubline.llm import jaccard_join
 from scrubline.llm.components import connected
 from scrubline.llm.jaccard_join import keep_one_per_component, linked_components
 from scrubline.llm.t_occurrence import InvertedLists, group_links
@@ -69,6 +71,40 @@ def test_chains_and_hubs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+@pytest.mark.parametrize("kind", ["family", "strangers"])
+def test_tasks_of_a_divided_group(spark, monkeypatch, kind):
+    """No task holds more than a block and a part; a family that joins across blocks is not sent round."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(120):
+        copy = list(base)
+        if kind == "family":
+            copy[rng.randrange(200)] = word()
+        else:  # too little in common to be similar, but for every tenth and its next one
+            copy[176:] = [word() for _ in range(24)]
+            if k % 10 == 1:
+                copy[176:] = rows[-1][1].split()[176:-1] + [word()]
+        rows.append((k, " ".join(copy)))
+    searched = []
+    search = jaccard_join._search
+
+    def watched(filled, percent, asked):
+        job = [c for c in ("leader", "block", "part") if c in filled.columns]
+        held = filled.groupBy(*job).agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("s"))
+        searched.append([(r.n, r.s) for r in held.collect()])
+        return search(filled, percent, asked)
+
+    monkeypatch.setattr(jaccard_join, "_search", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = linked_components(docs, block_shingles=2000).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(sets_of(rows, 4), 85)
+    assert max(s for jobs in searched for _, s in jobs) <= 4 * 2000 + 16 * 200
+    assert len(searched[0]) > 8  # the group was divided
+    if kind == "family":
+        assert sum(n for jobs in searched[1:] for n, _ in jobs) <= 3 * sum(n for n, _ in searched[0])
+
+
 def test_no_documents(no_docs):
     assert linked_components(no_docs).count() == 0 and keep_one_per_component(no_docs).count() == 0
 
