@@ -5,8 +5,9 @@ weigh nothing, and so do lines that are mostly link text. The weights are summed
 windows of lines; the text begins where the sum surges above a threshold and ends where it dives
 to nothing. Everything between the two is kept.
 
-A page that marks its article is judged inside that mark, where any text is a surge; on other pages
-a surge takes as much text as boilerplate lines seldom have together.
+All lines of every page are judged so. A surge takes as much text as boilerplate lines seldom have
+together. A line inside a marked article weighs a surge more, so any text there is one, but lists of
+links are not; text outside the mark surges by its own weight.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ SILENT_NAMES = frozenset(
     "respond disqus social share sharing related recommended widget subscribe newsletter signup "
     "login".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_NAMES = frozenset("comment comments respond disqus".split())
 UNFINISHED = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 WHOLE = frozenset(("html", "body", "main"))
@@ -80,6 +82,7 @@ class LineReader(HTMLParser):
         self.depth = 0
         self.marks: list[str] = []
         self.articles = 0
+        self.heading = False  # the line is a headline
 
     def _is_silent(self, tag: str, attributes: dict[str, str | None]) -> bool:
         if tag in WHOLE:
@@ -107,10 +110,13 @@ class LineReader(HTMLParser):
             self.silent, self.depth = tag, 1
         elif tag in ("article", "main"):
             if not self.marks:
+                self.gap(tag)  # the mark's lines are hills of their own
                 self.articles += 1
             self.marks.append(tag)
         elif tag == "a":
             self.links += 1
+        elif tag in HEADINGS:
+            self.heading = True
 
     def handle_startendtag(self, tag, attrs) -> None:
         if not self.silent and tag in BLOCKS:
@@ -129,6 +135,8 @@ class LineReader(HTMLParser):
             self.flush()
         if self.marks and tag == self.marks[-1]:
             self.marks.pop()
+            if not self.marks:
+                self.gap(tag)
         elif tag == "a" and self.links:
             self.links -= 1
 
@@ -151,9 +159,10 @@ class LineReader(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             size = len(text.replace(" ", ""))
-            weight = 0 if self.linked > LINK_SHARE * size else len(text)
-            self.lines.append(Line(text, weight, self._article()))
-        self.parts, self.linked = [], 0
+            # a marked article's headline often links to the article itself
+            listed = self.linked > LINK_SHARE * size and not (self.heading and self.marks)
+            self.lines.append(Line(text, 0 if listed else len(text), self._article()))
+        self.parts, self.linked, self.heading = [], 0, False
 
     def close(self) -> None:
         super().close()
@@ -192,11 +201,10 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> lis
     reader = LineReader()
     reader.feed(UNFINISHED.sub("", html or ""))
     reader.close()
-    marked = any(line.article and line.text for line in reader.lines)
-    lines = [line for line in reader.lines if line.article] if marked else reader.lines
-    # links inside an article are part of it
-    weights = [len(line.text) if marked else line.weight for line in lines]
-    ranges = kept_lines(weights, 1 if marked else surge, window)
+    lines = reader.lines
+    # the mark is extra weight: a surge for each line of it that weighs anything
+    weights = [line.weight + surge * (line.article > 0 < line.weight) for line in lines]
+    ranges = kept_lines(weights, surge, window)
     if not ranges and any(weights):  # a page of little text: the hill with the most of it
         hills = kept_lines(weights, 1, window)
         ranges = [max(hills, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))]

@@ -208,6 +208,23 @@ def test_main_text(html, text):
     assert "\n".join(main_text(html)) == text
 
 
+LONG = ("Many words of the main text here. " * 6).strip()
+LINKS = "".join(f"<li><a href=/{k}>Another page, number {k}</a></li>" for k in range(6))
+
+
+@pytest.mark.parametrize("html,text", [
+    # a teaser in a mark does not take the page's text away
+    (f"<div>{LONG}</div><div>{LONG}</div><article><h3><a href=x>Card</a></h3></article>", f"{LONG}\n{LONG}\nCard"),
+    # a list of links in the mark is not text, a line that is a link between two lines of text is
+    (f"<article><p>One</p><p><a href=x>Two</a></p><p>Three</p><ul>{LINKS}</ul></article>", "One\nTwo\nThree"),
+    (f"<main><ul>{LINKS}</ul><h1><a href=x>Headline</a></h1><p>Body</p></main>", "Headline\nBody"),
+    # little text beside the mark is no surge of its own, nor part of the mark's
+    ("<div>Posted on Monday</div><article><p>Body</p></article><div>Legal</div>", "Body"),
+])
+def test_marks_are_extra_weight(html, text):
+    assert "\n".join(main_text(html)) == text
+
+
 def test_pages(spark):
     rows = [(k, f"http://e/{k}", html, 1, "x") for k, (html, _) in enumerate(PAGES)] + [(None, None, "<p>q", 2, "y")] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
