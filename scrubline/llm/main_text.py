@@ -13,6 +13,7 @@ links are not; text outside the mark surges by its own weight.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -53,6 +54,40 @@ SILENT_NAMES = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_NAMES = frozenset("comment comments respond disqus".split())
+# What HTML closes without an end tag: the open elements that a start tag ends, and those whose inside
+# it does not look out of.
+SCOPE = frozenset(
+    "applet button canvas caption html iframe marquee math noscript object select svg table td "
+    "template textarea th title".split()
+)
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section "
+    "summary table ul".split()
+)
+_ITEMS = BLOCKS - {"address", "div", "p"} | SCOPE
+_IN_TABLE = SCOPE - {"td", "th", "caption"}
+_ROWS = {"td", "th", "caption", "colgroup", "tr"}
+IMPLIED = {
+    "li": ({"li"}, _ITEMS - {"li"}),
+    "dd": ({"dd", "dt"}, _ITEMS - {"dd", "dt"}),
+    "dt": ({"dd", "dt"}, _ITEMS - {"dd", "dt"}),
+    "option": ({"option"}, SCOPE | {"datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, SCOPE | {"datalist"}),
+    "td": ({"td", "th", "caption", "colgroup"}, _IN_TABLE | {"tr"}),
+    "th": ({"td", "th", "caption", "colgroup"}, _IN_TABLE | {"tr"}),
+    "tr": (_ROWS, _IN_TABLE | {"tbody", "thead", "tfoot"}),
+    "tbody": (_ROWS | {"tbody", "thead", "tfoot"}, _IN_TABLE),
+    "thead": (_ROWS | {"tbody", "thead", "tfoot"}, _IN_TABLE),
+    "tfoot": (_ROWS | {"tbody", "thead", "tfoot"}, _IN_TABLE),
+    "rt": ({"rt", "rp"}, SCOPE | {"ruby"}),
+    "rp": ({"rt", "rp"}, SCOPE | {"ruby"}),
+    "body": ({"head"}, SCOPE),
+}
+# Table parts look for their start tag up to the table; others not beyond a cell.
+TABLE_PARTS = frozenset("table caption colgroup tbody thead tfoot tr td th".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+KEPT_OPEN = BLOCKS | SILENT | SCOPE | IMPLIED.keys() | {"a", "head"}
 UNFINISHED = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 WHOLE = frozenset(("html", "body", "main"))
 
@@ -62,6 +97,14 @@ def _names(attributes: dict[str, str | None]) -> set[str]:
     return set("".join(c if c.isalnum() else " " for c in words).split())
 
 
+@dataclass
+class Open:
+    tag: str
+    silent: bool = False  # it silences what is in it
+    mark: bool = False  # it marks an article
+    link: bool = False
+
+
 @dataclass
 class Line:
     text: str
@@ -70,7 +113,11 @@ class Line:
 
 
 class LineReader(HTMLParser):
-    """The lines of a page. A silent element leaves a gap of weightless lines behind."""
+    """The lines of a page. A silent element leaves a gap of weightless lines behind.
+
+    Elements without an end tag end where HTML implies it, or with the element they are in. Of inline
+    elements only links, and those that are silent or in a silent one, are followed.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -78,9 +125,10 @@ class LineReader(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
-        self.silent: str | None = None  # the element that silences
-        self.depth = 0
-        self.marks: list[str] = []
+        self.open: list[Open] = []
+        self.counts: Counter[str] = Counter()  # open elements by tag
+        self.silent = 0  # open elements that silence
+        self.marks = 0
         self.articles = 0
         self.heading = False  # the line is a headline
 
@@ -97,48 +145,114 @@ class LineReader(HTMLParser):
         return tag in SILENT or role in SILENT_ROLES or hidden or bool(names & SILENT_NAMES)
 
     def handle_starttag(self, tag, attrs) -> None:
+        self._imply_ends(tag)
         if self.silent:
-            self.depth += tag == self.silent
+            if tag not in VOID:
+                self._push(Open(tag))
             return
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
-        if tag not in VOID and self._is_silent(tag, dict(attrs)):
+        if tag in VOID:
+            return
+        entry = Open(tag, silent=self._is_silent(tag, dict(attrs)))
+        if entry.silent:
             if tag in BLOCKS or tag in SILENT:
                 self.gap(tag)
-            self.silent, self.depth = tag, 1
+            self.silent += 1
         elif tag in ("article", "main"):
             if not self.marks:
                 self.gap(tag)  # the mark's lines are hills of their own
                 self.articles += 1
-            self.marks.append(tag)
-        elif tag == "a":
+            self.marks += 1
+            entry.mark = True
+        elif tag == "a" and any(name == "href" for name, _ in attrs):
             self.links += 1
+            entry.link = True
         elif tag in HEADINGS:
             self.heading = True
+        if entry.silent or tag in KEPT_OPEN:
+            self._push(entry)
+
+    def _push(self, entry: Open) -> None:
+        self.open.append(entry)
+        self.counts[entry.tag] += 1
 
     def handle_startendtag(self, tag, attrs) -> None:
+        self._imply_ends(tag)
         if not self.silent and tag in BLOCKS:
             self.flush()
         elif not self.silent and tag == "br":
             self.parts.append(" ")
 
     def handle_endtag(self, tag) -> None:
-        if self.silent:
-            if tag == self.silent:
-                self.depth -= 1
-                if not self.depth:
-                    self.silent = None
+        at = self._start_of(tag)
+        if at is None:
+            if not self.silent and tag in BLOCKS:
+                self.flush()
+        elif tag in FORMATTING:  # blocks opened inside stay open
+            self._close(at, at + 1 if self._has_block(at + 1) else len(self.open), tag)
+        elif tag in KEPT_OPEN or not self._has_block(at + 1):
+            self._close(at, len(self.open), tag)
+
+    def _has_block(self, at: int) -> bool:
+        return any(x.tag in BLOCKS or x.tag in SCOPE for x in self.open[at:])
+
+    def _start_of(self, tag: str) -> int | None:
+        """The place of the open element that an end tag belongs to."""
+        alike = HEADINGS if tag in HEADINGS else (tag,)
+        if not any(self.counts[x] for x in alike):
+            return None
+        if tag in ("html", "body", "head"):
+            stops = frozenset()
+        elif tag in TABLE_PARTS:
+            stops = _IN_TABLE
+        else:
+            stops = SCOPE | {"ol", "ul"} if tag == "li" else SCOPE
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at].tag in alike:
+                return at
+            if self.open[at].tag in stops:
+                return None
+        return None
+
+    def _imply_ends(self, tag: str) -> None:
+        """Close the open elements that a start tag ends."""
+        if tag == "a" and self.counts["a"]:  # links do not nest
+            self.handle_endtag("a")
+        if tag in IMPLIED:
+            self._end_nearest(*IMPLIED[tag], tag)
+        if tag in ENDS_P:
+            self._end_nearest({"p"}, SCOPE, tag)
+
+    def _end_nearest(self, ended, stops, tag: str) -> None:
+        """Close the outermost of the ended elements before the first that stops the search."""
+        found = None
+        if not any(self.counts[x] for x in ended):
             return
-        if tag in BLOCKS:
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at].tag in ended:
+                found = at
+            elif self.open[at].tag in stops:
+                break
+        if found is not None:
+            self._close(found, len(self.open), tag)
+
+    def _close(self, begin: int, end: int, tag: str) -> None:
+        """Close a run of open elements, at a tag."""
+        closed = self.open[begin:end]
+        still = self.silent - sum(x.silent for x in closed)
+        if not still and tag in BLOCKS:
             self.flush()
-        if self.marks and tag == self.marks[-1]:
-            self.marks.pop()
-            if not self.marks:
-                self.gap(tag)
-        elif tag == "a" and self.links:
-            self.links -= 1
+        del self.open[begin:end]
+        self.silent = still
+        self.links -= sum(x.link for x in closed)
+        self.counts.subtract(x.tag for x in closed)
+        marks = sum(x.mark for x in closed)
+        self.marks -= marks
+        if marks and not self.marks:
+            self.gap("article")
 
     def handle_data(self, data) -> None:
         if not self.silent:

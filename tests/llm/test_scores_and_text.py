@@ -225,6 +225,27 @@ def test_marks_are_extra_weight(html, text):
     assert "\n".join(main_text(html)) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><p class='notice'>Hi<p>Body</p><p>More</p></article>", "Body\nMore"),
+    ("<article><p class='notice'>Hi<div>Body</div></article>", "Body"),
+    ("<article><ul><li class=share>Post<ul><li>it</ul><li>One<li>Two</ul><p>Body</article>", "One\nTwo\nBody"),
+    ("<article><table><tr><td class=ad>Buy<td>One<tr><th hidden>x<tr><td>Two</table>Body</article>", "One\nTwo\nBody"),
+    ("<article><table><tr class=ad><td><table><tr><td>x</table>y<tr><td>One</table></article>", "One"),
+    ("<article><dl><dt>A<dd class=promo>Buy<dt>B<dd>C</dl>Body</article>", "A\nB\nC\nBody"),
+    ("<article><p><b class=ad>Buy<p>in</b> Body</article>", "in Body"),
+    ("<article><div><p>One</p><section class=ad><p>Buy</div><p>Body</article>", "One\nBody"),
+    ("<article><p>One <span class=ad>Buy <span>now</span></span> two <option class=ad>x<option>three</article>", "One two\nthree"),
+    ("<article><nav><p>x</article>" + f"<div>{LONG}</div>", LONG),
+    # what closes only inside a silent element does not end the silence
+    ("<article><div class=ad><p>x<p>y</p></p></b></section><div>z</div>q</div>Body</article>", "Body"),
+    ("<article><p>One <button><p>x</p>y</button> two</p></article>", "One\ntwo"),
+    (f"<a name=top><div>{LONG}</div>", LONG),
+    (f"<p><a href=x>Start<p>{LONG}</p>", LONG),
+])
+def test_elements_without_end_tag(html, text):
+    assert "\n".join(main_text(html)) == text
+
+
 def test_pages(spark):
     rows = [(k, f"http://e/{k}", html, 1, "x") for k, (html, _) in enumerate(PAGES)] + [(None, None, "<p>q", 2, "y")] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
