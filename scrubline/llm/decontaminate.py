@@ -248,10 +248,15 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int, item: str, item_text: s
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold any benchmark window; all columns kept."""
-    leaked = find_leaks(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    named = leaked.select(F.col("doc_id").alias("__leaked"))
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["__leaked"]), "left_anti")
+    """``docs`` without the rows that hold any benchmark window; all columns kept.
+
+    A row is judged by its own text, so ids may be null or stand for several texts.
+    """
+    tagged = docs.withColumn("__sha", F.sha2(F.col("text").cast("string"), 256))
+    leaked = find_leaks(tagged, benchmark, window, key="__sha").where("n_hit > 0")
+    named = leaked.select(F.col("doc_id").alias("__leaked")).distinct()
+    kept = tagged.join(named, tagged["__sha"] == named["__leaked"], "left_anti")
+    return kept.select(*docs.columns)
 
 
 def leak_digest(items: Column) -> Column:

@@ -431,9 +431,24 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def keep_one_per_component(
     docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id"
 ) -> DataFrame:
-    """``docs`` with the smallest id of each component alone, one row of it; all columns kept."""
-    found = linked_components(docs, width, percent, key)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__stay")
-    ).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(stay["__stay"]), "left_semi")
+    """``docs`` with the smallest id of each component alone, one row of it; all columns kept.
+
+    Rows are told apart by id and text (64 bits of hash), so ids may be null, which come last, or
+    stand for several texts. Rows without words are in no component and all stay.
+    """
+    named = F.struct(
+        F.col(key).isNull().alias("missing"), F.col(key).alias("id"),
+        F.xxhash64(F.col("text").cast("string")).alias("hash"),
+    )
+    tagged = docs.withColumn("__row", named)
+    found = held(linked_components(tagged, width, percent, "__row"), "components")
+    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stay")).agg(
+        F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("__repeats")
+    )
+    once = stay.where("__repeats < 2").select("__stay")
+    kept = tagged.join(once, tagged["__row"] == once["__stay"], "left_semi")
+    repeated = held(stay.where("__repeats > 1").select("__stay"), "repeated")
+    if not repeated.isEmpty():  # rows of one id and text
+        copies = tagged.join(repeated, tagged["__row"] == repeated["__stay"], "left_semi")
+        kept = kept.unionByName(copies.dropDuplicates(["__row"]))
+    return kept.select(*docs.columns)

@@ -53,6 +53,15 @@ def test_leaks(spark, odd_docs, odd_rows, block_bytes):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(i for i, t in odd_rows if not hits(t, items, 10)[1])
 
 
+def test_leaked_rows_go_by_their_text(spark):
+    """Rows of null or repeated ids are judged one by one."""
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, f"a {item} b"), (None, "clean"), (None, None), (1, item), (1, "also clean"), (2, "x"), (2, "x")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    kept = drop_leaked(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.place for r in kept.collect()) == [1, 2, 4, 5, 6]
+
+
 def test_leaks_without_rows(spark, odd_docs, odd_rows, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(odd_docs, none).where("n_hit = 0 and size(items) = 0").count() == len(odd_rows)

@@ -105,6 +105,23 @@ def test_tasks_of_a_divided_group(spark, monkeypatch, kind):
         assert sum(n for jobs in searched[1:] for n, _ in jobs) <= 3 * sum(n for n, _ in searched[0])
 
 
+def test_one_row_of_a_component_stays_whatever_its_ids(spark):
+    """Null and repeated ids: near copies go, other texts of the same id stay."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    family = lambda n: [" ".join([*base[:99], word()]) for base in [[word() for _ in range(100)]] for _ in range(n)]
+    nulls, same, mixed = family(3), family(3), family(2)
+    rows = [(None, t) for t in nulls] + [(7, t) for t in same] + [(None, mixed[0]), (7, mixed[1])]
+    rows += [(7, family(1)[0]), (None, family(1)[0]), (9, "one row"), (9, "one row"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    kept = keep_one_per_component(docs.repartition(3), 4, 85)
+    assert kept.columns == docs.columns
+    got = Counter(r.text for r in kept.collect())
+    assert sum(got[t] for t in nulls) == 1 and sum(got[t] for t in same) == 1
+    assert got[mixed[0]] == 0 and got[mixed[1]] == 1  # a null id comes last
+    assert got["one row"] == 1 and got[None] == 2 and got[rows[8][1]] == got[rows[9][1]] == 1
+
+
 def test_no_documents(no_docs):
     assert linked_components(no_docs).count() == 0 and keep_one_per_component(no_docs).count() == 0
 
