@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.llm import (
     decontaminate,
     exact_dedup,
+    importance,
     jaccard_join,
     language,
     main_text,
@@ -132,3 +133,9 @@ def op10_language_id(spark, folder):
     return found.select(
         "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op13_importance_resampling(spark, folder):
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
