@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     importance,
@@ -135,6 +136,15 @@ def op10_language_id(spark, folder):
     )
 
 
+@query
+def op12_tokenizer_alignment(spark, folder):
+    return alignment.align(
+        table(spark, folder, "documents"),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+    )
+
+
 @query
 def op13_importance_resampling(spark, folder):
     drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
