@@ -16,6 +16,7 @@ from scrubline.llm import (
     language,
     main_text,
     packing,
+    private_data,
     sharding,
     suffix_dedup,
     token_counts,
@@ -136,6 +137,19 @@ def op10_language_id(spark, folder):
     )
 
 
+@query
+def op11_pii(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = private_data.find_private(docs, private_data.train(docs))
+    counts = [private_data.count_of(kind).alias(f"n_{kind}") for kind in private_data.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(private_data.listed(F.col("base")), 256).alias("base_sha256"),
+        private_data.listed(private_data.all_spans()).alias("spans"),
+    )
+
+
 @query
 def op12_tokenizer_alignment(spark, folder):
     return alignment.align(
