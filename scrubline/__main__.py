@@ -60,7 +60,8 @@ def main(argv: list[str] | None = None) -> None:
         audit_path if args.log else None,
     )
     shown = audit.select("input_path", "output_path", "rows_in", "rows_out")
-    shown.orderBy("input_path").show(100, truncate=False)
+    for row in shown.orderBy("input_path").collect():  # one row for each input
+        print(f"{row['input_path']} -> {row['output_path']}: {row['rows_in']} rows in, {row['rows_out']} out")
 
 
 if __name__ == "__main__":

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from scrubline.functions.text import normalize_whitespace
 
 
+# a base and the number after it; none has more digits than a header can have columns
+_NUMBERED = "^(.+)_([1-9][0-9]{0,8})$"
+
+
 def snake_name(name: str) -> str:
     """Lowercase name with one underscore for every run of other characters; never empty."""
     letters = re.sub(r"[\W_]+", "_", str(name).lower())
@@ -63,31 +67,33 @@ def snake_name_column(c: Column) -> Column:
 def name_rows(df: DataFrame, dataset: str, position: str, raw: str) -> DataFrame:
     """Sanitize header names stored one per row; a repeated one gets the next free suffix.
 
-    The rule is that of ``unique_names``. A dataset's header is one record, so the window's arrays
-    hold no more names than the file has columns.
+    The rule is that of ``unique_names``, in closed form. Suffixed names of two bases never meet, so a
+    base's suffixes have to miss only the header's own names of the form ``base_n``. With those
+    numbers in order, the i-th leaves ``n - 2 - i`` free numbers below it; the j-th repetition comes
+    after all with at most j free, which a running count in the order of free numbers tells. Sorting
+    is all it takes, so a header of any width costs its own length.
     """
-    based = df.withColumn("base_name", snake_name_column(F.col(raw)))
-    header = Window.partitionBy(dataset)
-    pair = F.struct(F.col(position).alias("p"), F.col("base_name").alias("b"))
-    bases = F.transform(F.array_sort(F.collect_list(pair).over(header)), lambda x: x["b"])
-    place = F.row_number().over(header.orderBy(position, "base_name"))
-    numbered = based.withColumns({"_bases": bases, "_place": place})
-    return numbered.withColumn("name", F.get(_suffixed("_bases"), F.col("_place") - 1)).drop(
-        "_bases", "_place"
+    rows = df.select(
+        F.col(dataset).alias("set"), snake_name_column(F.col(raw)).alias("base"),
+        F.col(position).alias("at"), F.struct("*").alias("row"),
+    )
+    earlier = F.row_number().over(Window.partitionBy("set", "base").orderBy("at", "row")) - 2
+    rows = rows.select("set", "base", "row", earlier.cast("bigint").alias("free"), F.lit(1).alias("kind"))
+    taken = rows.select("set", "base").distinct().select(
+        "set",
+        F.regexp_extract("base", _NUMBERED, 1).alias("base"),
+        F.regexp_extract("base", _NUMBERED, 2).try_cast("bigint").alias("number"),
+    ).where("number >= 2")
+    before = F.row_number().over(Window.partitionBy("set", "base").orderBy("number")) - 1
+    taken = taken.select(
+        "set", "base", F.lit(None).cast(rows.schema["row"].dataType).alias("row"),
+        (F.col("number") - 2 - before).cast("bigint").alias("free"), F.lit(0).alias("kind"),
+    )
+    so_far = Window.partitionBy("set", "base").orderBy("free", "kind").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-
-
-def _suffixed(bases: str) -> Column:
-    """Names in order, the second and later of a base with the least suffix that is free."""
-    every = F.col(bases)
-
-    def add(done: Column, base: Column) -> Column:
-        numbers = F.sequence(F.lit(2), 2 * F.size(every) + 2)
-        tried = F.transform(numbers, lambda n: F.concat_ws("_", base, n.cast("string")))
-        free = F.filter(
-            tried, lambda t: ~F.array_contains(every, t) & ~F.array_contains(done, t)
-        )
-        chosen = F.when(F.array_contains(done, base), F.get(free, F.lit(0))).otherwise(base)
-        return F.array_append(done, chosen)
-
-    return F.aggregate(every, F.array().cast("array<string>"), add)
+    missed = F.sum(1 - F.col("kind")).over(so_far)
+    both = rows.unionByName(taken).select("*", (F.col("free") + 2 + missed).alias("number"))
+    name = F.when(F.col("free") < 0, F.col("base")).otherwise(F.concat_ws("_", "base", "number"))
+    named = both.where("kind = 1").select("row", F.col("base").alias("base_name"), name.alias("name"))
+    return named.select("row.*", "base_name", "name")

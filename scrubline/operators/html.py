@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,8 +19,59 @@ ROWS_AT_ONCE = 5000
 _TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t([dh])\b[^>]*>(.*?)</t[dh]\s*>"
-_LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>.*?</a\s*>"""
-_LINK_TEXT = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'][^"']*["'][^>]*>(.*?)</a\s*>"""
+# An anchor with a target: its attributes and its body.
+_LINK = r"""(?is)<a\b([^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*)>(.*?)</a\s*>"""
+_TARGET = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+_RARE = r"&(?!(?:nbsp|lt|gt|quot|amp|#39);)#?\w"
+
+
+# Names (some without a semicolon) and what they stand for, from the standard library's table. One
+# text rather than a map: a literal of thousands of entries would slow the planning of every query.
+_START, _END = "\x01", "\x02"
+_NAMES = "".join(f"{_START}{name}{_END}{text}" for name, text in sorted(html5.items())) + _START
+
+
+def _named(name: Column) -> Column:
+    """What a name stands for; NULL if nothing."""
+    table, key = F.lit(_NAMES), F.concat(F.lit(_START), name, F.lit(_END))
+    rest = F.call_function("substring_index", table, key, F.lit(-1))
+    return F.when(table.contains(key), F.substring_index(rest, _START, 1))
+
+
+def _of_code_page() -> Column:
+    """Numbers 128 to 159, which pages use for characters of code page 1252."""
+    letters = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+    return F.create_map(*[F.lit(x) for n, letter in letters.items() for x in (n, letter)])
+
+
+def _decoded(reference: Column) -> Column:
+    """What one reference stands for; itself if nothing."""
+    body = F.regexp_replace(reference, "^&#[xX]?|;$", "")
+    number = F.when(reference.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body).cast("int")
+    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    numeric = F.when(number.between(0x80, 0x9F), F.element_at(_of_code_page(), number)).when(valid, wide)
+    # a name may have run on: without a semicolon only the old names count, the longest first
+    name = F.substring(reference, 2, 40)
+    named = _named(name)
+    starts = F.transform(F.sequence(F.length(name), F.lit(1), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n))
+    known = F.filter(starts, lambda x: _named(x).isNotNull())
+    partly = F.get(
+        F.transform(known, lambda x: F.concat(_named(x), F.substring(name, F.length(x) + 1, F.lit(40)))), 0
+    )
+    return (
+        F.when(reference.startswith("&#"), F.coalesce(numeric, F.lit("\ufffd")))
+        .otherwise(F.coalesce(named, partly, reference))
+    )
+
+
+def decode_references(text: Column) -> Column:
+    """Text with every character reference replaced, in one pass, so that none is read twice."""
+    between = F.split(text, _REFERENCE, -1)
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    pairs = F.zip_with(between, found, lambda x, r: F.concat(x, F.when(r.isNull(), "").otherwise(_decoded(r))))
+    return F.array_join(pairs, "")
 
 
 def plain_text(fragment: Column) -> Column:
@@ -161,14 +213,31 @@ def extract_untidy_tables(
 
 
 def extract_links(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """Rows ``(page, link_no, href, link_text)`` of every anchor with a target."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)).alias("href"),
-        F.regexp_extract_all(html, F.lit(_LINK_TEXT), F.lit(1)).alias("body"),
-    )
-    return pages.select(page, F.posexplode(pairs)).select(
+    """Rows ``(page, link_no, href, link_text)`` of every anchor with a target, quoted or not.
+
+    Character references are resolved in both; only texts that hold others than the common ones are
+    taken apart. A null page has no links.
+    """
+    attributes, body = (F.regexp_extract_all(html, F.lit(_LINK), F.lit(k)) for k in (1, 2))
+    each = F.posexplode(F.arrays_zip(attributes.alias("attributes"), body.alias("body")))
+    target = F.concat(*[F.regexp_extract("col.attributes", _TARGET, k) for k in (1, 2, 3)])  # two are empty
+    links = pages.select(page, each).select(
         page,
         F.col("pos").alias("link_no"),
-        F.col("col.href").alias("href"),
-        plain_text(F.col("col.body")).alias("link_text"),
+        target.alias("href"),
+        F.col("col.body").alias("body"),
+    )
+    # a target is decoded wherever it holds a reference, a text where the plain way cannot
+    odd = F.array(
+        F.when(F.col("href").contains("&"), F.col("href")),
+        F.when(F.col("body").rlike(_RARE), F.regexp_replace("body", r"(?s)<[^>]*>", "")),
+    )
+    decoded = F.transform(odd, lambda x: F.when(x.isNotNull(), decode_references(x)))
+    links = links.withColumn("decoded", decoded)
+    text = F.trim(F.regexp_replace(F.translate(F.get("decoded", F.lit(1)), "\u00a0", " "), r"\s+", " "))
+    return links.select(
+        page,
+        "link_no",
+        F.coalesce(F.get("decoded", F.lit(0)), "href").alias("href"),
+        F.coalesce(text, plain_text(F.col("body"))).alias("link_text"),
     )

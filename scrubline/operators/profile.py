@@ -7,7 +7,7 @@ each task before anything is shuffled: what crosses the network is one row per t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions.parsing import (
@@ -21,9 +21,8 @@ from scrubline.functions.parsing import (
 )
 from scrubline.functions.render import float_text
 from scrubline.functions.text import with_clean_text
-from scrubline.operators.lookup import lookup_join
+from scrubline.operators.selection import values_of_rank
 from scrubline.options import CleanOptions
-from scrubline.session import cut_lineage
 
 COLUMN, POSITION, RAW, TEXT = "column_name", "position", "raw_value", "cell"
 
@@ -164,54 +163,15 @@ def first_modes(df: DataFrame, keys: list[str], value: str, order: list[str]) ->
     )
 
 
-def exact_medians(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    accuracy: int = 100_000,
-    margin: float | None = None,
-) -> DataFrame:
-    """Exact median per key (mean of the middle two) without gathering a group's values.
-
-    A sketch brackets the middle ranks first. Values outside the bracket collapse into one
-    counter per side inside each task, so only the few distinct values between the brackets are
-    shuffled and ranked. The counters prove whether the bracket holds the middle; groups where it
-    does not are done again with a ten times wider one, so the sketch's error never matters.
-    """
-    margin = 3.0 / accuracy if margin is None else min(margin, 0.5)
-    bracket = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy)
-    if margin >= 0.5:
-        bracket = F.array(F.min(value), F.max(value))
-    sketched = df.groupBy(*keys).agg(F.count(value).alias("_n"), bracket.alias("_b"))
-    ranked = cut_lineage(
-        _ranked_middle(lookup_join(df, sketched, keys, F.col(value)), keys, value)
-    )
-    found = ranked.filter("NOT coalesce(_missed, false)").select(*keys, "median")
-    missed = ranked.filter("_missed").select(*keys)
-    if margin >= 0.5 or missed.isEmpty():
-        return found
-    again = df.join(missed, keys, "left_semi")
-    return found.unionByName(exact_medians(again, keys, value, accuracy, margin * 10))
-
-
-def _ranked_middle(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median per key from values tagged with their group size and bracket."""
-    v, low, high = F.col(value), F.col("_b")[0], F.col("_b")[1]
-    slot = (
-        F.when(v < low, F.lit(float("-inf"))).when(v > high, F.lit(float("inf"))).otherwise(v)
-    )
-    counted = df.groupBy(*keys, "_n", slot.alias("_slot")).agg(F.count(value).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_slot"))
-    n = F.col("_n")
-    reached = counted.withColumn("_upto", upto).groupBy(*keys).agg(
-        F.min(F.when(F.col("_upto") >= F.floor((n + 1) / 2), F.col("_slot"))).alias("_m1"),
-        F.min(F.when(F.col("_upto") >= F.floor(n / 2) + 1, F.col("_slot"))).alias("_m2"),
-    )
-    edge = F.lit(float("inf"))
-    return reached.select(
-        *keys,
-        ((F.col("_m1") + F.col("_m2")) / 2).alias("median"),
-        ((F.col("_m1") == -edge) | (F.col("_m2") == edge)).alias("_missed"),
+def exact_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median per key: the mean of the middle two, found by radix selection."""
+    middle = values_of_rank(
+        df, keys, value,
+        lambda n: F.array(F.floor((n + 1) / 2).cast("bigint"), (F.floor(n / 2) + 1).cast("bigint")),
+    )
+    low, high = (F.max(F.when(F.col("which") == k, F.col("value"))) for k in (0, 1))
+    return middle.groupBy(*keys).agg(
+        F.when(low == high, low).otherwise((low + high) / 2).alias("median")
     )
 
 

@@ -23,10 +23,11 @@ from scrubline.sources.delimited import (
     resolve_inputs,
 )
 from scrubline.sources.sinks import (
-    output_name,
     remove_folder,
     stage_path,
+    store_of,
     swap_in,
+    target_of,
     write_delimited,
     write_staged,
 )
@@ -154,12 +155,13 @@ def clean_files(
     """Clean every input file and write ``<stem>_cleaned<ext>`` datasets; gives the audit table.
 
     The work is one plan per layout, not per file. Outputs are written to a staging folder and
-    moved to their names afterwards, so an input may be overwritten in place.
+    moved to their names afterwards, so an input may be overwritten in place, and an output, which
+    carries a manifest, is itself an input like a file.
     """
     paths = resolve_inputs(spark, inputs)
     if not paths:
         raise FileNotFoundError("no input files found")
-    finals = {p: output_name(p, output_dir, suffix, inplace) for p in paths}
+    finals = {p: target_of(p.rstrip("/"), output_dir, suffix, inplace) for p in paths}
     if len(set(finals.values())) < len(finals):
         raise ValueError("two inputs would get the same output path; use separate folders")
     layouts, scanned = find_layouts(spark, paths, options.delimiter)
@@ -183,7 +185,7 @@ def _clean_layouts(
     results += [clean_layout(spark, layout, options) for layout in layouts]
     files = [f for layout in layouts for f in layout.files]
     outputs = spark.createDataFrame(
-        [(f, str(i), path_of(f), finals[path_of(f)]) for i, f in enumerate(files)],
+        [(f, str(i), path_of(f).rstrip("/"), finals[path_of(f)]) for i, f in enumerate(files)],
         f"{FILE} string, dataset_id string, input_path string, output_path string",
     )
     audit = cut_lineage(
@@ -198,25 +200,32 @@ def _clean_layouts(
 
 
 def _write_layout(spark: SparkSession, result: LayoutResult, outputs: DataFrame) -> None:
-    """Write a layout's datasets, one job per distinct set of kept columns."""
+    """Write a layout's datasets, one job per distinct set of kept columns and target store."""
     of_layout = spark.createDataFrame([(f,) for f in result.layout.files], f"{FILE} string")
     targets = outputs.join(of_layout, FILE).cache()
     placed = lookup_join(
-        result.rows, targets.select(FILE, "dataset_id", "header_out"), [FILE], F.struct(*ORDER)
+        result.rows, targets.select(FILE, "dataset_id"), [FILE], F.struct(*ORDER)
     )
-    groups: dict[tuple[str, ...], dict[str, str]] = {}
+    groups: dict[tuple[str, tuple[str, ...]], list] = {}
     for row in targets.collect():
-        groups.setdefault(tuple(row["header_out"]), {})[row["dataset_id"]] = row["output_path"]
-    for columns, finals in groups.items():
+        groups.setdefault((store_of(row["output_path"]), tuple(row["header_out"])), []).append(row)
+    for (_, columns), rows in groups.items():
         if not columns:
             continue
-        staging = stage_path(spark, next(iter(finals.values())).rsplit("/", 1)[0])
-        same = F.col("header_out") == F.array(*[F.lit(c) for c in columns])
+        finals = {row["dataset_id"]: row["output_path"] for row in rows}
+        sources = {row["dataset_id"]: row["input_path"] for row in rows}
+        beside = next(iter(finals.values())).rsplit("/", 1)[0]
+        staging = stage_path(spark, beside)
+        ids = F.col("dataset_id").isin(list(finals))
         write_staged(
-            placed.filter(same), "dataset_id", list(columns), ORDER, staging,
+            placed.filter(ids), "dataset_id", list(columns), ORDER, staging,
             result.layout.delimiter,
         )
-        for final in swap_in(spark, staging, finals, overwrite=True):
+        rowless = swap_in(spark, staging, finals, sources, overwrite=True)
+        staging = stage_path(spark, beside)
+        for dataset in rowless:
             nothing = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
-            write_delimited(nothing, final, result.layout.delimiter, "overwrite")
+            write_delimited(nothing, f"{staging}/dataset={dataset}", result.layout.delimiter)
+        if rowless:
+            swap_in(spark, staging, {d: finals[d] for d in rowless}, sources, overwrite=True)
     targets.unpersist()

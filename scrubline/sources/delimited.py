@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import re
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,19 +26,25 @@ from scrubline.sources.lines import (
     line_shapes,
     vote_delimiter,
 )
+from scrubline.sources.sinks import ASIDE, manifest_of, recover, recover_folder
 
 # a leading underscore never survives name sanitizing, so these cannot meet a data column
 FILE, BLOCK, ROW, PLACE = "_file", "_block", "_row", "_place"
 ORDER = [PLACE]
 
 
-def place() -> Column:
+def place(dataset: bool = False) -> Column:
     """Position of a row in its file as one number: split offset, then record within the task.
 
-    One fixed-width number, rather than a struct, lets "first seen" be a plain hash aggregate.
+    In a dataset the number of its part comes first. One fixed-width number, rather than a struct,
+    lets "first seen" be a plain hash aggregate.
     """
     record = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    start = F.col("_metadata.file_block_start").cast("decimal(20,0)")
+    start = F.col("_metadata.file_block_start")
+    if dataset:
+        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+        start = F.coalesce(part, F.lit(0).cast("bigint")) * F.lit(2**44) + start
+    start = start.cast("decimal(20,0)")
     return (start * F.lit(2**33).cast("decimal(10,0)") + record).cast("decimal(30,0)")
 
 
@@ -83,9 +90,32 @@ def delimiter_alias(given: str | None) -> str | None:
     return given or None
 
 
+def is_dataset(path: str) -> bool:
+    """Whether a resolved path (or a file key) is a written dataset, a folder of parts."""
+    return path.endswith("/")
+
+
+def _kinds(paths: list[str]) -> list[tuple[list[str], bool]]:
+    """Plain files and datasets apart, as their rows name their file differently."""
+    sides = [([p for p in paths if is_dataset(p) == kind], kind) for kind in (False, True)]
+    return [(some, kind) for some, kind in sides if some]
+
+
+def _file_key(dataset: bool) -> Column:
+    """The file of a row, or the folder of its dataset with a slash at the end."""
+    path = F.col("_metadata.file_path")
+    return (F.regexp_replace(path, "[^/]+$", "") if dataset else path).alias(FILE)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def resolve_inputs(spark: SparkSession, patterns: list[str]) -> list[str]:
     """Paths for files, folders (their ``*.csv`` only, not below) and globs; missing ones dropped.
 
+    A folder with a manifest is a dataset that an earlier run wrote: it is one input, and its path ends
+    in a slash. Outputs that a broken run had moved aside are put back first.
     A name is a pattern only where nothing of that very name exists. The order of the arguments is
     kept and a file named twice is taken once. Spark's readers pass over names that start with an
     underscore or a dot, so those are an error rather than an empty result.
@@ -93,16 +123,26 @@ def resolve_inputs(spark: SparkSession, patterns: list[str]) -> list[str]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found: dict[str, None] = {}
+
+    def written(status) -> bool:
+        path = status.getPath()
+        return status.isDirectory() and manifest_of(spark, path.toString()) is not None
+
     for pattern in patterns:
         path = jvm.org.apache.hadoop.fs.Path(pattern)
         fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            recover(spark, pattern)
         hits = [fs.getFileStatus(path)] if fs.exists(path) else fs.globStatus(path) or []
-        if len(hits) == 1 and hits[0].isDirectory():
+        if len(hits) == 1 and hits[0].isDirectory() and not written(hits[0]):
+            recover_folder(spark, hits[0].getPath().toString())
             inside = fs.listStatus(hits[0].getPath())
-            hits = [h for h in inside if h.getPath().getName().endswith(".csv")]
-        for hit in sorted((h for h in hits if h.isFile()), key=lambda h: h.getPath().toString()):
-            found[hit.getPath().toString()] = None
-    hidden = [p for p in found if p.rsplit("/", 1)[-1].startswith(("_", "."))]
+            names = [(h, h.getPath().getName()) for h in inside]
+            hits = [h for h, n in names if n.endswith(".csv") and not n.startswith(ASIDE)]
+        for hit in sorted(hits, key=lambda h: h.getPath().toString()):
+            if hit.isFile() or written(hit):
+                found[hit.getPath().toString() + "/" * hit.isDirectory()] = None
+    hidden = [p for p in found if p.rstrip("/").rsplit("/", 1)[-1].startswith(("_", "."))]
     if hidden:
         raise ValueError(f"names that Spark does not read; rename them: {hidden[:5]}")
     return list(found)
@@ -115,11 +155,16 @@ def literal(path: str) -> str:
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Raw lines with their file and place: ``_file, _block, _row, value``."""
-    return spark.read.text([literal(p) for p in paths]).select(
-        F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_block_start").alias(BLOCK),
-        F.monotonically_increasing_id().alias(ROW),
-        "value",
+    return _all(
+        [
+            spark.read.text([literal(p) for p in some]).select(
+                _file_key(dataset),
+                F.col("_metadata.file_block_start").alias(BLOCK),
+                F.monotonically_increasing_id().alias(ROW),
+                "value",
+            )
+            for some, dataset in _kinds(paths)
+        ]
     )
 
 
@@ -195,12 +240,16 @@ def _csv_options(
 
 def _record_widths(spark: SparkSession, paths: list[str], delimiter: str, encoding: str):
     """Header width and cell counts per file whose records may span lines."""
-    records = spark.read.options(**_csv_options(delimiter, encoding, True)).option(
+    reader = spark.read.options(**_csv_options(delimiter, encoding, True)).option(
         "singleVariantColumn", "record"
-    ).csv([literal(path_of(p)) for p in paths])
+    )
     cells = F.map_keys(F.col("record").cast("map<string,string>"))
+    records = [
+        reader.csv([literal(path_of(p)) for p in some]).select(_file_key(dataset), F.size(cells).alias("n"))
+        for some, dataset in _kinds(paths)
+    ]
     return (
-        records.select(F.col("_metadata.file_path").alias(FILE), F.size(cells).alias("n"))
+        _all(records)
         .groupBy(FILE)
         .agg(F.max("n").alias("width"), F.min("n").alias("min_width"))
         .collect()
@@ -288,18 +337,22 @@ def read_layout(
     """
     wanted = len(layout_names(layout, pad_rows))
     schema = ", ".join(f"_c{i} string" for i in range(max(layout.width, wanted)))
-    df = (
+    reader = (
         spark.read.schema(schema)
         .options(
             **_csv_options(layout.delimiter, layout.encoding, layout.multiline, layout.width)
         )
         .option("header", str(layout.has_header).lower())
-        .csv([literal(p) for p in layout.paths])
     )
     cells = [F.col(f"_c{i}") for i in range(wanted)]
     if layout.encoding == "cp1252":
         cells = [latin1_to_cp1252(c).alias(f"_c{i}") for i, c in enumerate(cells)]
-    rows = df.select(F.col("_metadata.file_path").alias(FILE), place().alias(PLACE), *cells)
+    rows = _all(
+        [
+            reader.csv([literal(p) for p in some]).select(_file_key(dataset), place(dataset).alias(PLACE), *cells)
+            for some, dataset in _kinds(layout.paths)
+        ]
+    )
     return rows.unionByName(_blank_rows(spark, layout, wanted)) if keep_blank else rows
 
 
@@ -308,9 +361,14 @@ def _blank_rows(spark: SparkSession, layout: Layout, width: int) -> DataFrame:
 
     Without a header record the first blank line of a file stands for it.
     """
-    late = place() + F.lit(2**32).cast("decimal(11,0)")
-    lines = spark.read.text([literal(p) for p in layout.paths]).select(
-        F.col("_metadata.file_path").alias(FILE), late.cast("decimal(30,0)").alias(PLACE), "value"
+    late = F.lit(2**32).cast("decimal(11,0)")
+    lines = _all(
+        [
+            spark.read.text([literal(p) for p in some]).select(
+                _file_key(dataset), (place(dataset) + late).cast("decimal(30,0)").alias(PLACE), "value"
+            )
+            for some, dataset in _kinds(layout.paths)
+        ]
     )
     blank = lines.filter(is_blank_line(F.col("value")) & F.lit(not layout.multiline)).drop("value")
     if not layout.has_header:

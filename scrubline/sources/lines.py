@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 # Delimiters looked for, in order of preference on a tie.
 DELIMITERS = (",", ";", "\t", "|")
 FALLBACK = ","
-#: share of lines that must agree on a delimiter's count before it is believed
-MIN_SHARE = 0.5
 
 # Bytes without a meaning in code page 1252.
 _UNDEFINED_1252 = "^(?:..)*(?:81|8D|8F|90|9D)"
@@ -69,8 +67,8 @@ def vote_delimiter(
 ) -> DataFrame:
     """One delimiter per file: the one whose most common non-zero count the most lines share.
 
-    Works on ``line_shapes``; ties go to the earlier delimiter, and without a delimiter that half
-    of the lines agree on the fallback is taken.
+    Works on ``line_shapes``; ties go to the earlier delimiter. The fallback is taken only where none
+    of the delimiters occurs, so a ragged file keeps its columns.
     """
     each = F.array(
         *[
@@ -91,9 +89,9 @@ def vote_delimiter(
     share = F.coalesce(F.col("agree"), F.lit(0)) / F.col("lines")
     best = F.max(F.struct(share.alias("share"), (-F.col("rank")).alias("r"), "delimiter", "lines"))
     winner = scored.groupBy(*file).agg(best.alias("best")).select(*file, "best.*").drop("r")
-    believed = F.col("share") >= MIN_SHARE
+    occurs = F.col("share") > 0
     return winner.withColumn(
-        "delimiter", F.when(believed, F.col("delimiter")).otherwise(F.lit(FALLBACK))
+        "delimiter", F.when(occurs, F.col("delimiter")).otherwise(F.lit(FALLBACK))
     )
 
 

@@ -1,7 +1,9 @@
 """The cleaning plan on frames: golden fleet data, typed mode, skew paths and properties."""
 
+import math
 import random
 import statistics
+import struct
 from collections import Counter
 
 import pytest
@@ -145,9 +147,43 @@ def test_median_against_brute_force(spark):
     rows = [(k, v) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
     want = {k: statistics.median(vs) for k, vs in groups.items()}
-    for accuracy in (100_000, 2):  # the second one misses its bracket and has to widen it
-        out = profile.exact_medians(df, ["k"], "v", accuracy=accuracy, margin=None if accuracy > 2 else 1e-9)
-        assert {r["k"]: r["median"] for r in out.collect()} == want
+    out = profile.exact_medians(df, ["k"], "v")
+    assert {r["k"]: r["median"] for r in out.collect()} == want
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bits_have_the_order_of_the_numbers(spark):
+    from scrubline.operators.selection import ordered_bits
+
+    rng = random.Random(4)
+    tiny, huge = 5e-324, 1.7976931348623157e308
+    numbers = [0.0, -0.0, tiny, 2 * tiny, 2.2250738585072014e-308, 2.225073858507201e-308, huge, float("inf"), 1.0, 0.1, 3.0]
+    for _ in range(2000):
+        bits = rng.getrandbits(63)
+        number = struct.unpack("<d", struct.pack("<Q", bits))[0]
+        if number == number:
+            numbers.append(number)
+    for power in range(-1074, 1024):
+        numbers += [math.ldexp(1.0, power), math.nextafter(math.ldexp(1.0, power), 0.0)]
+    numbers += [-x for x in numbers]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    got = [r.b for r in df.select("x", ordered_bits(F.col("x")).alias("b")).collect()]
+    for number, bits in zip(numbers, got):
+        want = struct.unpack("<q", struct.pack("<d", abs(number)))[0]
+        assert bits == (-want if number < 0 else want)
+
+
+def test_values_of_any_rank(spark):
+    from scrubline.operators.selection import values_of_rank
+
+    rng = random.Random(9)
+    values = [rng.choice([0.0, -1.5, 1e300, 7.25, float("inf"), float("-inf"), rng.uniform(-1, 1)]) for _ in range(800)]
+    rows = [("a", x) for x in values] + [("a", None), ("a", float("nan")), ("b", 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    at = [1, 2, 399, 400, 799, 800]
+    out = values_of_rank(df, ["k"], "v", lambda n: F.when(n > 1, F.array(*map(F.lit, at))).otherwise(F.array(F.lit(1))))
+    got = {(r.k, r.which): r.value for r in out.collect()}
+    assert got == {("b", 0): 3.0} | {("a", i): sorted(values)[r - 1] for i, r in enumerate(at)}
 
 
 def test_mode_takes_the_first_seen_on_a_tie(spark):

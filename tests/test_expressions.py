@@ -1,5 +1,9 @@
 """Edge strings per expression."""
 
+import html
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +125,48 @@ def test_names_in_rows_follow_the_list_rule(spark):
         assert [got[f, p] for p in range(len(header))] == unique_names(header)
 
 
+def test_wide_headers_are_named_at_linear_cost(spark):
+    from scrubline.functions.names import name_rows
+
+    rng = random.Random(1)
+    some = ["a", "b", "a_2", "a_3", "a_5", "b_2", "a_2_2", "A ", "c", "a_2_3", "b_10", "c_01", "c_1"]
+    headers = [[rng.choice(some) for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    headers += [["x"] * 3000 + [f"x_{n}" for n in range(2, 9000, 2)], [f"n{i % 4000}" for i in range(20000)]]
+    rows = [(f, p, n) for f, header in enumerate(headers) for p, n in enumerate(header)]
+    named = name_rows(spark.createDataFrame(rows, "f int, p int, n string"), "f", "p", "n")
+    began = time.perf_counter()
+    got = {(r.f, r.p): r.name for r in named.collect()}
+    assert time.perf_counter() - began < 20
+    for f, header in enumerate(headers):
+        assert [got[f, p] for p in range(len(header))] == unique_names(header)
+
+
+def test_names_beside_columns_of_the_same_names(spark):
+    from scrubline.functions.names import name_rows
+
+    df = spark.createDataFrame([(1, 0, "a", 5, 6), (1, 1, "a", 7, 8)], "f int, p int, n string, `set` int, `x.y` int")
+    named = name_rows(df, "f", "p", "n")
+    assert named.columns == ["f", "p", "n", "set", "x.y", "base_name", "name"]
+    assert sorted((r["set"], r["x.y"], r["name"]) for r in named.collect()) == [(5, 6, "a"), (7, 8, "a_2")]
+
+
+def test_links_as_pages_write_them(spark):
+    from scrubline.operators.html import decode_references, extract_links
+
+    page = (
+        "<a href='/x?a=1&amp;b=2'>Caf&eacute; &#8212; &#x41;&nbsp;b</a> <A class=q HREF=/plain/y>&lt;b&gt; &amp;lt;</a>"
+        '<a name="here">no target</a><a href="">empty</a><a href = "it\'s">t&bogus; &amp</a>'
+    )
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")
+    rows = sorted((r.link_no, r.href, r.link_text) for r in extract_links(pages).collect())
+    assert rows == [
+        (0, "/x?a=1&b=2", "Café — A b"), (1, "/plain/y", "<b> &lt;"), (2, "", "empty"), (3, "it's", "t&bogus; &"),
+    ]
+    texts = ["&#128;&#150;&#0;&#xD800;&#1114112;", "&notit; &notin; &copy2 &AMP;&Eacute", "a & b &; &#; &#x;", "&amp;amp;", "&fjlig;&#128514;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.d for r in df.select(decode_references(F.col("t")).alias("d")).collect()] == [html.unescape(t) for t in texts]
+
+
 def test_lines_of_any_width_are_parsed_once(spark):
     from pyspark.sql import functions as F
 

@@ -3,12 +3,14 @@
 import csv
 import glob
 import os
+import shutil
 
 import pytest
 
 from scrubline import CleanOptions
 from scrubline.plans.files import clean_files
 from scrubline.sources.delimited import find_layouts, resolve_inputs
+from scrubline.sources.sinks import manifest_of, store_of, target_of
 
 NBSP = " "
 FILES = {
@@ -249,6 +251,90 @@ def test_in_place(spark, folder):
     assert [tuple(r) for r in back] == [("1", "Ali", "same"), ("2", "Sara", "diff")]
 
 
+def test_ragged_files_keep_their_delimiter(spark, folder):
+    path = os.path.join(folder, "ragged.tsv")
+    with open(path, "w") as f:
+        f.write("a\tb\n1\n2\n3\n4\tx\n5\n")
+    audit = clean_files(spark, [path], CleanOptions()).first()
+    assert audit["delimiter"] == "\t" and audit["header_out"] == ["a", "b"]
+
+
+@pytest.mark.parametrize("by_folder", [False, True])
+def test_in_place_again_and_again(spark, folder, by_folder):
+    """An output is an input like a file: three runs leave one dataset, in order, and one audit."""
+    here = os.path.join(folder, "again")
+    os.makedirs(here)
+    path = os.path.join(here, "a.csv")
+    lines = [f"{i},{'x' * (i % 7)},\"q{i}, z\"" for i in range(300)]
+    with open(path, "w") as f:
+        f.write("id,b,c\n" + "\n".join(lines) + "\n")
+    options = CleanOptions(infer_types=True)
+    audits, parts = [], []
+    for _ in range(3):
+        audit = clean_files(spark, [here if by_folder else path], options, inplace=True).collect()
+        audits.append([tuple(r) for r in audit])
+        parts.append(sorted(os.listdir(path)))
+    assert audits[0] == audits[1] == audits[2] and len(audits[0]) == 1
+    assert os.listdir(here) == ["a.csv"] and parts[0] != parts[1]
+    manifest = manifest_of(spark, path)
+    assert manifest["generation"] == 3 and manifest["parts"] == [p for p in parts[2] if p.startswith("part-")]
+    back = spark.read.option("header", True).csv(path)
+    assert sorted(int(r.id) for r in back.collect()) == list(range(300))
+    assert [p for p in resolve_inputs(spark, [here])] == [p for p in resolve_inputs(spark, [path])]
+
+
+def test_a_swap_that_breaks_off_leaves_the_old_output(spark, folder, monkeypatch):
+    here = os.path.join(folder, "broken")
+    os.makedirs(here)
+    path = os.path.join(here, "a.csv")
+    with open(path, "w") as f:
+        f.write("id\n1\n2\n")
+    clean_files(spark, [path], inplace=True)
+    # as after the first of the two renames
+    os.rename(path, os.path.join(here, "_previous-a.csv"))
+    found = resolve_inputs(spark, [path])
+    assert [p.rstrip("/").rsplit("/", 1)[-1] for p in found] == ["a.csv"]
+    assert spark.read.option("header", True).csv(path).count() == 2
+    os.rename(path, os.path.join(here, "_previous-a.csv"))
+    assert resolve_inputs(spark, [here]) == found
+    # as before the last step: the old one lies beside the new one
+    shutil.copytree(path, os.path.join(here, "_previous-a.csv"))
+    assert resolve_inputs(spark, [here]) == found
+    clean_files(spark, [path], inplace=True)
+    assert os.listdir(here) == ["a.csv"] and manifest_of(spark, path)["generation"] == 2
+
+
+def test_parts_of_a_dataset_keep_their_order(spark, folder):
+    """Keep-first follows the parts, whichever task reads them."""
+    path = os.path.join(folder, "parts.csv")
+    os.makedirs(path)
+    for k in range(12):
+        with open(os.path.join(path, f"part-{k:05d}-x.csv"), "w") as f:
+            f.write("id,v\n" + "".join(f"{i},{k}\n" for i in range(5)))
+    with open(os.path.join(path, "_manifest.json"), "w") as f:
+        f.write('{"generation": 4}')
+    out = os.path.join(folder, "kept")
+    audit = clean_files(spark, [path], CleanOptions(drop_duplicates=True, dedup_keys=("id",)), out).first()
+    assert (audit["rows_in"], audit["rows_out"]) == (61, 5)
+    back = spark.read.option("header", True).csv(os.path.join(out, "parts_cleaned.csv"))
+    assert {r.v for r in back.collect()} == {"0"}
+
+
+@pytest.mark.parametrize(
+    "source, folder, expected",
+    [
+        ("file:/d/a.csv", None, "file:/d/a_c.csv"), ("hdfs://h:1/d/a.b.tsv", "s3://o/p/", "s3://o/p/a.b_c.tsv"),
+        ("/d/noext", None, "/d/noext_c.csv"), ("/d/.hidden", "/o", "/o/.hidden_c.csv"),
+    ],
+)
+def test_target_names(source, folder, expected):
+    assert target_of(source, folder, "_c", False) == expected and target_of(source, folder, "_c", True) == source
+
+
+def test_stores():
+    assert store_of("hdfs://h:1/d") == "hdfs://h:1" and store_of("file:/d") == "file:" and store_of("/d/e") == ""
+
+
 def test_input_resolution(spark, folder):
     os.makedirs(os.path.join(folder, "sub.csv"))
     for name in ("b.csv", "a.csv", "c.tsv"):
