@@ -39,31 +39,20 @@ def _named(name: Column) -> Column:
     return F.when(table.contains(key), F.substring_index(rest, _START, 1))
 
 
-def _of_code_page() -> Column:
-    """Numbers 128 to 159, which pages use for characters of code page 1252."""
-    letters = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
-    return F.create_map(*[F.lit(x) for n, letter in letters.items() for x in (n, letter)])
+# Numbers 128 to 159, which pages use for characters of code page 1252.
+_CODE_PAGE = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 
 
 def _decoded(reference: Column) -> Column:
-    """What one reference stands for; itself if nothing."""
+    """What one reference stands for; itself if nothing. A name counts as a whole."""
     body = F.regexp_replace(reference, "^&#[xX]?|;$", "")
     number = F.when(reference.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body).cast("int")
     valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    numeric = F.when(number.between(0x80, 0x9F), F.element_at(_of_code_page(), number)).when(valid, wide)
-    # a name may have run on: without a semicolon only the old names count, the longest first
-    name = F.substring(reference, 2, 40)
-    named = _named(name)
-    starts = F.transform(F.sequence(F.length(name), F.lit(1), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n))
-    known = F.filter(starts, lambda x: _named(x).isNotNull())
-    partly = F.get(
-        F.transform(known, lambda x: F.concat(_named(x), F.substring(name, F.length(x) + 1, F.lit(40)))), 0
+    numeric = F.when(number.between(0x80, 0x9F), F.substring(F.lit(_CODE_PAGE), number - 0x7F, F.lit(1))).when(valid, wide)
+    return F.when(reference.startswith("&#"), F.coalesce(numeric, F.lit("\ufffd"))).otherwise(
+        F.coalesce(_named(F.substring(reference, 2, 40)), reference)
     )
-    return (
-        F.when(reference.startswith("&#"), F.coalesce(numeric, F.lit("\ufffd")))
-        .otherwise(F.coalesce(named, partly, reference))
-    )
 
 
 def decode_references(text: Column) -> Column:
