@@ -29,7 +29,7 @@ CHUNK = 64 << 10
 FAN = 8
 PAIRS_MOST = 2_000_000
 PORTION = 2 << 20
-CACHE_BYTES = 96 << 20  # of remembered pieces in a worker
+CACHE_BYTES = 128 << 20  # of remembered pieces in a worker
 CACHE_ENTRY = 300  # beside a piece's own bytes
 PARTIAL = 1 << 20  # pairs that a task sums before it sends them on
 
@@ -152,19 +152,19 @@ def _figures(a, b, n_a, n_b, stops, counts: _Counts):
 
 def _measure_short(docs, path_a, path_b, counts, schema: str, with_groups: bool) -> DataFrame:
     def measure(batches):
-        pair, numbers, lists, rare = token_pair(path_a, path_b), [], [], []
+        pair, numbers, lists, rare = token_pair(path_a, path_b), [], [], {}
 
         def fill(encoded):
             figures, run, packed, times = _figures(
                 encoded.a, encoded.b, encoded.n_a, encoded.n_b, encoded.stops, counts.value
             )
-            listed = pair.listed(encoded.a, encoded.b, encoded.n_a, encoded.n_b)
-            begin, first = 0, len(lists)
-            cold = np.searchsorted(run, np.arange(len(encoded.stops) + 1))
-            for k, stop in enumerate(encoded.stops.tolist()):
-                lists.append(b";".join(listed[begin:stop]))
-                rare.append((packed[cold[k] : cold[k + 1]], times[cold[k] : cold[k + 1]]) if len(run) else None)
-                begin = stop
+            first = len(lists)
+            lists.extend(pair.listed(encoded.a, encoded.b, encoded.n_a, encoded.n_b, encoded.stops))
+            if len(run):
+                cold = np.searchsorted(run, np.arange(len(encoded.stops) + 1))
+                for k in range(len(encoded.stops)):
+                    some = slice(cold[k], cold[k + 1])
+                    rare[first + k] = packed[some], times[some]
             numbers.append(figures)
             return range(first, len(lists))
 
@@ -183,7 +183,7 @@ def _measure_short(docs, path_a, path_b, counts, schema: str, with_groups: bool)
                 if not at or not figures[:, 0].all():
                     rows.append((np.zeros(len(FIGURES), np.int64), None, []))
                     continue
-                parts = [rare[k] for k in at if rare[k] is not None and len(rare[k][0])]
+                parts = [rare[k] for k in at if k in rare] if rare else []
                 rows.append((figures.sum(0), b";".join([lists[k] for k in at]), parts))
             yield _result(batch, rows, with_groups, schema)
 
@@ -381,7 +381,7 @@ def _measure_long(whole, path_a, path_b, counts, schema: str, with_groups: bool)
                 n_a, n_b = found.groups()
                 stops = np.array([len(n_a)])
                 figures, _, packed, times = _figures(found.a, found.b, n_a, n_b, stops, counts.value)
-                listed = b";".join(pair.listed(found.a, found.b, n_a, n_b))
+                listed = pair.listed(found.a, found.b, n_a, n_b, stops)[0]
                 rows.append((figures[0], listed, [(packed, times)]))
             yield _result(batch, rows, with_groups, schema)
 

@@ -14,6 +14,7 @@ not depend on its neighbours.
 
 from __future__ import annotations
 
+import json
 import re
 from typing import NamedTuple
 
@@ -25,7 +26,6 @@ from scrubline.llm.word_tokens import byte_letters
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 BLOCK = 32 << 10  # characters of pieces encoded in one call
 WIDE = 1 << 16  # a group with more links is listed by distinct ids
-LOW_HALF = np.int64(0xFFFFFFFF)
 
 
 class Fragment(NamedTuple):
@@ -117,16 +117,11 @@ class TokenPair:
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.tok_a = Tokenizer.from_file(path_a)
-        self.tok_a.encode_special_tokens = True
+        self.ids_a, names = read_byte_level(path_a)
         self.tok_b = SentencePieceProcessor(model_file=path_b)
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.bytes_a = [
-            bytes(byte_of.get(c, 63) for c in self.tok_a.id_to_token(i) or "")
-            for i in range(self.tok_a.get_vocab_size())
-        ]
+        self.bytes_a = [bytes(byte_of.get(c, 63) for c in name) for name in names]
         pieces = [self.tok_b.id_to_piece(i) for i in range(self.tok_b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.tok_b.is_byte(i) else p.replace("▁", " ").encode()
@@ -136,7 +131,9 @@ class TokenPair:
         self.lengths_b = np.array([len(x) for x in self.bytes_b])
         # a piece with a space after something else would reach over a cut
         self.splits = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
-        self.names = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        # an id with what may follow it: more of its side, the other side, the next group
+        self.names = [str(i).encode() + mark for i in range(most) for mark in (b",", b"|", b";")]
 
     def pieces(self, text: str) -> list[str]:
         """The text cut at lone spaces, which go; each piece is read with one space before it."""
@@ -147,14 +144,14 @@ class TokenPair:
     def tokens(self, text: str) -> tuple[np.ndarray, ...] | None:
         """Ids and ends of both for a space and the text; None if either does not give its bytes back."""
         spaced = " " + text
-        a = self.tok_a.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
+        a = self.ids_a(spaced)
         b = self.tok_b.encode(text)
         raw = spaced.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw:
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
             return None
         if b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        b = np.array(b, np.int64)
         return a, np.cumsum(self.lengths_a[a]), b, np.cumsum(self.lengths_b[b])
 
     def encode(self, pieces: list[str]):
@@ -194,20 +191,53 @@ class TokenPair:
         ends = np.cumsum([len(p.encode()) + 1 for p in run])
         yield Encoded(run, a, b, n_a, n_b, np.searchsorted(cuts, ends) + 1)
 
-    def listed(self, a, b, n_a, n_b) -> list[bytes]:
-        """Each group as decimal ids: those of A, a bar, those of B."""
+    def listed(self, a, b, n_a, n_b, stops) -> list[bytes]:
+        """The groups up to each stop: decimal ids of A, a bar, those of B; semicolons between groups."""
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        codes = np.empty(len(a) + len(b), np.int64)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a - 1], mark_b[last_b - 1] = 1, 2
+        # within a group the ids of A come first
+        codes[np.arange(len(a)) + np.repeat(last_b - n_b, n_a)] = a * 3 + mark_a
+        codes[np.arange(len(b)) + np.repeat(last_a, n_b)] = b * 3 + mark_b
         names = self.names
-        left, right = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
-        out, i, j = [], 0, 0
-        for m, n in zip(n_a.tolist(), n_b.tolist()):
-            if m == 1 and n == 1:
-                out.append(left[i] + b"|" + right[j])
-            else:
-                out.append(b",".join(left[i : i + m]) + b"|" + b",".join(right[j : j + n]))
-            i, j = i + m, j + n
+        flat = [names[c] for c in codes.tolist()]
+        ends = np.concatenate([[0], last_a + last_b])[stops].tolist()
+        out, begin = [], 0
+        for end in ends:
+            out.append(b"".join(flat[begin:end])[:-1])
+            begin = end
         return out
 
 
+def read_byte_level(path: str):
+    """A function from text to ids, and the vocabulary, of a byte-level BPE file.
+
+    Where ids follow the order of the merges, the merges are ranks, and a coder that works on ranks
+    gives the same ids several times as fast. Other files are read by their own library. Strings of
+    special tokens are ordinary text in both.
+    """
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    names = [own.id_to_token(i) or "" for i in range(own.get_vocab_size())]
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    model, before = described["model"], described["pre_tokenizer"] or {}
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", ())]
+    plain = described["normalizer"] is None and before.get("type") == "ByteLevel"
+    plain = plain and before.get("use_regex") and not before.get("add_prefix_space")
+    if not plain or names[256 : 256 + len(merges)] != merges:
+        return lambda text: np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), names
+    byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
+    ranks = {bytes(byte_of[c] for c in name): i for i, name in enumerate(names[: 256 + len(merges)])}
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: coder.encode_to_numpy(text).astype(np.int64), names
+
+
 _pairs: dict[tuple[str, str], TokenPair] = {}
 
 
