@@ -3,7 +3,8 @@
 Documents are split by successive bytes: in each round the next bytes of a text are its digit, and
 the group it belongs to is split by that digit. A group of one is done, and so is a group whose
 texts end in the digit. Only groups of two or more that go on reach the next round, and only with
-the bytes they have left. Digits widen eightfold from round to round, so a text of n bytes takes
+the bytes they have left. The first round moves one digit of each text, and texts move only if they
+go on. Digits widen eightfold from round to round, so a text of n bytes takes
 about log8(n) rounds. Texts are compared byte by byte; no digest decides equality.
 
 A digit's group is one counted row before it meets the documents, so a group that holds a third of
@@ -13,14 +14,15 @@ skewed join, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.shared import held, texts_of
+from scrubline.llm.shared import held
 
 FIRST_DIGIT = 24
 WIDENING = 8
 MAX_DIGIT = 1 << 26
+BROADCAST_ROWS = 1_000_000  # row numbers sent to the tasks; with more the texts are moved to them
 
 
 def normalized(text: Column) -> Column:
@@ -36,28 +38,11 @@ def exact_groups(
     Null texts equal empty ones. Of equal texts the smallest doc_id stays; a null doc_id stays only
     where its whole group has null ids (``keep_id`` is then null). Rows that repeat a doc_id with
     the same text all count in ``group_size`` and all are marked kept if that id stays. An empty
-    table gives an empty result. ``text_sha256`` describes the text and takes no part in grouping.
+    table gives an empty result, and columns other than the two are not read. ``text_sha256``
+    describes the text and takes no part in grouping.
     """
-    body = texts_of(docs, key, text).select("doc_id", normalized(F.col("text")).alias("body"))
-    state = body.select(
-        "doc_id",
-        F.sha2("body", 256).alias("text_sha256"),
-        F.lit(0).cast("bigint").alias("gid"),
-        F.lit(0).alias("gord"),
-        F.col("body").cast("binary").alias("rest"),
-    )
-    width, finished = first_digit, None
-    while True:
-        table = held(_split(state, width), "radix")
-        done = table.where("done").select("doc_id", "text_sha256", "keep_id", "group_size")
-        finished = done if finished is None else finished.unionByName(done)
-        state = table.where(~F.col("done")).select(
-            "doc_id", "text_sha256", F.col("keep_id").alias("gid"), "gord", "rest"
-        )
-        if state.isEmpty():
-            break
-        width = min(width * WIDENING, MAX_DIGIT)
-    return finished.select(
+    rows = _numbered(docs.select(F.col(key), F.col(text)), key)
+    return _groups(rows, text, first_digit).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -66,64 +51,84 @@ def exact_groups(
     )
 
 
-def _split(state: DataFrame, width: int) -> DataFrame:
-    """One round: every row with its group's size and smallest id, and what is left of its text.
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """``row``, ``doc_id`` and the row as it came, held once so that the numbers stay."""
+    number = F.monotonically_increasing_id().alias("row")
+    return held(docs.select(number, F.col(key).alias("doc_id"), F.struct("*").alias("whole")), "rows")
+
+
+def _groups(rows: DataFrame, text: str, first_digit: int) -> DataFrame:
+    """``row``, ``doc_id``, ``keep_id``, ``keep_row``, ``group_size``, ``text_sha256`` of every row."""
+    body = normalized(F.col("whole").getField(text).cast("string"))
+    texts = rows.select(
+        "row", "doc_id", F.sha2(body, 256).alias("text_sha256"), body.cast("binary").alias("rest")
+    )
+    named = ["row", "doc_id", "text_sha256"]
+    result = [*named[:2], "keep_id", "keep_row", "group_size", named[2]]
+    # the first round moves a digit of each text; most are alone after it
+    state = texts.withColumn("gid", F.lit(0).cast("bigint"))
+    table = held(_split(state, first_digit, [*named]), "radix")
+    finished = table.where("done").select(*result)
+    going = table.where("not done").select("row", F.col("next_gid").alias("gid"))
+    count = going.count()
+    if not count:
+        return finished
+    going = F.broadcast(going) if count <= BROADCAST_ROWS else going
+    rest = F.expr(f"substring(rest, {first_digit + 1})").alias("rest")
+    state, width = texts.join(going, "row").select(*named, "gid", rest), first_digit
+    while True:
+        width = min(width * WIDENING, MAX_DIGIT)
+        left = F.when(~F.col("done"), F.expr(f"substring(rest, {width + 1})")).alias("rest")
+        table = held(_split(state, width, [*named, "rest"]).withColumn("rest", left), "radix")
+        finished = finished.unionByName(table.where("done").select(*result))
+        state = table.where("not done").select(*named, F.col("next_gid").alias("gid"), "rest")
+        if state.isEmpty():
+            return finished
 
-    A group that goes on is named by its smallest id. Should one id stand for two groups (a doc_id
-    repeated with different texts), their order among each other tells them apart.
+
+def _split(state: DataFrame, width: int, kept: list[str]) -> DataFrame:
+    """One round: the columns kept, and each row's group in it.
+
+    A group is named by its least row number, which no other group can have. ``keep_row`` is the
+    row of the smallest id, of several the least; nulls come last.
     """
     digits = state.select(
-        "*",
+        *kept,
+        *[c for c in ("row", "doc_id") if c not in kept],
+        "gid",
         F.expr(f"substring(rest, 1, {width})").alias("digit"),
         (F.length("rest") <= width).alias("ends"),
     )
-    by = ["gid", "gord", "digit", "ends"]
+    by = ["gid", "digit", "ends"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")
     counted = (
         digits.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("keep_id"))
+        .agg(F.count(F.lit(1)).alias("group_size"), F.min("row").alias("next_gid"), first)
         .where("group_size > 1")
-    )
-    same_name = Window.partitionBy("gid", "gord", "keep_id").orderBy("digit", "ends")
-    groups = counted.select(
-        F.col("gid").alias("g_gid"),
-        F.col("gord").alias("g_gord"),
-        F.col("digit").alias("g_digit"),
-        F.col("ends").alias("g_ends"),
-        "group_size",
-        "keep_id",
-        F.row_number().over(same_name).alias("next_ord"),
-    )
-    same = (
-        F.col("gid").eqNullSafe(F.col("g_gid"))
-        & (F.col("gord") == F.col("g_gord"))
-        & (F.col("digit") == F.col("g_digit"))
-        & (F.col("ends") == F.col("g_ends"))
-    )
-    joined = digits.join(groups, same, "left")
+        .select(
+            *by, "group_size", "next_gid",
+            F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"),
+        )
+    )
+    joined = digits.join(counted, by, "left")
     alone = F.col("group_size").isNull()
-    done = alone | F.col("ends")
     return joined.select(
-        "doc_id",
-        "text_sha256",
+        *kept,
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("next_ord", F.lit(0)).alias("gord"),
+        F.when(alone, F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        done.alias("done"),
-        F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
+        "next_gid",
+        (alone | F.col("ends")).alias("done"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
+    """``docs`` with one row of each group of equal texts, all columns kept, whatever their names.
 
-    The row with the smallest id stays; rows that repeat it with the same text are one row too.
+    The row with the smallest id stays, one of those that repeat it; a null id stays where the
+    whole group has none. Null texts equal empty ones; an empty table stays empty.
     """
-    groups = exact_groups(docs, key, text).where("kept")
-    stay = groups.select(
-        F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")
-    ).distinct()
-    tagged = docs.withColumn("__sha", F.sha2(normalized(F.col(text).cast("string")), 256))
-    match = tagged[key].eqNullSafe(stay["__stay_id"]) & (tagged["__sha"] == stay["__stay_sha"])
-    return (
-        tagged.join(stay, match, "left_semi").dropDuplicates([key, "__sha"]).select(*docs.columns)
-    )
+    rows = _numbered(docs, key)
+    groups = _groups(rows, text, FIRST_DIGIT)
+    stay = groups.where("row = keep_row").select("row")
+    return rows.join(stay, "row", "left_semi").select("whole.*")

@@ -38,6 +38,31 @@ def test_one_id_for_different_texts(spark):
     assert sorted(got.values()) == [(1, 2), (1, 2), (1, 3), (1, 3), (1, 3)]
 
 
+@pytest.mark.parametrize("same", [None, 5])
+def test_groups_of_different_parents_do_not_meet(spark, same):
+    """Null or repeated ids: texts that differ first and then go on alike stay apart."""
+    ending = "s" * 900
+    rows = [(same, "a" * 100 + ending)] * 2 + [(same, "b" * 100 + ending)] * 2 + [(same, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.group_size, r.keep_id, r.kept) for r in exact_groups(docs).collect())
+    assert got == {(2, same, True): 4, (1, same, True): 1}
+    assert Counter(r.text[0] for r in drop_exact_copies(docs).collect()) == {"a": 1, "b": 1, "c": 1}
+
+
+def test_only_texts_that_go_on_move(spark, tmp_path, monkeypatch):
+    from scrubline.llm import exact_dedup
+
+    moved = []
+    held = exact_dedup.held
+    monkeypatch.setattr(exact_dedup, "held", lambda df, name: moved.append((name, df.columns)) or held(df, name))
+    rows = [(i, f"{i:030d}" + "x" * 500) for i in range(50)] + [(60, "y" * 400)] * 2
+    exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [c for n, c in moved if n == "radix"][0].count("rest") == 0
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    got = Counter(r.group_size for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {1: 50, 2: 2}
+
+
 def test_exact_groups_empty(no_docs):
     assert exact_groups(no_docs).count() == 0 and drop_exact_copies(no_docs).count() == 0
 
