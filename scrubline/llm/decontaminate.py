@@ -12,14 +12,17 @@ of bounded size; with several blocks the documents pass them one after another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.shared import held, map_batches, text_bytes, texts_of
+from scrubline.llm.shared import held, map_batches, portions, text_bytes, texts_of
+from scrubline.session import ship_package
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -143,37 +146,29 @@ def longest_matches(ids: np.ndarray, test: TestItems) -> list[tuple[int, int, in
     return list(zip(train.tolist(), length.tolist(), item.tolist(), place.tolist()))
 
 
+def _matches_of(texts: list[bytes], test: TestItems) -> tuple[list[list[dict]], list[int]]:
+    """Longest matches and number of words of each text of a shard."""
+    ids, starts, counts = [0], [], []
+    for text in texts:
+        words = words_of(text)
+        starts.append(len(ids))
+        counts.append(len(words))
+        ids.extend(map(test.vocab.get, words, repeat(0)))
+        ids.append(0)
+    found: list[list] = [[] for _ in texts]
+    places = np.array(starts)
+    for p, n, i, q in longest_matches(np.array(ids, dtype=np.int64), test):
+        doc = int(np.searchsorted(places, p, side="right")) - 1
+        match = {"start": p - starts[doc], "length": n, "item_id": test.items[i][0], "item_start": q}
+        found[doc].append(match)
+    return found, counts
+
+
 def _search(batches, items: list[tuple[str, bytes]], window: int):
     test = TestItems(items, window)
-    lookup = test.vocab.get
-    for batch in batches:
-        texts = batch.column("body").to_pylist()
-        earlier = batch.column("matches").to_pylist()
-        counts, found, at = [], [], 0
-        while at < len(texts):
-            ids, starts, size, begin = [0], [], 0, at
-            while at < len(texts) and (size < SHARD_BYTES or at == begin):
-                words = words_of(texts[at])
-                starts.append(len(ids))
-                counts.append(len(words))
-                ids.extend(map(lookup, words, repeat(0)))
-                ids.append(0)
-                size += len(texts[at])
-                at += 1
-            shard: list[list] = [[] for _ in starts]
-            places = np.array(starts)
-            for p, n, i, q in longest_matches(np.array(ids, dtype=np.int64), test):
-                doc = int(np.searchsorted(places, p, side="right")) - 1
-                shard[doc].append(
-                    {
-                        "start": p - starts[doc],
-                        "length": n,
-                        "item_id": test.items[i][0],
-                        "item_start": q,
-                    }
-                )
-            found.extend(shard)
-        found = [old + new for old, new in zip(earlier, found)]
+    for batch in portions(batches, "body", SHARD_BYTES):
+        found, counts = _matches_of(batch.column("body").to_pylist(), test)
+        found = [old + new for old, new in zip(batch.column("matches").to_pylist(), found)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -248,15 +243,35 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int, item: str, item_text: s
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold any benchmark window; all columns kept.
+    """``docs`` without the rows that hold any benchmark window; all columns kept, nothing shuffled.
 
-    A row is judged by its own text, so ids may be null or stand for several texts.
+    A row is judged by its own text inside the task that reads it, so ids may be null or stand for
+    several texts, and other columns may have any names. A null or empty text holds no window.
     """
-    tagged = docs.withColumn("__sha", F.sha2(F.col("text").cast("string"), 256))
-    leaked = find_leaks(tagged, benchmark, window, key="__sha").where("n_hit > 0")
-    named = leaked.select(F.col("doc_id").alias("__leaked")).distinct()
-    kept = tagged.join(named, tagged["__sha"] == named["__leaked"], "left_anti")
-    return kept.select(*docs.columns)
+    spark = docs.sparkSession
+    ship_package(spark)
+    for items in _item_blocks(benchmark, BLOCK_BYTES, "item_id", "text"):
+        docs = docs.where(~_holds_window(spark.sparkContext.broadcast(items), window)(F.col("text").cast("string")))
+    return docs
+
+
+def _holds_window(shipped, window: int):
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        test = TestItems(shipped.value, window)
+        for texts in batches:
+            bodies = ["" if t is None else t for t in texts]
+            hit, at = np.zeros(len(bodies), bool), 0
+            while at < len(bodies):
+                part, size = [], 0
+                while at + len(part) < len(bodies) and (size < SHARD_BYTES or not part):
+                    part.append(bodies[at + len(part)].encode())
+                    size += len(part[-1])
+                found, _ = _matches_of(part, test)
+                hit[at : at + len(part)] = [bool(m) for m in found]
+                at += len(part)
+            yield pd.Series(hit)
+
+    return F.pandas_udf(judge, "boolean")
 
 
 def leak_digest(items: Column) -> Column:
