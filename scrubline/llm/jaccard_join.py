@@ -55,15 +55,20 @@ def linked_components(
     Texts of fewer words have one shingle. Repeated rows are one class; an empty table gives an
     empty result. Sets are told apart by 64-bit fingerprints.
     """
-    narrow = texts_of(docs, key, text).select("doc_id", text_bytes(F.col("text")).alias("body"))
+    body = text_bytes(F.col("text"))
+    narrow = texts_of(docs, key, text).select(
+        "doc_id", F.xxhash64(body).alias("hash"), body.alias("body")
+    )
     scanned = held(_scan(narrow, width), "shingled")
     sized = scanned.where("counters is null").select("doc_id", "n_shingles", "class")
+    # the text that a class is read from: null ids and repeated ids are told apart by its hash
+    reader = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "hash"))
     classes = held(
-        sized.where("n_shingles > 0").groupBy("class").agg(
-            F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles")
-        ),
+        scanned.where("n_shingles > 0").groupBy("class").agg(
+            reader.alias("reader"), F.max("n_shingles").alias("n_shingles")
+        ).select("class", "n_shingles", F.col("reader.doc_id").alias("first_id"), F.col("reader.hash").alias("first_hash")),
         "classes",
-    )
+    )
     members = _members(_short_lists(narrow, _counters(scanned), width, percent))
     links = _links(members.join(classes, "class"), narrow, width, percent, block_shingles)
     roots = connected(links)
@@ -82,13 +87,13 @@ def linked_components(
 def _scan(narrow: DataFrame, width: int) -> DataFrame:
     """Set size and class of each document; each task adds its counters, in slices."""
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles bigint, class bigint, slice int, counters binary"
+    schema = f"doc_id {kind}, hash bigint, n_shingles bigint, class bigint, slice int, counters binary"
     id_type = None
 
     def scan(batches):
         nonlocal id_type
         table = np.zeros(COUNTERS, dtype=np.uint32)
-        names = ["doc_id", "n_shingles", "class", "slice", "counters"]
+        names = ["doc_id", "hash", "n_shingles", "class", "slice", "counters"]
         for batch in portions(batches, "body"):
             id_type = batch.column("doc_id").type
             sets = shingle_sets(batch.column("body").to_pylist(), width)
@@ -101,6 +106,7 @@ def _scan(narrow: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.int64()),
                     *nulls,
@@ -114,6 +120,7 @@ def _scan(narrow: DataFrame, width: int) -> DataFrame:
                     pa.nulls(SLICES, id_type),
                     pa.nulls(SLICES, pa.int64()),
                     pa.nulls(SLICES, pa.int64()),
+                    pa.nulls(SLICES, pa.int64()),
                     pa.array(range(SLICES), pa.int32()),
                     pa.array(parts, pa.binary()),
                 ],
@@ -271,11 +278,11 @@ def _links(
     blocks = F.ceil(F.col("n") / block_shingles).cast("int")
     # dealt by the leader too: groups that share members divide them differently
     dealt = members.join(sizes.select("leader", blocks.alias("blocks")), "leader").select(
-        "class", "leader", "blocks", "first_id", "n_shingles",
+        "class", "leader", "blocks", "first_id", "first_hash", "n_shingles",
         F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int").alias("block"),
     )
     dealt = held(dealt, "dealt")
-    alone = dealt.select("class", "leader", "first_id", *_jobs(F.array("block")), F.lit(False).alias("asks"))
+    alone = dealt.select("class", "leader", "first_id", "first_hash", *_jobs(F.array("block")), F.lit(False).alias("asks"))
     found = held(_search(_with_sets(alone, narrow, width), percent, False), "links")
     divided = dealt.where("blocks > 1")
     if divided.isEmpty():
@@ -309,11 +316,11 @@ def _heads(divided: DataFrame, found: DataFrame) -> DataFrame:
     ends = found.select(F.explode(F.array("a", "b")).alias("end"))
     degrees = ends.groupBy("end").agg(F.count(F.lit(1)).alias("degree"))
     linked = divided.join(degrees, divided["class"] == degrees["end"])
-    first = F.max(F.struct("degree", "class", "first_id", "n_shingles", "blocks")).alias("head")
+    first = F.max(F.struct("degree", "class", "first_id", "first_hash", "n_shingles", "blocks")).alias("head")
     spread = linked.where(F.col("block") < HEADS).groupBy("leader", "block").agg(first)
     return held(
         spread.select(
-            "head.class", "leader", "head.blocks", "head.first_id", "head.n_shingles", "block"
+            "head.class", "leader", "head.blocks", "head.first_id", "head.first_hash", "head.n_shingles", "block"
         ),
         "heads",
     )
@@ -339,11 +346,11 @@ def _visits(asking: DataFrame, divided: DataFrame, part_shingles: int) -> DataFr
     part = F.pmod(F.xxhash64("leader", "class"), F.col("parts"))
     every = F.expr("sequence(0, blocks - 1)")
     going = asking.join(counted, "leader").select(
-        "class", "leader", "first_id", *_jobs(F.array_remove(every, F.col("block")), F.array(part)),
+        "class", "leader", "first_id", "first_hash", *_jobs(F.array_remove(every, F.col("block")), F.array(part)),
         F.lit(True).alias("asks"),
     )
     at_home = divided.join(counted, "leader").select(
-        "class", "leader", "first_id",
+        "class", "leader", "first_id", "first_hash",
         *_jobs(F.array("block"), F.expr("sequence(0, parts - 1)")), F.lit(False).alias("asks"),
     )
     return held(going.unionByName(at_home), "visits")
@@ -352,18 +359,28 @@ def _visits(asking: DataFrame, divided: DataFrame, part_shingles: int) -> DataFr
 def _with_sets(dealt: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
     """The dealt classes with their shingles, read from the text of each class's first document."""
     rows = dealt.select(
-        "class", "leader", "to_blocks", "to_parts", "asks", F.col("first_id").alias("reader")
-    )
+        "class", "leader", "to_blocks", "to_parts", "asks",
+        F.col("first_id").alias("reader"), F.col("first_hash").alias("reader_hash"),
+    )
     jobs = rows.agg(F.sum(F.size("to_blocks") + F.size("to_parts") - 1)).first()[0] or 0
     if jobs <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
-    texts = narrow.join(rows, narrow["doc_id"].eqNullSafe(rows["reader"]))
+    own = narrow["doc_id"].eqNullSafe(rows["reader"]) & (narrow["hash"] == rows["reader_hash"])
+    texts = narrow.join(rows, own)
     carried = ["leader", "to_blocks", "to_parts", "class", "asks"]
 
     def read(batches):
+        done = set()  # rows that repeat an id and its text go on once from each task
         for batch in portions(batches, "body"):
+            jobs = zip(*(batch.column(c).to_pylist() for c in ("class", "leader", "to_blocks", "to_parts")))
+            fresh = []
+            for name, leader, *at in jobs:
+                job = hash((name, leader, *map(tuple, at)))
+                fresh.append(job not in done)
+                done.add(job)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             sets = shingle_sets(batch.column("body").to_pylist(), width)
-            # an id that stands for several texts is read once for each
+            # texts whose hashes collide are told apart by the class
             right = pa.array(
                 [fingerprint(s) == c for s, c in zip(sets, batch.column("class").to_pylist())],
                 pa.bool_(),
@@ -389,16 +406,13 @@ def _search(filled: DataFrame, percent: int, asked: bool) -> DataFrame:
     """
 
     def links(batches):
-        pending: list[tuple] = []
+        pending: dict[int, tuple] = {}  # a class that comes again takes no more room
         current = None
 
         def solve():
-            by_class = {}
-            for name, asks, blob in pending:
-                by_class[name] = (by_class.get(name, (False,))[0] or asks, blob)
-            names = sorted(by_class)
-            sets = [np.frombuffer(by_class[c][1], dtype=np.uint64) for c in names]
-            queries = np.array([i for i, c in enumerate(names) if by_class[c][0]]) if asked else None
+            names = sorted(pending)
+            sets = [np.frombuffer(pending[c][1], dtype=np.uint64) for c in names]
+            queries = np.array([i for i, c in enumerate(names) if pending[c][0]]) if asked else None
             return [(names[a], names[b]) for a, b in group_links(sets, percent, queries)]
 
         for batch in portions(batches, "shingles"):
@@ -408,8 +422,8 @@ def _search(filled: DataFrame, percent: int, asked: bool) -> DataFrame:
                 if job != current:
                     if len(pending) > 1:
                         out += solve()
-                    pending, current = [], job
-                pending.append((name, asks, blob))
+                    pending, current = {}, job
+                pending[name] = (asks or pending.get(name, (False,))[0], blob)
             yield _pairs(out)
         if len(pending) > 1:
             yield _pairs(solve())
@@ -434,21 +448,23 @@ def keep_one_per_component(
     """``docs`` with the smallest id of each component alone, one row of it; all columns kept.
 
     Rows are told apart by id and text (64 bits of hash), so ids may be null, which come last, or
-    stand for several texts. Rows without words are in no component and all stay.
+    stand for several texts. Rows without words are in no component and all stay. Other columns may
+    have any names; an empty table stays empty.
     """
     named = F.struct(
         F.col(key).isNull().alias("missing"), F.col(key).alias("id"),
         F.xxhash64(F.col("text").cast("string")).alias("hash"),
     )
-    tagged = docs.withColumn("__row", named)
-    found = held(linked_components(tagged, width, percent, "__row"), "components")
-    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stay")).agg(
-        F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("__repeats")
+    # the row travels whole, so that no name of its own can clash
+    tagged = docs.select(named.alias("row"), F.struct("*").alias("whole"))
+    found = held(linked_components(tagged, width, percent, "row", "whole.text"), "components")
+    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stays")).agg(
+        F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("repeats")
     )
-    once = stay.where("__repeats < 2").select("__stay")
-    kept = tagged.join(once, tagged["__row"] == once["__stay"], "left_semi")
-    repeated = held(stay.where("__repeats > 1").select("__stay"), "repeated")
+    once = stay.where("repeats < 2").select("stays")
+    kept = tagged.join(once, tagged["row"] == once["stays"], "left_semi")
+    repeated = held(stay.where("repeats > 1").select("stays"), "repeated")
     if not repeated.isEmpty():  # rows of one id and text
-        copies = tagged.join(repeated, tagged["__row"] == repeated["__stay"], "left_semi")
-        kept = kept.unionByName(copies.dropDuplicates(["__row"]))
-    return kept.select(*docs.columns)
+        copies = tagged.join(repeated, tagged["row"] == repeated["stays"], "left_semi")
+        kept = kept.unionByName(copies.dropDuplicates(["row"]))
+    return kept.select("whole.*")
