@@ -38,8 +38,8 @@ def llm_queries() -> dict[str, Query]:
 
 
 def remainder(by: int) -> Column:
-    """The fold of a document: crc32 of its doc_id as text."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+    """The fold of a document: crc32 of its doc_id as text; a null doc_id is the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % by
 
 
 def tokenizer_path(name: str) -> str:
