@@ -169,8 +169,8 @@ def clean_files(
     try:
         return _clean_layouts(spark, layouts, scanned, results, finals, options, audit_path)
     finally:  # also after an error
-        for r in results:
-            remove_folder(spark, r.folder)
+        for folder in {r.folder for r in results} | {x.held for x in layouts if x.held}:
+            remove_folder(spark, folder)
 
 
 def _clean_layouts(

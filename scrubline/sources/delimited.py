@@ -7,16 +7,18 @@ agree on all of these form one layout and are read by one ``spark.read.csv`` ove
 from __future__ import annotations
 
 import csv
+import io
 import re
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.functions.names import default_names, widen_names
-from scrubline.session import cut_lineage
+from scrubline.session import cut_lineage, shared_dir
+from scrubline.sources import records
 from scrubline.sources.lines import (
     DELIMITERS,
     FALLBACK,
@@ -24,9 +26,11 @@ from scrubline.sources.lines import (
     is_blank_line,
     latin1_to_cp1252,
     line_shapes,
+    occurrences,
+    unquoted,
     vote_delimiter,
 )
-from scrubline.sources.sinks import ASIDE, manifest_of, recover, recover_folder
+from scrubline.sources.sinks import ASIDE, manifest_of, recover, recover_folder, stage_path
 
 # a leading underscore never survives name sanitizing, so these cannot meet a data column
 FILE, BLOCK, ROW, PLACE = "_file", "_block", "_row", "_place"
@@ -40,11 +44,14 @@ def place(dataset: bool = False) -> Column:
     lets "first seen" be a plain hash aggregate.
     """
     record = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    start = F.col("_metadata.file_block_start")
-    if dataset:
-        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
-        start = F.coalesce(part, F.lit(0).cast("bigint")) * F.lit(2**44) + start
-    start = start.cast("decimal(20,0)")
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+    part = F.coalesce(part, F.lit(0).cast("bigint")) if dataset else F.lit(0).cast("bigint")
+    return place_of(part, F.col("_metadata.file_block_start"), record)
+
+
+def place_of(part: Column, start: Column, record: Column) -> Column:
+    """One number for the part of a dataset, the split's offset and the record within the task."""
+    start = (part * F.lit(2**44) + start).cast("decimal(20,0)")
     return (start * F.lit(2**33).cast("decimal(10,0)") + record).cast("decimal(30,0)")
 
 
@@ -52,17 +59,22 @@ def place(dataset: bool = False) -> Column:
 class Layout:
     """What a set of files has in common; ``files`` are their keys as rows carry them.
 
-    ``spans`` are the least and most cells of each file's rows.
+    ``spans`` are the least and most cells of each file's rows. ``held`` is the folder of the records of
+    files whose cells hold line breaks, empty for other files; who asked for the layouts removes it.
     """
 
     delimiter: str
     encoding: str
     header: tuple[str, ...]
-    multiline: bool
+    held: str
     has_header: bool
     files: tuple[str, ...]
     spans: tuple[tuple[int, int], ...]
 
+    @property
+    def multiline(self) -> bool:
+        return self.held != ""
+
     @property
     def width(self) -> int:
         return max(self.own_width(i) for i in range(len(self.files)))
@@ -182,13 +194,10 @@ def scan_files(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
     for i in range(len(candidates)):
         n = F.when(real, F.col(f"n{i}") + 1)
         widths += [F.max(n).alias(f"max{i}"), F.min(n).alias(f"min{i}")]
+        widths.append(F.some(f"open{i}").cast("int").alias(f"open{i}"))
     facts = shapes.groupBy(FILE).agg(
-        # inside a quoted cell a blank line is part of a record, so such files have none
-        F.when(F.some("open_quote"), F.lit(0).cast("bigint"))
-        .otherwise(F.sum(F.when(~real, F.col("lines")).otherwise(0)))
-        .alias("blank_lines"),
+        F.sum(F.when(~real, F.col("lines")).otherwise(0)).alias("blank_lines"),
         encoding_of(F.every("all_utf8"), F.some("undefined_1252")).alias("encoding"),
-        F.some("open_quote").alias("multiline"),
         *widths,
     )
     first = lines.filter(F.col(BLOCK) == 0).groupBy(FILE).agg(
@@ -213,8 +222,11 @@ def scan_files(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
             picked = F.when(F.col("delimiter") == d, F.col(f"{side}{i}")).otherwise(picked)
         return F.coalesce(picked, F.lit(0)).cast("int")
 
+    multiline = own("open") == 1
+    # inside a quoted cell a blank line is part of a record, so such files have none
+    blank_lines = F.when(multiline, F.lit(0).cast("bigint")).otherwise(F.col("blank_lines"))
     return joined.select(
-        FILE, "blank_lines", "encoding", "multiline", "delimiter",
+        FILE, blank_lines.alias("blank_lines"), "encoding", multiline.alias("multiline"), "delimiter",
         header.alias("header_line"), own("max").alias("width"), own("min").alias("min_width"),
     )
 
@@ -238,22 +250,45 @@ def _csv_options(
     }
 
 
-def _record_widths(spark: SparkSession, paths: list[str], delimiter: str, encoding: str):
-    """Header width and cell counts per file whose records may span lines."""
-    reader = spark.read.options(**_csv_options(delimiter, encoding, True)).option(
-        "singleVariantColumn", "record"
+def _hold_records(
+    spark: SparkSession, files: list[str], delimiter: str, encoding: str
+) -> tuple[str, list[Row]]:
+    """Records of files whose cells hold line breaks, written once to the shared folder.
+
+    Gives the folder, and per file its widths and its header record.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+    value = F.col("value")
+    if encoding != "utf-8":
+        value = F.decode(value.cast("binary"), "ISO-8859-1")
+    lines = _all(
+        [
+            spark.read.text([literal(path_of(f)) for f in some]).select(
+                F.col("_metadata.file_path").alias(records.PATH),
+                (F.coalesce(part, F.lit(0)) if dataset else F.lit(-1)).cast("bigint").alias(records.PART),
+                F.col("_metadata.file_block_start").alias(BLOCK),
+                F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias(ROW),
+                value.alias("value"),
+            )
+            for some, dataset in _kinds(files)
+        ]
     )
-    cells = F.map_keys(F.col("record").cast("map<string,string>"))
-    records = [
-        reader.csv([literal(path_of(p)) for p in some]).select(_file_key(dataset), F.size(cells).alias("n"))
-        for some, dataset in _kinds(paths)
-    ]
-    return (
-        _all(records)
-        .groupBy(FILE)
-        .agg(F.max("n").alias("width"), F.min("n").alias("min_width"))
-        .collect()
+    path, part = F.col(records.PATH), F.col(records.PART)
+    text = latin1_to_cp1252(F.col("text")) if encoding == "cp1252" else F.col("text")
+    found = records.find_records(lines, delimiter).select(
+        F.when(part < 0, path).otherwise(F.regexp_replace(path, "[^/]+$", "")).alias(FILE),
+        place_of(F.greatest(part, F.lit(0)), F.col(BLOCK), F.col(ROW)).alias(PLACE),
+        "first",
+        text.alias("text"),
     )
+    folder = stage_path(spark, shared_dir(spark))
+    found.write.parquet(folder)
+    cells = occurrences(unquoted(F.col("text"), (delimiter,)), F.lit(delimiter)) + 1
+    heads = F.when(F.col("first"), F.struct(PLACE, "text"))
+    facts = spark.read.parquet(folder).groupBy(FILE).agg(
+        F.max(cells).alias("width"), F.min(cells).alias("min_width"), F.min(heads)["text"].alias("header")
+    )
+    return folder, facts.collect()
 
 
 def find_layouts(
@@ -271,24 +306,29 @@ def find_layouts(
     scanned = _with_empty_files(spark, scanned, paths, delimiter)
     rows = scanned.orderBy(FILE).collect()
     spans: dict[str, tuple[int, int]] = {}
+    headers: dict[str, str] = {}
+    folders: dict[tuple[str, str], str] = {}
     for enc, sep in sorted({(r["encoding"], r["delimiter"]) for r in rows if r["multiline"]}):
         chosen = [
             r[FILE] for r in rows
             if r["multiline"] and (r["encoding"], r["delimiter"]) == (enc, sep)
         ]
-        for r in _record_widths(spark, chosen, sep, enc):
+        folders[enc, sep], facts = _hold_records(spark, chosen, sep, enc)
+        for r in facts:
             spans[r[FILE]] = (r["width"], r["min_width"])
+            headers[r[FILE]] = r["header"]
     groups: dict[tuple, list[tuple[str, tuple[int, int]]]] = {}
     for r in rows:
         width, least = spans.get(r[FILE], (r["width"], r["min_width"]))
         text = r["header_line"] or ""
         has_header = text.strip() != ""
-        if has_header and r["multiline"] and text.count('"') % 2:
-            cells = _spanning_header(spark, r)
-        else:
-            cells = next(csv.reader([text], delimiter=r["delimiter"]), []) if has_header else []
+        if has_header and r["multiline"]:
+            text = headers[r[FILE]]
+        lines = io.StringIO(text, newline="")
+        cells = next(csv.reader(lines, delimiter=r["delimiter"]), []) if has_header else []
         header = tuple(cells) or tuple(default_names(width))
-        key = (r["delimiter"], r["encoding"], header, r["multiline"], has_header)
+        held = folders[r["encoding"], r["delimiter"]] if r["multiline"] else ""
+        key = (r["delimiter"], r["encoding"], header, held, has_header)
         groups.setdefault(key, []).append((r[FILE], (least, width)))
     return [Layout(*key, *zip(*members)) for key, members in groups.items()], scanned
 
@@ -302,17 +342,6 @@ def _with_empty_files(
     return scanned.unionByName(spark.createDataFrame(empty, scanned.schema)) if empty else scanned
 
 
-def _spanning_header(spark: SparkSession, row) -> list[str]:
-    """Header record that itself holds a newline inside quotes."""
-    first = (
-        spark.read.options(**_csv_options(row["delimiter"], row["encoding"], True))
-        .csv(literal(path_of(row[FILE])))
-        .limit(1)
-        .collect()
-    )
-    return ["" if c is None else c for c in first[0]] if first else []
-
-
 def layout_names(layout: Layout, pad_rows: str) -> list[str]:
     """Raw names of the columns read: the header, widened unless rows are truncated to it."""
     if pad_rows == "truncate":
@@ -340,10 +369,12 @@ def read_layout(
     reader = (
         spark.read.schema(schema)
         .options(
-            **_csv_options(layout.delimiter, layout.encoding, layout.multiline, layout.width)
+            **_csv_options(layout.delimiter, layout.encoding, False, layout.width)
         )
         .option("header", str(layout.has_header).lower())
     )
+    if layout.multiline:
+        return _parse_records(spark, layout, schema, wanted)
     cells = [F.col(f"_c{i}") for i in range(wanted)]
     if layout.encoding == "cp1252":
         cells = [latin1_to_cp1252(c).alias(f"_c{i}") for i, c in enumerate(cells)]
@@ -356,6 +387,17 @@ def read_layout(
     return rows.unionByName(_blank_rows(spark, layout, wanted)) if keep_blank else rows
 
 
+def _parse_records(spark: SparkSession, layout: Layout, schema: str, wanted: int) -> DataFrame:
+    """Cells of held records by Spark's parser, each record once and in any number of tasks."""
+    held = spark.read.parquet(layout.held).filter(F.col(FILE).isin(list(layout.files)))
+    if layout.has_header:
+        held = held.filter(~F.col("first"))
+    options = _csv_options(layout.delimiter, "utf-8", True, layout.width)
+    parsed = F.explode(F.array(F.from_csv("text", schema, options))).alias("_parsed")
+    cells = [F.col("_parsed")[f"_c{i}"].alias(f"_c{i}") for i in range(wanted)]
+    return held.select(FILE, PLACE, parsed).select(FILE, PLACE, *cells)
+
+
 def _blank_rows(spark: SparkSession, layout: Layout, width: int) -> DataFrame:
     """A row of NULL cells for every blank line; in files with quoted newlines there are none.
 

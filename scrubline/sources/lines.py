@@ -6,6 +6,8 @@ be split over any number of tasks and may be of any size.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,39 @@ _CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0
 _CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
-def unquoted(line: Column) -> Column:
-    """The line without its quoted stretches, so that delimiters in quotes do not count."""
-    return F.regexp_replace(line, r'"[^"]*"', "")
+# what a quoted cell holds: a quote in it is written twice
+INSIDE = '[^"]*+(?:""[^"]*+)*+'
+
+
+def unquoted(line: Column, delimiters: tuple[str, ...] = DELIMITERS) -> Column:
+    """The line without its quoted stretches, so that delimiters in quotes do not count.
+
+    A quote opens a stretch only at the start of a cell; one within a cell is a character like others.
+    """
+    at_start = "|".join(rf'{re.escape(d)}"' for d in delimiters)
+    stretch = rf'"(?<=\A"|{at_start}){INSIDE}(?:"|\z)'
+    return F.when(line.contains('"'), F.regexp_replace(line, stretch, "")).otherwise(line)
+
+
+def _cells(delimiter: str) -> tuple[str, str]:
+    """Patterns of the rest of a cell with its delimiter, and of any number of whole cells."""
+    mark = re.escape(delimiter)
+    other = f"[^{mark}]" if len(delimiter) == 1 else rf"(?:(?!{mark})[\s\S])"
+    rest = f"{other}*+{mark}"
+    return rest, f'(?:(?:"{INSIDE}"|(?!")){rest})*+'
+
+
+def opens(line: Column, delimiter: str) -> Column:
+    """Whether a cell is open at the end of a line that begins a record."""
+    _, whole = _cells(delimiter)
+    return line.contains('"') & line.rlike(rf'\A{whole}"{INSIDE}\z')
+
+
+def stays_open(line: Column, delimiter: str) -> Column:
+    """Whether a cell is open at the end of a line that begins inside a cell."""
+    rest, whole = _cells(delimiter)
+    again = rf'"{rest}{whole}"{INSIDE}\z'
+    return ~line.contains('"') | line.rlike(rf"\A{INSIDE}(?:\z|{again})")
 
 
 def occurrences(text: Column, mark: Column) -> Column:
@@ -43,19 +75,22 @@ def is_blank_line(line: Column) -> Column:
 def line_shapes(
     lines: DataFrame, file: list[str], line: str, delimiters: tuple[str, ...] = DELIMITERS
 ) -> DataFrame:
-    """Lines grouped by their delimiter counts (``n0``, ``n1``, ...), of which there are few."""
+    """Lines grouped by their delimiter counts (``n0``, ``n1``, ...), of which there are few.
+
+    ``open0``, ... say whether a cell goes on after any of the lines. If none does, no cell has a line break.
+    """
     text = F.col(line)
     bare = F.col("_bare")
     counts = {f"n{i}": occurrences(bare, F.lit(d)) for i, d in enumerate(delimiters)}
-    quotes = occurrences(text, F.lit('"'))
+    breaks = {f"open{i}": F.some(opens(text, d)) for i, d in enumerate(delimiters)}
     return (
-        lines.withColumn("_bare", unquoted(text))
+        lines.withColumn("_bare", unquoted(text, delimiters))
         .withColumns(counts)
         .withColumn("blank", is_blank_line(text))
         .groupBy(*file, "blank", *counts)
         .agg(
             F.count(F.lit(1)).alias("lines"),
-            F.some(quotes % 2 == 1).alias("open_quote"),
+            *[c.alias(name) for name, c in breaks.items()],
             F.every(F.is_valid_utf8(text)).alias("all_utf8"),
             F.some(undefined_in_1252(text)).alias("undefined_1252"),
         )
