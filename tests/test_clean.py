@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scrubline import AGGRESSIVE, LARGE, SAFE, CleanOptions, clean
 from scrubline.operators import defects, html, profile
-from scrubline.operators.lookup import lookup_join
+from scrubline.operators.lookup import lookup_join, salted_sides
 from scrubline.operators.spelling import fix_spelling, merge_parts
 from scrubline.plans import reports, views
 from scrubline.plans.clean import clean_many
@@ -205,6 +205,41 @@ def test_lookup_join_is_the_same_beyond_the_broadcast_limit(spark):
     assert rows_of(near.select(*cols), "id") == rows_of(far.select(*cols), "id")
 
 
+def test_a_key_of_a_third_of_all_rows_is_divided_by_its_share(spark):
+    hot = F.col("id") % 3 == 0
+    big = spark.range(60_000).select(F.when(hot, -1).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(-1, 20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    divided, repeated = salted_sides(big, small, ["k"], F.col("id"))
+    rows = divided.groupBy("k", "_salt").count()
+    assert rows.agg(F.max("count")).first()[0] < 60  # of 20,000; an average class has 15
+    assert repeated.filter("k = -1").count() > 1000
+    assert 20_001 < repeated.count() < 2.5 * 20_001
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        done = lookup_join(big, small, ["k"], F.col("id"), limit_bytes=0)
+        tasks = done.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert tasks < 2 * 60_000 / 16
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    wrong = done.filter(~F.col("w").eqNullSafe(F.when(F.col("k") < 20_000, F.col("k") * 2)))
+    assert (done.count(), wrong.count()) == (60_000, 0)
+
+
+def test_keys_of_two_types_and_without_value_beyond_the_limit(spark):
+    big = spark.createDataFrame([(1, 1.0), (2, -0.0), (None, 0.0)], "a int, b double")
+    small = spark.createDataFrame([(1, 1.0, "x"), (2, 0.0, "y")], "a bigint, b double, w string")
+    done = lookup_join(big, small, ["a", "b"], F.lit(0), limit_bytes=0)
+    assert [r["w"] for r in done.orderBy("a").collect()] == [None, "x", "y"]
+    none = lookup_join(big.limit(0), small, ["a"], F.lit(0), limit_bytes=0)
+    assert none.count() == 0
+    texts = big.select(F.col("a").cast("bigint").alias("a"))
+    done = lookup_join(texts, small.select("a", "w"), ["a"], F.lit(0), limit_bytes=0)
+    assert [r["w"] for r in done.orderBy("a").collect()] == [None, "x", "y"]
+
+
 def test_key_candidates(spark):
     rows = [(str(i), str(i % 5), "same", str(i % 96)) for i in range(100)]
     df = spark.createDataFrame(rows, "id string, few string, one string, most string")
