@@ -84,6 +84,22 @@ def column_profile(
     return profile_cells(cells(df, columns, by, tokens, cleaned), by, dates)
 
 
+def merge_profiles(profiles: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Profiles of parts of a dataset, one below the other, as the profile of the whole.
+
+    Every counter is a sum, a least or a greatest value; the mean is weighed by its count, so it may
+    differ from that of one pass in the last digit. Merging is associative: merged profiles merge on.
+    """
+    counters = ("total", "nonmissing", "numeric", "whole", "fractional", "boolean", "dates")
+    weighed = F.sum(F.col("mean") * F.col("numeric")) / F.nullif(F.sum("numeric"), F.lit(0))
+    return profiles.groupBy(*by, COLUMN).agg(
+        *[F.sum(c).alias(c) for c in counters],
+        weighed.alias("mean"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    ).select(*profiles.columns)
+
+
 def decided_type(options: CleanOptions) -> Column:
     """Type of a profiled column: numeric first, then boolean, then date, else string."""
     share = lambda name: F.col(name) / F.col("nonmissing")
@@ -175,6 +191,44 @@ def exact_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+#: relative error of the sketches of distinct values, and how many such errors a column is given
+SKETCH_ERROR, BAND = 0.01, 6
+
+
+def _as_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    pairs = [
+        F.struct(
+            F.lit(c).alias(COLUMN),
+            F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(RAW),
+        )
+        for c in columns
+    ]
+    return df.select(F.inline(F.array(*pairs)))
+
+
+def _sketched(long: DataFrame) -> DataFrame:
+    return long.groupBy(COLUMN).agg(
+        F.approx_count_distinct(RAW, SKETCH_ERROR).alias("distinct_values"),
+        F.count(F.lit(1)).alias("total"),
+    )
+
+
+def possible_keys(df: DataFrame, columns: list[str], ratio: float, top: int) -> list[str]:
+    """Columns that may be among the ``top`` key candidates, by sketches of their distinct values.
+
+    A sketch's estimate is trusted within ``BAND`` standard errors. A column is ruled out where even
+    the upper end is not above ``ratio``, or where ``top`` others are above it with their lower ends.
+    One row per column comes to the driver.
+    """
+    spread = SKETCH_ERROR * BAND
+    found = {r[COLUMN]: r for r in _sketched(_as_text(df, columns)).collect()}
+    share = {c: r["distinct_values"] / r["total"] for c, r in found.items()}
+    least = sorted((s / (1 + spread) for s in share.values()), reverse=True)
+    bar = least[top - 1] if len(least) >= top else 0.0
+    upper = {c: min(s / (1 - spread), 1.0) for c, s in share.items()}
+    return [c for c in columns if c in upper and upper[c] > ratio and upper[c] >= bar]
+
+
 def key_candidates(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -184,23 +238,18 @@ def key_candidates(
 ) -> DataFrame:
     """Columns whose distinct share exceeds ``ratio``, best first, ties in column order.
 
-    The distinct values of each column are found by a shuffle on (column, value), combined in
-    each task first. ``approximate`` swaps in a sketch, which shuffles nothing but sketches.
+    Sketches, which shuffle one row per task and column, rule out the columns that cannot qualify. The
+    distinct values of the others are counted by a shuffle on (column, value), combined in each task
+    first. ``approximate`` takes the sketches' word and counts nothing.
     """
     columns = list(columns or df.columns)
-    pairs = [
-        F.struct(
-            F.lit(c).alias(COLUMN), F.coalesce(F.col(c).cast("string"), F.lit("")).alias(RAW)
-        )
-        for c in columns
-    ]
-    long = df.select(F.inline(F.array(*pairs)))
     if approximate:
-        counted = long.groupBy(COLUMN).agg(
-            F.approx_count_distinct(RAW, 0.01).alias("distinct_values"),
-            F.count(F.lit(1)).alias("total"),
-        )
+        counted = _sketched(_as_text(df, columns))
     else:
+        chosen = possible_keys(df, columns, ratio, top)
+        long = _as_text(df, chosen or columns[:1])
+        if not chosen:
+            long = long.limit(0)
         counted = (
             long.groupBy(COLUMN, RAW)
             .agg(F.count(F.lit(1)).alias("n"))

@@ -174,6 +174,10 @@ def column_rules(
         found = with_fills(texts, profile, columns, options, order=order)
         rows = {r[COLUMN]: r for r in found.collect()}
         fills = {c: r["fill"] for c, r in rows.items()}
+    return _rules_of(rows, fills, columns)
+
+
+def _rules_of(rows: dict, fills: dict, columns: list[str]) -> dict[str, ColumnRule]:
     out = {}
     for c in columns:
         r = rows.get(c)
@@ -186,6 +190,17 @@ def column_rules(
     return out
 
 
+def rules_of_profile(
+    profile: DataFrame, columns: list[str], options: CleanOptions
+) -> dict[str, ColumnRule]:
+    """Decisions from a stored profile alone, for fills that need no second look at the data."""
+    if options.fill_missing in ("mode", "median"):
+        raise ValueError(f"a profile holds no {options.fill_missing}")
+    found = with_fills(profile, infer_types(profile, options), columns, options)
+    rows = {r[COLUMN]: r for r in found.collect()}
+    return _rules_of(rows, {c: r["fill"] for c, r in rows.items()}, columns)
+
+
 def df_of_rows(like: DataFrame, rows: list) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, like.schema)
 

@@ -412,6 +412,10 @@ def all_oracles() -> dict[str, str]:
         "arg_max(value, (ts, event_id)) AS close, "
         f"{_money('sum(CASE WHEN event_type = ' + _lit('purchase') + ' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END)')}"
         " AS revenue FROM events GROUP BY 1",
-        "stream_dedup_events": f"WITH {V4} SELECT DISTINCT user_id, {_STAMP} AS ts, event_type FROM v4",
+        "stream_dedup_events": f"WITH {V4} SELECT * EXCLUDE (k) REPLACE ({_STAMP} AS ts) FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY user_id, ts, event_type ORDER BY copy_no, event_id) AS k "
+        "FROM v4) WHERE k = 1",
         "stream_clean_customers": _CLEAN_TEXT,
+        "stream_profile_customers": f"WITH {V1} "
+        + _cell_counts("v1", ["name_raw", "segment_raw", "bal_raw", "active_raw", "flag01_raw"]),
     }

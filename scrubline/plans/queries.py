@@ -31,7 +31,11 @@ from scrubline.sources.lines import (
     widest,
 )
 from scrubline.sources.tables import table
-from scrubline.streaming.streams import clean_table_stream, distinct_table_stream
+from scrubline.streaming.streams import (
+    clean_table_stream,
+    distinct_table_stream,
+    profile_table_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -547,3 +551,10 @@ def stream_dedup_events(spark, folder):
 @query
 def stream_clean_customers(spark, folder):
     return clean_table_stream(spark, folder)
+
+
+@query
+def stream_profile_customers(spark, folder):
+    return profile_table_stream(spark, folder).select(
+        "column_name", "total", "nonmissing", "numeric", "whole", "fractional", "boolean", "dates"
+    )

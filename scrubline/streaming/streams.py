@@ -9,31 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.options import CleanOptions
-from scrubline.plans.clean import (
-    ColumnRule,
-    clean,
-    filled_text,
-    is_blank_row,
-    name_columns,
-    prepare,
-)
+from scrubline.plans.clean import clean
 from scrubline.plans.views import dirty_customer, dup_events
 from scrubline.session import shared_dir
-
-
-def clean_stream(
-    stream: DataFrame, rules: dict[str, ColumnRule], options: CleanOptions, order: list[str]
-) -> DataFrame:
-    """The cleaning projection with types and fills frozen from an earlier profile.
-
-    Stateless: each micro-batch is trimmed, normalized, converted, filled and rid of empty rows.
-    """
-    raw, columns = name_columns(stream, order)
-    known = {c: rules.get(c, ColumnRule()) for c in columns}
-    if options.drop_empty_rows and not any(r.fill for r in known.values()):
-        raw = raw.filter(~is_blank_row(columns, options))
-    texts = prepare(raw, columns, options)
-    return texts.select(*order, *[filled_text(c, known[c], options) for c in columns])
+from scrubline.streaming.distinct import FirstRows
+from scrubline.streaming.profiled import ProfiledStream, clean_stream
 
 
 def distinct_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
@@ -64,19 +44,18 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def _work_paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    return posixpath.join(base, "state"), posixpath.join(base, "rows")
+def _work_path(spark: SparkSession, name: str) -> str:
+    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def distinct_table_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with their copies, read as a stream, one row per key."""
-    events = dup_events(table_stream(spark, folder, "events")).withColumn(
-        "ts", F.col("ts").cast("timestamp")
-    )
-    once = distinct_stream(events, ["user_id", "ts", "event_type"], "ts", "1 hour")
-    done = run_to_table(once, *_work_paths(spark, "events"))
-    return done.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    """Events with their copies, read as a stream, the first row per key with all its columns."""
+    events = dup_events(table_stream(spark, folder, "events"))
+    first = FirstRows(
+        keys=("user_id", "ts", "event_type"), ts="ts", delay="1 hour",
+        base=_work_path(spark, "events"), order=("copy_no", "event_id"),
+    )
+    return first.run(events).rows
 
 
 def clean_table_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,4 +64,13 @@ def clean_table_stream(spark: SparkSession, folder: str) -> DataFrame:
     batch = clean(dirty_customer(spark, folder), options, ["c_custkey"])
     source = dirty_customer(spark, folder, table_stream(spark, folder, "customer"))
     cleaned = clean_stream(source, batch.rules, options, ["c_custkey"])
-    return run_to_table(cleaned, *_work_paths(spark, "customers"))
+    base = _work_path(spark, "customers")
+    return run_to_table(cleaned, posixpath.join(base, "state"), posixpath.join(base, "rows"))
+
+
+def profile_table_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile that dirty customers leave behind when they are cleaned as they arrive."""
+    options = CleanOptions(infer_types=True, parse_dates=True)
+    source = dirty_customer(spark, folder, table_stream(spark, folder, "customer"))
+    keeper = ProfiledStream(options, ("c_custkey",), _work_path(spark, "profiled"))
+    return keeper.run(source).profile

@@ -16,7 +16,8 @@ from scrubline.operators.spelling import fix_spelling, merge_parts
 from scrubline.plans import reports, views
 from scrubline.plans.clean import clean_many
 from scrubline.sources.sinks import write_small_csv
-from scrubline.streaming.streams import clean_stream, distinct_stream, run_to_table
+from scrubline.streaming.profiled import clean_stream
+from scrubline.streaming.streams import distinct_stream, run_to_table
 from tests.conftest import SF_SMALL
 
 GAPS = [
@@ -248,6 +249,27 @@ def test_key_candidates(spark):
         assert [r["column_name"] for r in found] == ["id", "most"]
 
 
+def test_key_candidates_count_only_what_sketches_leave(spark, monkeypatch):
+    some = [(F.col("id") % (40 * (i + 1))).alias(f"some_{i}") for i in range(46)]
+    near = (F.when(F.col("id") < 2990, F.col("id")).otherwise(0)).alias("near")
+    edge = (F.col("id") % 2710).alias("edge.1")  # 0.9033
+    below = (F.col("id") % 2700).alias("below")  # 0.9
+    df = spark.range(3000).select(*some, below, edge, near, "id")
+    asked = {n: profile.possible_keys(df, df.columns, 0.9, n) for n in (1, 3)}
+    assert asked[3] == ["below", "edge.1", "near", "id"]
+    counted, as_text = [], profile._as_text
+    monkeypatch.setattr(profile, "_as_text", lambda d, c: counted.append(c) or as_text(d, c))
+    found = profile.key_candidates(df)
+    assert [(r["column_name"], r["distinct_values"]) for r in found.collect()] == [
+        ("id", 3000), ("near", 2990), ("edge.1", 2710)
+    ]
+    # only those are unpivoted for the exact count
+    assert counted == [df.columns, asked[3]]
+    assert profile.key_candidates(df, [f"some_{i}" for i in range(3)]).collect() == []
+    assert profile.key_candidates(df.limit(0)).collect() == []
+    assert [r["column_name"] for r in profile.key_candidates(df, ["below", "edge.1"], top=1).collect()] == ["edge.1"]
+
+
 FLEET_PARTS = [
     ("Board of", "Elections", "Van", "1"), ("", "", "", ""),
     ("Correction and", "Rehabilltation", "Public  Safety Sedan", "1"),
