@@ -29,7 +29,7 @@ CHUNK = 64 << 10
 FAN = 8
 PAIRS_MOST = 2_000_000
 PORTION = 2 << 20
-CACHE_BYTES = 128 << 20  # of remembered pieces in a worker
+CACHE_BYTES = 160 << 20  # of remembered pieces in a worker
 CACHE_ENTRY = 300  # beside a piece's own bytes
 PARTIAL = 1 << 20  # pairs that a task sums before it sends them on
 
@@ -43,20 +43,24 @@ def _decoded(raw: bytes | None) -> str | None:
 
 
 class _Memory(dict):
-    """What was computed for pieces; emptied between portions when it has grown too large."""
+    """What was computed for pieces. When it has grown too large, only what the next texts use stays."""
 
-    def __init__(self, pair: TokenPair, fill):
-        self.pair, self.fill, self.size = pair, fill, 0
+    def __init__(self, pair: TokenPair, fill, moved=None):
+        self.pair, self.fill, self.moved, self.size = pair, fill, moved, 0
 
     def learn(self, texts: list[list[str]]) -> None:
+        used = set().union(*texts)
         if self.size > CACHE_BYTES:
+            kept = used.intersection(self)
+            values = [self[p] for p in kept]
+            self.size = self.size * len(kept) // len(self)
             self.clear()
-            self.size = 0
-        unknown = {p for pieces in texts for p in pieces if p not in self}
-        for encoded in self.pair.encode(sorted(unknown)):
+            self.update(zip(kept, self.moved(values) if self.moved else values))
+        for encoded in self.pair.encode(list(used.difference(self))):
             values = self.fill(encoded)
             self.update(zip(encoded.pieces, values))
-            self.size += sum(len(p) + CACHE_ENTRY for p in encoded.pieces) + encoded.a.nbytes * 3
+            self.size += sum(map(len, encoded.pieces)) + CACHE_ENTRY * len(encoded.pieces)
+            self.size += encoded.a.nbytes * 3
 
 
 def _pairs_of(encoded) -> list[bytes | None]:
@@ -104,7 +108,7 @@ def _count_short(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             known.learn(texts)
             found = []
             for pieces in texts:
-                parts = [known[p] for p in set(pieces)]
+                parts = list(map(known.__getitem__, set(pieces)))
                 if parts and None not in parts:
                     found.append(np.unique(np.frombuffer(b"".join(parts), np.int64)))
             sums.add(found)
@@ -168,23 +172,30 @@ def _measure_short(docs, path_a, path_b, counts, schema: str, with_groups: bool)
             numbers.append(figures)
             return range(first, len(lists))
 
-        known = _Memory(pair, fill)
+        def moved(kept):
+            """The lists rid of all but some entries, which get new places in their order."""
+            numbers[:] = [np.concatenate(numbers)[kept]]
+            lists[:] = [lists[k] for k in kept]
+            cold = {new: rare[old] for new, old in enumerate(kept) if old in rare} if rare else {}
+            rare.clear()
+            rare.update(cold)
+            return range(len(kept))
+
+        known = _Memory(pair, fill, moved)
         for batch in portions(batches, "body", PORTION):
             texts = [pair.pieces(_decoded(t)) for t in batch.column("body").to_pylist()]
-            if known.size > CACHE_BYTES:
-                numbers.clear(), lists.clear(), rare.clear()
             known.learn(texts)
             table = np.concatenate(numbers) if numbers else np.zeros((0, len(FIGURES)), np.int64)
             numbers[:] = [table]
             rows = []
             for pieces in texts:
-                at = [known[p] for p in pieces]
-                figures = table[at]
+                at = list(map(known.__getitem__, pieces))
+                figures = table.take(np.array(at, np.int64), axis=0)
                 if not at or not figures[:, 0].all():
                     rows.append((np.zeros(len(FIGURES), np.int64), None, []))
                     continue
                 parts = [rare[k] for k in at if k in rare] if rare else []
-                rows.append((figures.sum(0), b";".join([lists[k] for k in at]), parts))
+                rows.append((figures.sum(0), b";".join(map(lists.__getitem__, at)), parts))
             yield _result(batch, rows, with_groups, schema)
 
     return map_batches(docs, measure, schema)

@@ -24,6 +24,7 @@ from scrubline.llm.word_tokens import byte_letters
 
 # Python's white space holds all that Unicode lists, so these spaces are single for the tokenizers.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+RARE_SPACE = re.compile(r"[^\S \n]")
 BLOCK = 32 << 10  # characters of pieces encoded in one call
 WIDE = 1 << 16  # a group with more links is listed by distinct ids
 
@@ -139,7 +140,12 @@ class TokenPair:
         """The text cut at lone spaces, which go; each piece is read with one space before it."""
         if not text:
             return []
-        return LONE_SPACE.split(text) if self.splits else [text]
+        if not self.splits:
+            return [text]
+        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+            return LONE_SPACE.split(text)
+        # all spaces are lone where no other white space can be next to one
+        return LONE_SPACE.split(text) if RARE_SPACE.search(text) else text.split(" ")
 
     def tokens(self, text: str) -> tuple[np.ndarray, ...] | None:
         """Ids and ends of both for a space and the text; None if either does not give its bytes back."""
@@ -159,18 +165,13 @@ class TokenPair:
 
         Pieces with white space at an edge are read alone, as its neighbours would change them.
         """
-        run, size = [], 0
-        for piece in pieces:
-            if piece.strip() != piece or not piece:
-                yield self._alone(piece)
-                continue
-            run.append(piece)
-            size += len(piece)
-            if size >= BLOCK:
-                yield from self._together(run)
-                run, size = [], 0
-        if run:
-            yield from self._together(run)
+        plain = [p for p in pieces if p and p.strip() == p]
+        if len(plain) < len(pieces):
+            yield from map(self._alone, (p for p in pieces if not p or p.strip() != p))
+        block_of = np.cumsum([len(p) for p in plain], dtype=np.int64) // BLOCK
+        borders = np.flatnonzero(np.diff(block_of, prepend=-1, append=-1)).tolist()
+        for begin, end in zip(borders, borders[1:]):
+            yield from self._together(plain[begin:end])
 
     def _alone(self, piece: str) -> Encoded:
         found = self.tokens(piece)

@@ -1,13 +1,16 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from scrubline.llm import alignment
 from scrubline.llm.alignment import _range_fragment, align, byte_ranges
 from scrubline.llm.queries import tokenizer_path
 from scrubline.llm.token_groups import compose, empty_fragment, fragment, links, token_pair
@@ -149,3 +152,36 @@ def test_wide_groups_are_counted_by_distinct_ids():
     expected = Counter((0, x, y) for x in a[:390].tolist() for y in b[:380].tolist())
     expected += Counter((1, x, y) for x in a[390:].tolist() for y in b[380:].tolist())
     assert got == expected and len(packed) < 400
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_a_small_memory_gives_the_same_rows(monkeypatch, most):
+    rng = np.random.default_rng(5)
+    words = ["the", "of", "naïve", "日本", "x" * 40, *(f"w{i}" for i in range(300))]
+    texts = [" ".join(rng.choice(words, 40) if k % 9 else words[:5]) for k in range(60)]
+    texts += ["", "  two  spaces \n x", None, " edge ", texts[3]]
+    batch = pa.record_batch(
+        [pa.array(range(len(texts))), pa.array([t and t.encode() for t in texts], pa.binary())],
+        ["doc_id", "body"],
+    )
+    taken = []
+    monkeypatch.setattr(alignment, "map_batches", lambda docs, fn, schema: taken.append(fn))
+    monkeypatch.setattr(alignment, "PORTION", 400)
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+    def run(fn):
+        done = pa.Table.from_batches(list(fn(iter([batch]))))
+        return done.sort_by(done.column_names[0]).to_pylist()
+
+    alignment._count_short(Frame(), A, B)
+    whole = pa.Table.from_pylist(run(taken[0])).to_pydict()
+    n = slice(0, most)
+    counts = alignment._Counts(*(np.array(whole[c], np.int64)[n] for c in ("pair", "n", "n")))
+    alignment._measure_short(Frame(), A, B, SimpleNamespace(value=counts), "rare", True)
+    wide = [run(fn) for fn in taken]
+    monkeypatch.setattr(alignment, "CACHE_BYTES", 3000)
+    assert [run(fn) for fn in taken] == wide
+    assert wide[1][0]["n_links"] > 0 and bool(wide[1][0]["rare"]) == (most == 0)
