@@ -15,7 +15,6 @@ from scrubline.functions.parsing import (
     is_whole,
     number_of,
     numeric_text,
-    numeric_value,
     parse_boolean,
     parse_timestamp,
 )
@@ -155,7 +154,9 @@ def with_fills(
     if how == "mode":
         found = first_modes(long, keys, TEXT, order).withColumnRenamed("mode", "fill")
         return profile.join(found, keys, "left")
-    values = long.select(*keys, numeric_value(F.col(TEXT)).alias("num"))
+    # step by step, as in the profile
+    values = long.select(*keys, numeric_text(F.col(TEXT)).alias("bare"))
+    values = values.withColumn("num", number_of(F.col("bare"))).withColumn("num", finite(F.col("num")))
     found = exact_medians(values, keys, "num")
     return profile.join(found, keys, "left").withColumn(
         "fill", F.when(number, _number_fill(F.col("median"), F.col("type")))

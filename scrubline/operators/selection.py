@@ -22,21 +22,43 @@ _BIAS, _FRACTION = 1022, 52  # fixed values of the IEEE 754 double
 def ordered_bits(number: Column) -> Column:
     """A whole number with the order of a double; both zeros give 0, infinities the ends.
 
-    The exponent comes from a logarithm that may be off by one, which a comparison mends; scaling
+    The exponent comes from a logarithm that may be off by one, which the scaled size shows; scaling
     by powers of two is exact, so equal bits mean equal numbers.
     """
+    rough = _rough_power(number)
+    return _bits_of(number, rough, _scaled(number, rough))
+
+
+def _rough_power(number: Column) -> Column:
+    power = F.greatest(F.least(F.floor(F.log2(F.abs(number))), F.lit(1023)), F.lit(-_BIAS))
+    return F.when(number == 0, F.lit(-_BIAS)).otherwise(power).cast("int")
+
+
+def _scaled(number: Column, rough: Column) -> Column:
+    """The size over the rough power of two: from 0.5 up to 4, below that only for the tiniest."""
     size = F.abs(number)
-    rough = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-_BIAS)).cast("double")
-    two = F.lit(2.0)
-    down = F.when(size < F.pow(two, rough), rough - 1).otherwise(rough)
-    power = F.when((rough < 1023) & (size >= F.pow(two, rough + 1)), rough + 1).otherwise(down)
-    power = F.greatest(power, F.lit(float(-_BIAS)))
-    fraction = (size / F.pow(two, power) * F.lit(2.0**_FRACTION)).cast("bigint")
-    bits = (power.cast("bigint") + _BIAS) * F.lit(1 << _FRACTION) + fraction
-    bits = F.when(size == 0, F.lit(0).cast("bigint")).when(
-        size == float("inf"), F.lit(2047 << _FRACTION)
-    ).otherwise(bits)
-    return F.when(number < 0, -bits).otherwise(bits)
+    return F.when(size == float("inf"), F.lit(2.0)).otherwise(size / F.pow(F.lit(2.0), rough))
+
+
+def _bits_of(number: Column, rough: Column, scaled: Column) -> Column:
+    power = rough.cast("bigint") + _BIAS
+    low, high = (scaled < 1) & (rough > -_BIAS), scaled >= 2
+    shift = F.when(high, F.lit(1)).when(low, F.lit(-1)).otherwise(F.lit(0))
+    unit = F.when(high, F.lit(0.5)).when(low, F.lit(2.0)).otherwise(F.lit(1.0)) * F.lit(2.0**_FRACTION)
+    bits = (power + shift) * F.lit(1 << _FRACTION) + (scaled * unit).cast("bigint")
+    return bits * F.when(number < 0, F.lit(-1)).otherwise(F.lit(1))
+
+
+def _with_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``ordered_bits`` as a column, one step of it after the other.
+
+    Written out in one expression, each step would be repeated wherever it is used, and the stage's
+    generated loop would outgrow what the JVM compiles.
+    """
+    number = F.when(~F.isnan(value), F.col(value))
+    stepped = df.withColumn("_rough", _rough_power(number))
+    stepped = stepped.withColumn("_scaled", _scaled(number, F.col("_rough")))
+    return stepped.withColumn(name, _bits_of(number, F.col("_rough"), F.col("_scaled"))).drop("_rough", "_scaled")
 
 
 def values_of_rank(df: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
@@ -45,29 +67,28 @@ def values_of_rank(df: DataFrame, keys: list[str], value: str, ranks) -> DataFra
     ``ranks`` gives an array of ranks, from 1, for a count of values. Missing values and NaN do not
     count; a key without any other has no row.
     """
-    number = F.col(value).cast("double")
-    bits = F.when(~F.isnan(number), ordered_bits(number))
+    numbers = df.select(*keys, F.col(value).cast("double").alias("_value"))
     # nothing is left out before the values are written: a filter would be pushed below what makes
     # them and run it twice
-    rows = write_table(df.select(*keys, number.alias("_value"), bits.alias("_bits")), "ranked")
+    rows = write_table(_with_bits(numbers, "_value", "_bits"), "ranked")
     rows = rows.where("_bits is not null")
     targets = None
     for shift in SHIFTS:
-        left = rows
+        by = list(keys)
         if targets is not None:
+            by += ["_prefix"]
             told = F.shiftright("_bits", shift + DIGIT_BITS)
-            wanted = F.explode(F.filter("_targets", lambda t: t["prefix"] == told))
-            each = targets.groupBy(*keys).agg(
-                F.collect_list(F.struct(F.col("_which").alias("which"), F.col("_prefix").alias("prefix"), F.col("_left").alias("left"))).alias("_targets")
-            )
             # one row for each key; what lies under no wanted prefix goes here
-            near = lookup_join(rows, each, keys, F.col("_bits")).select(*keys, "_value", "_bits", wanted.alias("_t"))
-            left = near.select(*keys, "_value", "_bits", F.col("_t.which").alias("_which"), F.col("_t.left").alias("_left"))
-        by = keys if targets is None else [*keys, "_which", "_left"]
-        counted = left.groupBy(*by, F.shiftright("_bits", shift).alias("_digit")).agg(
+            each = targets.groupBy(*keys).agg(F.collect_set("_prefix").alias("_prefixes"))
+            near = lookup_join(rows, each, keys, F.col("_bits")).where(F.array_contains("_prefixes", told))
+            rows = near.select(*keys, "_value", "_bits")
+            if shift == SHIFTS[1]:  # the later rounds read what the first one left, not all values
+                rows = write_table(rows, "near")
+        prefixed = rows if targets is None else rows.withColumn("_prefix", told)
+        counted = prefixed.groupBy(*by, F.shiftright("_bits", shift).alias("_digit")).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_least")
         )
-        # at most 65,536 digits for a key
+        # at most 65,536 digits for a key and prefix
         digits = F.array_sort(F.collect_list(F.struct("_digit", "_n", "_least"))).alias("_digits")
         gathered = counted.groupBy(*by).agg(digits)
         if targets is None:
@@ -75,6 +96,8 @@ def values_of_rank(df: DataFrame, keys: list[str], value: str, ranks) -> DataFra
             gathered = gathered.withColumn("_n", n).select(
                 *keys, "_digits", F.posexplode(ranks(F.col("_n"))).alias("_which", "_left")
             )
+        else:
+            gathered = targets.select(*by, "_which", "_left").join(gathered, by)
         found = gathered.select(*keys, "_which", _digit_of(F.col("_digits"), F.col("_left")).alias("_d"))
         targets = cut_lineage(
             found.select(

@@ -187,6 +187,32 @@ def test_values_of_any_rank(spark):
     assert got == {("b", 0): 3.0} | {("a", i): sorted(values)[r - 1] for i, r in enumerate(at)}
 
 
+def test_ranks_are_found_in_what_the_first_round_left(spark, monkeypatch):
+    from scrubline.operators import selection
+
+    written = {}
+
+    def spy(df, name):
+        written[name] = write_table(df, name)
+        written[name + " plan"] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written[name]
+
+    write_table = selection.write_table
+    monkeypatch.setattr(selection, "write_table", spy)
+    rng = random.Random(3)
+    values = {k: [rng.uniform(0, 1000) for _ in range(1500)] for k in ("a", "b")} | {"c": [2.5] * 400}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [(None, 1.0), ("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    out = profile.exact_medians(df, ["k"], "v")
+    assert {r["k"]: r["median"] for r in out.collect()} == {k: statistics.median(v) for k, v in values.items()}
+    # a logarithm a row, or the stage's loop outgrows what the JVM compiles
+    assert written["ranked plan"].count("LOG2") == 1
+    assert written["ranked"].count() == len(rows)
+    left = written["near"].groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in left}["c"] == 400
+    assert all(r["count"] < 500 for r in left) and len(left) == 3
+
+
 def test_mode_takes_the_first_seen_on_a_tie(spark):
     rows = [("a", 3, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 0, "z"), ("a", 5, "y"), ("b", 9, "q")]
     df = spark.createDataFrame(rows, "k string, o int, v string")
