@@ -1,20 +1,27 @@
 """Token ids of whole texts with a public word-level BPE tokenizer.
 
 The tokenizer never joins text across white space, so the ids of a text are those of its chunks in
-order, and a chunk's ids are looked up once per worker. The lookup is emptied when it is full, so
-memory stays bounded; the result does not depend on it.
+order, and a chunk's ids are looked up once per worker, as are those of its word without marks. Each
+lookup is emptied when it is full, so memory stays bounded; the result does not depend on it.
 """
 
 from __future__ import annotations
 
 import re
+from operator import attrgetter
 
 import numpy as np
 
 CACHE = 300_000
+WORDS = 600_000
 # Control characters that part chunks here but not in the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?|#$%&*()\"/-]*)")
+MARKS = '.,;:!?|#$%&*()"/-'
+# Up to here a letter is its own composed form, and its lower case does not depend on its place.
+LATIN_1 = "\xff"
+
+
+ID_OF = attrgetter("id")
 
 
 def byte_letters() -> list[str]:
@@ -39,14 +46,15 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-            self.words.clear()
-        plain = PLAIN.fullmatch(chunk)
+        word = chunk.rstrip(MARKS)
         ids = None
-        if plain:
-            word, marks = plain.groups()
-            word = word.lower() if word.isascii() else self.normalize(word)
+        if word.isalpha():
+            marks = chunk[len(word) :]
+            word = word.lower() if word.isascii() or max(word) <= LATIN_1 else self.normalize(word)
             if word.isalpha():
-                ids = self._word(word) + (self._word(marks) if marks else b"")
+                ids = self._word(word)
+                if marks:
+                    ids += self._word(marks)
         if ids is None:
             ids = self._whole(chunk)
         self[chunk] = ids
@@ -55,8 +63,10 @@ class Encoder(dict):
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
+            if len(self.words) >= WORDS:  # kept while chunks are forgotten: most of them recur
+                self.words.clear()
             mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            ids = np.fromiter(map(ID_OF, self.model.tokenize(mapped)), "<u4").tobytes()
             self.words[word] = ids
         return ids
 

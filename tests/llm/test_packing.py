@@ -89,3 +89,30 @@ def test_dynamic_programs_against_brute_force():
             for _ in range(n):
                 sums |= {s + size for s in sums if s + size <= room}
         assert sum(_fullest(left, room)) == max(sums)
+
+
+def test_words_stay_known_when_chunks_are_forgotten(monkeypatch):
+    from scrubline.llm import word_tokens
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return self.model.tokenize(word)
+
+    monkeypatch.setattr(word_tokens, "CACHE", 40)
+    encoder = word_tokens.Encoder(PATH)
+    encoder.model = Counted(encoder.model)
+    words = ["Stone", "Möwe", "ÀÉÎ", "garden", "été", "x"]
+    text = " ".join(w + m for m in ("", ",", ".", ";", ":", "!", "?", "!?", "...", "--", "(", ")") for w in words)
+    plain = encoder.normalize
+    encoder.normalize = None  # not needed up to the last letter of Latin-1
+    for _ in range(3):
+        got = encoder.encode(text)
+    assert len(encoder) <= 40 and len(encoder.model.asked) == len(set(encoder.model.asked)) == len(words) + 11
+    encoder.normalize = plain
+    assert got + np.array([1], "<u4").tobytes() == reference_ids(text).tobytes()
+    for letter in filter(str.isalpha, map(chr, range(128, 256))):
+        assert plain(letter) == letter.lower() and plain("a" + letter + "Z") == ("a" + letter + "Z").lower()
