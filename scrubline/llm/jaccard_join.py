@@ -7,6 +7,10 @@ classes that can have no partner. The rest meet in groups: all classes that shar
 belong to the group of the list's first class, so every similar pair meets in one. Inside a group
 the search runs on inverted lists: short ones merged, long ones probed (DivideSkip).
 
+Before whole sets travel to a group, its members meet by bitmaps of about a bit for every two shingles.
+A bit holds the parity of the shingles that fall on it, so two bitmaps differ in no more bits than the
+sets in shingles, and a member whose bitmap is too far from all others of the group stays away from it.
+
 Rarity comes from a fixed-size table of counters, summed over all documents; it decides only which
 lists count as short, so its size affects speed and never the result.
 
@@ -34,6 +38,8 @@ COUNTERS = 1 << 20
 SLICES = 16
 BLOCK_SHINGLES = 1 << 20
 HEADS = 16
+LEAST_BITS = 64
+MOST_COMPARED = 512
 HOT_LIST = 20_000
 SALTS = 32
 BROADCAST_ROWS = 1_000_000
@@ -65,8 +71,8 @@ def linked_components(
     reader = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "hash"))
     classes = held(
         scanned.where("n_shingles > 0").groupBy("class").agg(
-            reader.alias("reader"), F.max("n_shingles").alias("n_shingles")
-        ).select("class", "n_shingles", F.col("reader.doc_id").alias("first_id"), F.col("reader.hash").alias("first_hash")),
+            reader.alias("reader"), F.max("n_shingles").alias("n_shingles"), F.any_value("bitmap").alias("bitmap")
+        ).select("class", "n_shingles", "bitmap", F.col("reader.doc_id").alias("first_id"), F.col("reader.hash").alias("first_hash")),
         "classes",
     )
     members = _members(_short_lists(narrow, _counters(scanned), width, percent))
@@ -84,16 +90,42 @@ def linked_components(
     return joined.select("doc_id", "n_shingles", whole.alias("component_id"))
 
 
+def parity_bitmap(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles that fall on each bit; bits are a power of two, at least half the shingles."""
+    bits = max(LEAST_BITS, 1 << max(0, (len(shingles) + 1) // 2 - 1).bit_length())
+    counts = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a group can be similar to another of it, as far as sizes and bitmaps tell.
+
+    Longer bitmaps are folded to the shortest: a bit of the fold is the parity of the bits it stands for.
+    """
+    width = min(map(len, bitmaps))
+    folded = [np.frombuffer(b, dtype=np.uint64).reshape(-1, width // 8) for b in bitmaps]
+    rows = np.array([np.bitwise_xor.reduce(f, axis=0) for f in folded])
+    possible = np.zeros(len(rows), dtype=bool)
+    for k in range(len(rows) - 1):
+        apart = np.bitwise_count(rows[k + 1 :] ^ rows[k]).sum(axis=1, dtype=np.int64)
+        other = sizes[k + 1 :]
+        near = (100 + percent) * apart <= (100 - percent) * (other + sizes[k])
+        near &= 100 * np.minimum(other, sizes[k]) >= percent * np.maximum(other, sizes[k])
+        possible[k] |= near.any()
+        possible[k + 1 :] |= near
+    return possible
+
+
 def _scan(narrow: DataFrame, width: int) -> DataFrame:
     """Set size and class of each document; each task adds its counters, in slices."""
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, hash bigint, n_shingles bigint, class bigint, slice int, counters binary"
+    schema = f"doc_id {kind}, hash bigint, n_shingles bigint, class bigint, bitmap binary, slice int, counters binary"
     id_type = None
 
     def scan(batches):
         nonlocal id_type
         table = np.zeros(COUNTERS, dtype=np.uint32)
-        names = ["doc_id", "hash", "n_shingles", "class", "slice", "counters"]
+        names = ["doc_id", "hash", "n_shingles", "class", "bitmap", "slice", "counters"]
         for batch in portions(batches, "body"):
             id_type = batch.column("doc_id").type
             sets = shingle_sets(batch.column("body").to_pylist(), width)
@@ -109,6 +141,7 @@ def _scan(narrow: DataFrame, width: int) -> DataFrame:
                     batch.column("hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.int64()),
+                    pa.array([parity_bitmap(s) for s in sets], pa.binary()),
                     *nulls,
                 ],
                 names,
@@ -121,6 +154,7 @@ def _scan(narrow: DataFrame, width: int) -> DataFrame:
                     pa.nulls(SLICES, pa.int64()),
                     pa.nulls(SLICES, pa.int64()),
                     pa.nulls(SLICES, pa.int64()),
+                    pa.nulls(SLICES, pa.binary()),
                     pa.array(range(SLICES), pa.int32()),
                     pa.array(parts, pa.binary()),
                 ],
@@ -276,13 +310,14 @@ def _links(
 ) -> DataFrame:
     sizes = members.groupBy("leader").agg(F.sum("n_shingles").alias("n"))
     blocks = F.ceil(F.col("n") / block_shingles).cast("int")
+    bitmap = F.when(F.col("blocks") == 1, F.col("bitmap")).alias("bitmap")
     # dealt by the leader too: groups that share members divide them differently
     dealt = members.join(sizes.select("leader", blocks.alias("blocks")), "leader").select(
-        "class", "leader", "blocks", "first_id", "first_hash", "n_shingles",
+        "class", "leader", "blocks", "first_id", "first_hash", "n_shingles", bitmap,
         F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int").alias("block"),
     )
     dealt = held(dealt, "dealt")
-    alone = dealt.select("class", "leader", "first_id", "first_hash", *_jobs(F.array("block")), F.lit(False).alias("asks"))
+    alone = _hopeful(dealt, percent).select("class", "leader", "first_id", "first_hash", *_jobs(F.array("block")), F.lit(False).alias("asks"))
     found = held(_search(_with_sets(alone, narrow, width), percent, False), "links")
     divided = dealt.where("blocks > 1")
     if divided.isEmpty():
@@ -300,6 +335,51 @@ def _links(
     return found.unionByName(held(_search(_with_sets(visits, narrow, width), percent, True), "links"))
 
 
+def _hopeful(dealt: DataFrame, percent: int) -> DataFrame:
+    """The dealt members less those of undivided groups that can be similar to no other of the group.
+
+    A group of more than ``MOST_COMPARED`` members is not compared and stays whole.
+    """
+    carried = ["class", "leader", "first_id", "first_hash", "block"]
+    once = dealt.where("blocks = 1").select(*carried, "n_shingles", "bitmap")
+
+    def compare(batches):
+        pending: list[pa.RecordBatch] = []  # slices of the current group
+        current, waiting = None, 0
+
+        def settle():
+            if waiting > MOST_COMPARED:  # gone on already
+                return []
+            table = pa.Table.from_batches(pending)
+            sizes = table.column("n_shingles").to_numpy()
+            near = may_link(sizes, table.column("bitmap").to_pylist(), percent)
+            return table.filter(pa.array(near)).select(carried).to_batches()
+
+        for batch in batches:
+            leaders = batch.column("leader").to_numpy()
+            cuts = [0, *(np.flatnonzero(leaders[1:] != leaders[:-1]) + 1).tolist(), len(leaders)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                if current != int(leaders[begin]):
+                    if pending:
+                        yield from settle()
+                    pending, current, waiting = [], int(leaders[begin]), 0
+                pending.append(batch.slice(begin, end - begin))
+                waiting += end - begin
+                if waiting > MOST_COMPARED:
+                    for part in pending:
+                        yield part.select(carried)
+                    pending = [pending[-1].slice(0, 0)]
+        if pending:
+            yield from settle()
+
+    parts = partitions(dealt.sparkSession)
+    ordered = once.repartition(parts, "leader").sortWithinPartitions("leader")
+    kept = map_batches(ordered, compare, once.select(*carried).schema)
+    return kept.unionByName(dealt.where("blocks > 1").select(*carried))
+
+
 def _outside(divided: DataFrame, found: DataFrame) -> DataFrame:
     """The members of divided groups that the links found leave outside the group's main component."""
     roots = connected(found)

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -163,3 +164,50 @@ def test_connected(spark):
         parent[max(x, y)] = min(x, y)
     touched = {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: find(n) for n in touched}
+
+
+def test_bitmaps_rule_out_no_similar_set():
+    from scrubline.llm.jaccard_join import may_link, parity_bitmap
+
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 9, 60, 129, 130, 900, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        n = len(base)
+        gone = n * 15 // 100  # the most that a subset may lose at 85 %
+        fresh = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        part = np.concatenate([base[: n - n // 13], rng.integers(0, 1 << 63, n // 13, dtype=np.uint64)])
+        sets = [base, base[gone:], part, fresh]
+        links = np.zeros(len(sets), dtype=bool)
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    links[a] = links[b] = True
+        near = may_link(np.array([len(s) for s in sets]), [parity_bitmap(s) for s in sets], 85)
+        assert links[0] and links[1] and not (links & ~near).any()
+        if size >= 60:
+            assert not near[3]
+
+
+def test_sets_stay_where_nothing_can_be_similar(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    # passages that several texts have, and no two texts have all the same ones
+    passages = [" ".join(word() for _ in range(40)) for _ in range(7)]
+    rows = [" ".join(three) for three in combinations(passages, 3)]
+    twin = [word() for _ in range(150)]
+    rows += [" ".join(twin), " ".join(twin + ["end"])]
+    sent = {}
+
+    def spy(dealt, narrow, width):
+        sent["classes"] = [r["class"] for r in dealt.select("class").distinct().collect()]
+        return with_sets(dealt, narrow, width)
+
+    with_sets = jaccard_join._with_sets
+    monkeypatch.setattr(jaccard_join, "_with_sets", spy)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for most in (512, 1):  # larger groups stay whole
+        monkeypatch.setattr(jaccard_join, "MOST_COMPARED", most)
+        found = {r.doc_id: r.component_id for r in linked_components(df).collect()}
+        assert found == {i: i for i in range(len(rows))} | {len(rows) - 1: len(rows) - 2}
+        assert len(sent["classes"]) == 2 if most == 512 else len(sent["classes"]) > 2
